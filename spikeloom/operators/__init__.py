@@ -1 +1 @@
-"""DataFrame operators. Each takes and returns DataFrames and runs no action."""
+"""DataFrame operators. Each takes and returns DataFrames; a few checkpoint a small table they read often."""

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.operators.ordered import in_order, islands
+from spikeloom.operators.ordered import in_order, run_number
 from spikeloom.operators.spikes import UNIT
-from spikeloom.operators.units import adaptation
+from spikeloom.operators.units import adaptation, intervals
+from spikeloom.session import checkpoint
 
 TIE = ["spike_id"]
 
@@ -31,27 +32,26 @@ class BurstRule:
 
 
 def _limits(spikes: DataFrame, rule: BurstRule) -> DataFrame:
-    n = F.count(F.lit(1))
-    mean = (F.max("t") - F.min("t")) / (n - 1)
+    """Spikes with the thresholds of their unit; only missing thresholds need a pass over the data."""
     lit = lambda v: F.lit(float(v))
+    mean = F.col("_mean")
     start = mean / 2 if rule.max_start is None else lit(rule.max_start)
     end = mean if rule.max_end is None else lit(rule.max_end)
     gap = end if rule.max_int is None else lit(rule.max_int)
-    return (
-        spikes.groupBy(*UNIT)
-        .agg(n.alias("_n"), start.alias("_start"), end.alias("_end"), gap.alias("_gap"))
-        .where((F.col("_n") >= rule.min_count) & (F.col("_n") > 1))
-    )
+    d = spikes.select(*UNIT, "spike_id", "t")
+    if rule.max_start is None or rule.max_end is None:
+        per = d.groupBy(*UNIT).agg(F.try_divide(F.max("t") - F.min("t"), F.count(F.lit(1)) - 1).alias("_mean"))
+        d = d.join(per, UNIT)
+    return d.select(*UNIT, "spike_id", "t", start.alias("_start"), end.alias("_end"), gap.alias("_gap"))
 
 
 def _in_runs(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
     """Spikes numbered by run; a run breaks where the interval exceeds max_end."""
-    d = in_order(
-        spikes.select(*UNIT, "spike_id", "t"),
-        UNIT, "t", length, tie=TIE, lag={"_pt": "t"}, lead={"_nt": "t"}, index="pos",
-    ).join(_limits(spikes, rule), UNIT)
     starts = F.col("_pt").isNull() | (F.col("t") - F.col("_pt") > F.col("_end"))
-    d = islands(d, UNIT, "t", length, starts, "run", tie=TIE)
+    d = in_order(
+        _limits(spikes, rule), UNIT, "t", length, tie=TIE, lag={"_pt": "t"}, lead={"_nt": "t"}, index="pos",
+        total="_n", running={"run": run_number(starts)},
+    ).where((F.col("_n") >= rule.min_count) & (F.col("_n") > 1))
     opens = (F.col("_nt") - F.col("t") <= F.col("_start")) & (F.col("pos") < F.col("_n") - rule.min_count)
     return d.withColumn("opens", F.coalesce(opens, F.lit(False)))
 
@@ -76,9 +76,8 @@ def raw_bursts(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
 
 def _grouped(raw: DataFrame, rule: BurstRule, length: int) -> DataFrame:
     """Raw bursts numbered by the merged burst they belong to."""
-    d = in_order(raw, UNIT, "start_t", length, lag={"_pe": "end_t"})
     starts = F.col("_pe").isNull() | (F.col("start_t") - F.col("_pe") >= F.col("_gap"))
-    return islands(d, UNIT, "start_t", length, starts, "burst")
+    return in_order(raw, UNIT, "start_t", length, lag={"_pe": "end_t"}, running={"burst": run_number(starts)})
 
 
 def _kept(grouped: DataFrame, rule: BurstRule) -> DataFrame:
@@ -106,9 +105,12 @@ def bursts(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
 
 
 def burst_spikes(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
-    """The spikes of each kept burst, with the number of the burst."""
+    """The spikes of each kept burst, with the number of the burst.
+
+    The burst-level table is checkpointed: three branches read it.
+    """
     runs = _in_runs(spikes, rule, length).select(*UNIT, "spike_id", "t", "pos", "run")
-    g = _grouped(raw_bursts(spikes, rule, length), rule, length)
+    g = checkpoint(_grouped(raw_bursts(spikes, rule, length), rule, length))
     kept = _kept(g, rule).select(*UNIT, "burst")
     members = g.select(*UNIT, "run", "first_pos", "burst").join(kept, [*UNIT, "burst"], "left_semi")
     return runs.join(members, [*UNIT, "run"]).where("pos >= first_pos").select(*UNIT, "burst", "spike_id", "t")
@@ -117,11 +119,8 @@ def burst_spikes(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
 def burst_properties(spikes: DataFrame, rule: BurstRule, refractory: float, length: int) -> DataFrame:
     """One row per burst: interval, size, adaptation measures and length."""
     keys = [*UNIT, "burst"]
-    s = burst_spikes(spikes, rule, length)
-    iv = in_order(s, keys, "t", length, tie=TIE, lag={"_pt": "t"}).withColumn("isi", F.col("t") - F.col("_pt"))
-    iv = in_order(iv.drop("_pt"), keys, "t", length, tie=TIE, lag={"isi_prev": "isi"})
-    span = iv.groupBy(*keys).agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"))
-    return adaptation(iv, keys, refractory).join(span, keys).select(
+    iv = intervals(burst_spikes(spikes, rule, length), length, keys)
+    return adaptation(iv, keys, refractory).select(
         *keys,
         F.col("mean_isi").alias("intra_burst_iei"),
         F.col("n_spikes").alias("spikes_per_burst"),
@@ -129,9 +128,9 @@ def burst_properties(spikes: DataFrame, rule: BurstRule, refractory: float, leng
         "rlocal_sfa",
         "divisor_sfa",
         "abi_sfa",
-        (F.col("end_t") - F.col("start_t")).alias("burst_len"),
-        "start_t",
-        "end_t",
+        (F.col("last_t") - F.col("first_t")).alias("burst_len"),
+        F.col("first_t").alias("start_t"),
+        F.col("last_t").alias("end_t"),
     )
 
 
@@ -165,14 +164,17 @@ def histogram_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def burst_unit_means(props: DataFrame, length: int) -> DataFrame:
     """Per-unit means over bursts, with modes for the adaptation measures."""
-    d = inter_burst_intervals(props, length)
+    props = checkpoint(props)
     cols = ["intra_burst_iei", "spikes_per_burst", "local_sfa", "rlocal_sfa", "divisor_sfa", "abi_sfa", "burst_len"]
-    out = d.groupBy(*UNIT).agg(
+    out = inter_burst_intervals(props, length).groupBy(*UNIT).agg(
         F.count(F.lit(1)).alias("num_bursts"),
         F.sum("burst_len").alias("total_burst_time"),
         F.avg("inter_burst_iei").alias("inter_burst_iei"),
         *[F.avg(c).alias(c) for c in cols],
     )
-    for c in ("local_sfa", "rlocal_sfa", "divisor_sfa", "abi_sfa"):
-        out = out.join(histogram_mode(props, UNIT, c), UNIT, "left")
-    return out
+    sfa = [c for c in cols if "sfa" in c]
+    long = props.unpivot(UNIT, sfa, "measure", "value")
+    modes = histogram_mode(long, [*UNIT, "measure"], "value").groupBy(*UNIT).agg(
+        *[F.max(F.when(F.col("measure") == c, F.col("peak_value"))).alias(f"peak_{c}") for c in sfa]
+    )
+    return out.join(modes, UNIT, "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.operators.ordered import in_order, islands
+from spikeloom.operators.ordered import in_order, run_number
 from spikeloom.operators.skew import salted_join
 from spikeloom.operators.spikes import UNIT
 
@@ -24,9 +24,11 @@ def match_zones(trains: DataFrame, keys: Sequence[str], dt: int, length: int) ->
     stretch, which bounds the zones of a dense train by the stretch, not by its spikes.
     """
     width = 2 * dt + 1
-    p = in_order(trains.select(*keys, "spike_id", "t"), keys, "t", length, tie=TIE, lag={"_p": "t"})
     breaks = F.col("_p").isNull() | (F.col("t") - F.col("_p") > dt + 1)
-    p = islands(p, keys, "t", length, breaks, "_chain", tie=TIE)
+    p = in_order(
+        trains.select(*keys, "spike_id", "t"), keys, "t", length, tie=TIE,
+        lag={"_p": "t"}, running={"_chain": run_number(breaks)},
+    )
     lo = F.greatest(F.coalesce(F.col("_p") + dt + 1, F.col("t") - dt), F.col("t") - dt)
     p = p.withColumn("lo", lo).where(F.col("lo") <= F.col("t") + dt)
     zones = p.groupBy(*keys, "_chain", F.expr(f"floor(t / {width})").alias("_cell")).agg(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.operators.ordered import in_order, islands, stretch
+from spikeloom.operators.ordered import in_order, run_number, stretch
 
 UNIT = ["recording_id", "cluster_id"]
 
@@ -140,9 +140,8 @@ def expand(df: DataFrame, count: str) -> DataFrame:
 def activity_runs(cells: DataFrame, keys: Sequence[str], n_bins: int, length: int) -> DataFrame:
     """Runs of consecutive positive bins; a run still open at the last bin is not reported."""
     on = cells.where("n > 0")
-    prev = in_order(on, keys, "bin", length, lag={"_p": "bin"})
     starts = F.col("_p").isNull() | (F.col("bin") - F.col("_p") > 1)
-    runs = islands(prev, keys, "bin", length, starts, "run")
+    runs = in_order(on, keys, "bin", length, lag={"_p": "bin"}, running={"run": run_number(starts)})
     return (
         runs.groupBy(*keys, "run")
         .agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), F.count(F.lit(1)).alias("length"))

@@ -11,10 +11,10 @@ from spikeloom.operators.spikes import UNIT, bin_counts
 ORDER = dict(tie=["spike_id"])
 
 
-def intervals(spikes: DataFrame, length: int) -> DataFrame:
+def intervals(spikes: DataFrame, length: int, keys: list[str] = UNIT) -> DataFrame:
     """Each spike with the interval to the one before and the interval before that."""
-    d = in_order(spikes, UNIT, "t", length, lag={"_pt": "t"}, **ORDER).withColumn("isi", F.col("t") - F.col("_pt"))
-    return in_order(d.drop("_pt"), UNIT, "t", length, lag={"isi_prev": "isi"}, index="pos", **ORDER)
+    d = in_order(spikes, keys, "t", length, lag={"_p1": "t"}, lag2={"_p2": "t"}, index="pos", **ORDER)
+    return d.withColumns({"isi": F.col("t") - F.col("_p1"), "isi_prev": F.col("_p1") - F.col("_p2")}).drop("_p1", "_p2")
 
 
 def firing_rate(spikes: DataFrame, duration: float | None = None) -> DataFrame:
@@ -63,6 +63,8 @@ def adaptation(iv: DataFrame, keys: list[str], refractory: float) -> DataFrame:
         F.when(n_pairs > 2, F.avg(revised_local_variation(isi, prev, refractory))).alias("rlocal_sfa"),
         F.when(last > 0, F.try_divide(first.cast("double"), last.cast("double"))).alias("divisor_sfa"),
         F.avg(adaptation_index(isi, prev)).alias("abi_sfa"),
+        F.min("t").alias("first_t"),
+        F.max("t").alias("last_t"),
     )
 
 

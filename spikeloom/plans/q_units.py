@@ -82,14 +82,18 @@ for _name in ("local_sfa", "rlocal_sfa", "divisor_sfa", "abi_sfa"):
     _sfa(_name)
 
 MIN_ISI = 600_000_000
-VIOL = f"""k AS (SELECT * FROM (SELECT *, t - lag(t) OVER (PARTITION BY cluster_id ORDER BY t) AS g FROM spk)
-            WHERE g IS NULL OR g > {MIN_ISI}),
+def viol_sql(min_isi):
+    return f"""k AS (SELECT * FROM (SELECT *, t - lag(t) OVER (PARTITION BY cluster_id ORDER BY t) AS g FROM spk)
+            WHERE g IS NULL OR g > {min_isi}),
   v AS (SELECT *, t - lag(t) OVER (PARTITION BY cluster_id ORDER BY t) AS h FROM k),
   viol AS (SELECT cluster_id, count(*) FILTER (h < {THR}) AS num_violations,
-             count(*) FILTER (h < {THR}) / (2.0 * count(*) * {THR - MIN_ISI}) / (count(*) / {float(T)}) AS fp_rate
+             count(*) FILTER (h < {THR}) / (2.0 * count(*) * {THR - min_isi}) / (count(*) / {float(T)}) AS fp_rate
            FROM v GROUP BY 1)"""
 
 
+VIOL = viol_sql(MIN_ISI)
+
+
 @query("isi_violations", f"WITH {S.SPK}, {VIOL} SELECT cluster_id, num_violations, round(fp_rate, 6) AS fp_rate FROM viol")
 def _(spark, sf):
     d = un.isi_violations(S.spikes(spark, sf), SEG, THR, MIN_ISI, T)
@@ -166,7 +170,7 @@ COLS = [
     "fano_factor", "cv", "iei", "fr_iei", "fr", "abi_sfa", "local_sfa", "rlocal_sfa", "divisor_sfa",
     "fp_rate", "rp_contam", "presence_ratio", "amp_cutoff",
 ]
-VIOL0 = VIOL.replace(str(MIN_ISI), "0").replace(str(THR - MIN_ISI), str(THR))
+VIOL0 = viol_sql(0)
 
 
 @query(
