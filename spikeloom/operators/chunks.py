@@ -69,20 +69,28 @@ def _conv(x, w):
     return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(w, n), n)[: len(x) + len(w) - 1]
 
 
-def fir(chunks: DataFrame, size: int, weights: Sequence[float], shift: int, step: int = 1) -> DataFrame:
-    """out[i] = sum_m w[m] x[i + shift - m], every ``step``-th sample of the channel kept."""
+def fir(chunks: DataFrame, size: int, weights: Sequence[float], shift: int, step: int = 1, edge: str = "zero") -> DataFrame:
+    """out[i] = sum_m w[m] x[i + shift - m], every ``step``-th sample of the channel kept.
+
+    Beyond its ends a channel is zero, or mirrored through its end point with ``edge="odd"``.
+    """
     w = np.asarray(weights, float)
+    left, right = len(w) - 1 - shift, shift
 
     @F.pandas_udf(ARR)
     def run(samples: pd.Series, lead: pd.Series, n: pd.Series, chunk: pd.Series) -> pd.Series:
         out = []
         for x, a, k, c in zip(samples, lead, n, chunk):
-            y = _conv(np.asarray(x), w)[a + shift : a + shift + k]
+            x = np.asarray(x)
+            if edge == "odd":
+                head, tail = left - a, right - (len(x) - a - k)
+                x = np.concatenate([2 * x[0] - x[head:0:-1], x, 2 * x[-1] - x[-2 : -2 - tail : -1]])
+                a = left
+            y = _conv(x, w)[a + shift : a + shift + k]
             out.append(y[(-c * size) % step :: step])
         return pd.Series(out)
 
-    h = halo(chunks, size, len(w) - 1 - shift, shift)
-    return h.select(*CHAN, "chunk", run("samples", "lead", "n", "chunk").alias("samples"))
+    return halo(chunks, size, left, right).select(*CHAN, "chunk", run("samples", "lead", "n", "chunk").alias("samples"))
 
 
 def _system(sos, size):
@@ -219,10 +227,10 @@ def filtered(chunks: DataFrame, size: int, fs: float, kind: str = "butterworth_z
         freq.append(fs / 2)
         gain.append(0.0 if lowpass else 1.0)
         w = design.firwin_shape(taps, freq, gain, fs, design.window(window, taps, periodic=False))
-        half = (taps - 1) // 2
         if zero.endswith("1"):
-            w, half = np.convolve(w, w[::-1]), taps - 1
-        return fir(chunks, size, w, half)
+            # Forward and backward passes in one: the kernel meets its mirror image.
+            return fir(chunks, size, np.convolve(w, w[::-1]), taps - 1, edge="odd")
+        return fir(chunks, size, w, (taps - 1) // 2)
     raise ValueError(f"unknown filter {kind}")
 
 

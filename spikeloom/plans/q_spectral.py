@@ -260,7 +260,17 @@ def _(spark, sf):
     return ch.to_long(d, CH).select("channel", "idx", R("v"))
 
 
-@query("fir_zero_twice", _fir_sql(np.convolve(FIRW, FIRW[::-1]), 20))
+FIR2 = np.convolve(FIRW, FIRW[::-1])
+
+
+@query(
+    "fir_zero_twice",
+    f"""WITH {S.SIG}, {_vals('w', 'm, w', [(i, float(x)) for i, x in enumerate(FIR2)])},
+      e AS (SELECT channel, CASE WHEN r.i < 0 THEN 2 * a.v - b.v WHEN r.i > 63 THEN 2 * z.v - b.v ELSE b.v END AS v, r.i AS idx
+        FROM range(-20, 84) r(i) JOIN sig b ON b.idx = CASE WHEN r.i < 0 THEN -r.i WHEN r.i > 63 THEN 126 - r.i ELSE r.i END
+        JOIN (SELECT channel, v FROM sig WHERE idx = 0) a USING (channel) JOIN (SELECT channel, v FROM sig WHERE idx = 63) z USING (channel))
+      SELECT channel, idx + m - 20 AS idx, round(sum(v * w), 6) AS v FROM e CROSS JOIN w WHERE idx + m - 20 BETWEEN 0 AND 63 GROUP BY 1, 2""",
+)
 def _(spark, sf):
     d = ch.filtered(S.signal_chunks(spark, sf, CH), CH, FS, "fir_zero_1", 21, 4.0, 12.0, 1.0, 1.0)
     return ch.to_long(d, CH).select("channel", "idx", R("v"))
