@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, run_number
+from spikeloom.operators.skew import attach
 from spikeloom.operators.spikes import UNIT
 from spikeloom.operators.units import adaptation, intervals
 from spikeloom.session import checkpoint
@@ -41,7 +42,7 @@ def _limits(spikes: DataFrame, rule: BurstRule) -> DataFrame:
     d = spikes.select(*UNIT, "spike_id", "t")
     if rule.max_start is None or rule.max_end is None:
         per = d.groupBy(*UNIT).agg(F.try_divide(F.max("t") - F.min("t"), F.count(F.lit(1)) - 1).alias("_mean"))
-        d = d.join(per, UNIT)
+        d = attach(d, per, UNIT, F.col("spike_id"))
     return d.select(*UNIT, "spike_id", "t", start.alias("_start"), end.alias("_end"), gap.alias("_gap"))
 
 
@@ -89,7 +90,7 @@ def _kept(grouped: DataFrame, rule: BurstRule) -> DataFrame:
     )
     if rule.drop_lone_last:
         per = b.groupBy(*UNIT).agg(F.max("burst").alias("_last"), F.sum("n_raw").alias("_raw"))
-        b = b.join(per, UNIT).where(
+        b = attach(b, per, UNIT, F.col("burst")).where(
             ~((F.col("burst") == F.col("_last")) & (F.col("n_raw") == 1) & (F.col("_raw") > 1))
         ).drop("_last", "_raw")
     return b.where((F.col("end_t") - F.col("start_t") >= rule.min_dur) & (F.col("n_spikes") >= rule.min_count))

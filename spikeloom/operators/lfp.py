@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from spikeloom.functions import design
 from spikeloom.operators.chunks import ARR, CHAN
 from spikeloom.operators.ordered import in_order, run_number
+from spikeloom.operators.skew import attach
 
 
 def above_baseline(ste: DataFrame, level: Column, gap: int, length: int) -> DataFrame:
@@ -183,7 +184,7 @@ def grid_counts(df: DataFrame, keys: Sequence[str], value: str, tol: float, bins
     lim = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.var_samp(value).alias("_v"), F.count(value).alias("n"))
     lim = lim.select(*keys, "n", (F.col("_lo") - F.col("_v") * tol).alias("lo"), (F.col("_hi") + F.col("_v") * tol).alias("hi"))
     pos = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (bins - 1)
-    d = df.join(lim, list(keys)).where("hi > lo").withColumn("_x", pos).withColumn("_i", F.floor("_x").cast("int"))
+    d = attach(df, lim, list(keys)).where("hi > lo").withColumn("_x", pos).withColumn("_i", F.floor("_x").cast("int"))
     w = F.col("_x") - F.col("_i")
     both = F.array(F.struct(F.col("_i").alias("i"), (1 - w).alias("w")), F.struct((F.col("_i") + 1).alias("i"), w.alias("w")))
     return d.select(*keys, "n", "lo", "hi", F.explode(both).alias("_b")).groupBy(*keys, "n", "lo", "hi", F.col("_b.i").alias("i")).agg(

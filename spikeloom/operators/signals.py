@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, rolling
+from spikeloom.operators.skew import attach
 
 REC = "recording_id"
 CHAN = ["recording_id", "channel"]
@@ -20,7 +21,7 @@ CHAN = ["recording_id", "channel"]
 
 def scaled(raw: DataFrame, channels: DataFrame) -> DataFrame:
     """Raw samples times the channel coefficient, minus the channel mean."""
-    d = raw.join(channels.select(*CHAN, "coeff", "mean"), CHAN)
+    d = attach(raw, channels.select(*CHAN, "coeff", "mean"), CHAN, F.col("idx"))
     return d.withColumn("v", F.col("v") * F.col("coeff") - F.col("mean")).drop("coeff", "mean")
 
 
@@ -58,7 +59,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int =
     lim = df.groupBy(*keys).agg(br.alias("_b"), F.count(value).alias("_n")).select(
         *keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")
     )
-    j = df.join(lim, list(keys))
+    j = attach(df, lim, list(keys))
     below = j.groupBy(*keys).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
     mid = j.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_n", F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
@@ -72,7 +73,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int =
 def mad(sig: DataFrame) -> DataFrame:
     """Median absolute deviation scaled to a standard deviation."""
     med = exact_median(sig, CHAN, "v")
-    d = sig.join(med, CHAN).select(*CHAN, F.abs(F.col("v") - F.col("median")).alias("dev"))
+    d = attach(sig, med, CHAN, F.col("idx")).select(*CHAN, F.abs(F.col("v") - F.col("median")).alias("dev"))
     return exact_median(d, CHAN, "dev").select(*CHAN, (F.col("median") / F.lit(0.6744897501960817)).alias("mad"))
 
 
@@ -248,7 +249,7 @@ def mutual_information(pairs: DataFrame, keys: Sequence[str], bins: int = 20) ->
         F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), F.count(F.lit(1)).alias("n")
     )
     joint = (
-        pairs.join(lim, list(keys))
+        attach(pairs, lim, list(keys))
         .groupBy(*keys, "n", equal_bins("x", "lx", "hx", bins).alias("bx"), equal_bins("y", "ly", "hy", bins).alias("by"))
         .agg(F.count(F.lit(1)).alias("c"))
     )

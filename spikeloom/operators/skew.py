@@ -43,3 +43,12 @@ def salted_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))
     )
     return left.drop("_splits").join(right.drop("_splits"), [*on, "_salt"], how).drop("_salt")
+
+
+def attach(many: DataFrame, per_key: DataFrame, on: Sequence[str], spread: Column | None = None) -> DataFrame:
+    """Add the columns of a one-row-per-key table to rows of which a few keys may own most.
+
+    A plain join here would send a hot key to one task, and a later aggregate on the same key
+    keeps adaptive execution from splitting it.
+    """
+    return salted_join(many, per_key, on, F.struct(*many.columns) if spread is None else spread)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import SEG, in_order, with_reach
+from spikeloom.operators.skew import attach
 from spikeloom.operators.spikes import UNIT, bin_counts
 
 ORDER = dict(tie=["spike_id"])
@@ -118,7 +119,7 @@ def presence(spikes: DataFrame, start: int, end: int) -> DataFrame:
     bins = F.col("edges") - 1
     b = F.least(F.floor((F.col("t") - F.lit(start)) * bins / F.lit(float(end - start))), bins - 1).cast("bigint")
     counts = (
-        spikes.join(per.where("edges > 2"), UNIT)
+        attach(spikes, per.where("edges > 2"), UNIT, F.col("spike_id"))
         .groupBy(*UNIT, "edges", b.alias("bin"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -153,7 +154,7 @@ def amplitude_histogram(spikes: DataFrame, bins: int = 500) -> DataFrame:
     ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     b = F.when(F.col("width") > 0, F.floor((F.col("amplitude") - F.col("lo")) / F.col("width"))).otherwise(0)
     return (
-        spikes.join(lim, UNIT)
+        attach(spikes, lim, UNIT, F.col("spike_id"))
         .groupBy(*UNIT, F.least(b, F.lit(bins - 1)).cast("bigint").alias("bin"))
         .agg(F.count(F.lit(1)).alias("c"), F.first("total").alias("total"), F.first("width").alias("width"))
     )
