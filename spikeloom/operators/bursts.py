@@ -78,7 +78,10 @@ def raw_bursts(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
 def _grouped(raw: DataFrame, rule: BurstRule, length: int) -> DataFrame:
     """Raw bursts numbered by the merged burst they belong to."""
     starts = F.col("_pe").isNull() | (F.col("start_t") - F.col("_pe") >= F.col("_gap"))
-    return in_order(raw, UNIT, "start_t", length, lag={"_pe": "end_t"}, running={"burst": run_number(starts)})
+    return in_order(
+        raw, UNIT, "start_t", length, lag={"_pe": "end_t"}, lead={"_ns": "start_t"}, total="_raw",
+        running={"burst": run_number(starts)},
+    )
 
 
 def _kept(grouped: DataFrame, rule: BurstRule) -> DataFrame:
@@ -87,12 +90,12 @@ def _kept(grouped: DataFrame, rule: BurstRule) -> DataFrame:
         F.max("end_t").alias("end_t"),
         F.sum("n_spikes").alias("n_spikes"),
         F.count(F.lit(1)).alias("n_raw"),
+        F.first("_raw").alias("_raw"),
+        F.bool_or(F.col("_ns").isNull()).alias("_last"),
     )
     if rule.drop_lone_last:
-        per = b.groupBy(*UNIT).agg(F.max("burst").alias("_last"), F.sum("n_raw").alias("_raw"))
-        b = attach(b, per, UNIT, F.col("burst")).where(
-            ~((F.col("burst") == F.col("_last")) & (F.col("n_raw") == 1) & (F.col("_raw") > 1))
-        ).drop("_last", "_raw")
+        b = b.where(~(F.col("_last") & (F.col("n_raw") == 1) & (F.col("_raw") > 1)))
+    b = b.drop("_last", "_raw")
     return b.where((F.col("end_t") - F.col("start_t") >= rule.min_dur) & (F.col("n_spikes") >= rule.min_count))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, rolling
-from spikeloom.operators.skew import attach
+from spikeloom.operators.skew import attach, hot_keys
 
 REC = "recording_id"
 CHAN = ["recording_id", "channel"]
@@ -48,7 +48,9 @@ def referenced(sig: DataFrame, ref: DataFrame, probe: Sequence[str] = ()) -> Dat
     return d.withColumn("v", F.col("v") - F.col("ref")).drop("ref")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10000) -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10000, hot: DataFrame | None = None
+) -> DataFrame:
     """Median without sorting a group in one task.
 
     A mergeable sketch brackets the middle ranks to within 2/accuracy of the group; only rows
@@ -59,7 +61,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int =
     lim = df.groupBy(*keys).agg(br.alias("_b"), F.count(value).alias("_n")).select(
         *keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")
     )
-    j = attach(df, lim, list(keys))
+    j = attach(df, lim, list(keys), hot=hot)
     below = j.groupBy(*keys).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
     mid = j.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_n", F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
@@ -72,9 +74,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int =
 
 def mad(sig: DataFrame) -> DataFrame:
     """Median absolute deviation scaled to a standard deviation."""
-    med = exact_median(sig, CHAN, "v")
-    d = attach(sig, med, CHAN, F.col("idx")).select(*CHAN, F.abs(F.col("v") - F.col("median")).alias("dev"))
-    return exact_median(d, CHAN, "dev").select(*CHAN, (F.col("median") / F.lit(0.6744897501960817)).alias("mad"))
+    hot = hot_keys(sig, CHAN)
+    med = exact_median(sig, CHAN, "v", hot=hot)
+    d = attach(sig, med, CHAN, F.col("idx"), hot).select(*CHAN, F.abs(F.col("v") - F.col("median")).alias("dev"))
+    return exact_median(d, CHAN, "dev", hot=hot).select(*CHAN, (F.col("median") / F.lit(0.6744897501960817)).alias("mad"))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

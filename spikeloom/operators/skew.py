@@ -30,12 +30,14 @@ def salted_join(
     spread: Column,
     how: str = "inner",
     share: int = SHARE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that splits hot keys of ``many`` and copies only the matching rows of ``few``.
 
-    ``spread`` is any expression that varies among rows of one key.
+    ``spread`` is any expression that varies among rows of one key.  ``hot`` may bring the hot
+    keys of a table with the same rows per key when ``many`` is expensive to count.
     """
-    hot = F.broadcast(hot_keys(many, on, share))
+    hot = F.broadcast(hot_keys(many, on, share) if hot is None else hot)
     left = many.join(hot, list(on), "left").withColumn(
         "_salt", F.when(F.col("_splits").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), "_splits")).cast("int")
     )
@@ -45,10 +47,12 @@ def salted_join(
     return left.drop("_splits").join(right.drop("_splits"), [*on, "_salt"], how).drop("_salt")
 
 
-def attach(many: DataFrame, per_key: DataFrame, on: Sequence[str], spread: Column | None = None) -> DataFrame:
+def attach(
+    many: DataFrame, per_key: DataFrame, on: Sequence[str], spread: Column | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """Add the columns of a one-row-per-key table to rows of which a few keys may own most.
 
     A plain join here would send a hot key to one task, and a later aggregate on the same key
     keeps adaptive execution from splitting it.
     """
-    return salted_join(many, per_key, on, F.struct(*many.columns) if spread is None else spread)
+    return salted_join(many, per_key, on, F.struct(*many.columns) if spread is None else spread, hot=hot)
