@@ -205,3 +205,53 @@ def morlet(freq, fs, n_cycles=7.0, sigma=-1, gauss_sd=5.0, zero_mean=True, order
         w = w - math.exp(-2 * (math.pi * freq * sd) ** 2)
     w = w * np.exp(-(t**2) / (2 * sd**2))
     return w / (math.sqrt(0.5) * np.linalg.norm(w, ord=order))
+
+
+def equiripple(taps, bands, gains, fs, density=16, rounds=60):
+    """Linear-phase FIR with equal ripples (Parks-McClellan exchange), odd length.
+
+    ``bands`` lists band edges in pairs and ``gains`` one target per band.
+    """
+    if taps % 2 == 0:
+        raise ValueError("an odd number of taps is needed")
+    r = (taps - 1) // 2 + 1
+    grid, want = [], []
+    step = fs / 2 / (density * r)
+    for i, g in enumerate(gains):
+        lo, hi = bands[2 * i], bands[2 * i + 1]
+        f = np.linspace(lo, hi, max(int((hi - lo) / step) + 1, 2))
+        grid.append(f)
+        want.append(np.full(len(f), float(g)))
+    x, d = np.cos(2 * math.pi * np.concatenate(grid) / fs), np.concatenate(want)
+    edges = np.cumsum([0, *map(len, grid)])
+    pick = np.linspace(0, len(x) - 1, r + 1).round().astype(int)
+    best = None
+    for _ in range(rounds):
+        basis = np.cos(np.arccos(np.clip(x[pick], -1, 1))[:, None] * np.arange(r))
+        a = np.column_stack([basis, (-1.0) ** np.arange(r + 1)])
+        sol = np.linalg.solve(a, d[pick])
+        coef, ripple = sol[:r], abs(sol[r])
+        err = d - np.cos(np.arccos(np.clip(x, -1, 1))[:, None] * np.arange(r)) @ coef
+        top = []
+        for s, e in zip(edges[:-1], edges[1:]):
+            v = err[s:e]
+            for i in range(len(v)):
+                left = i == 0 or (v[i] - v[i - 1]) * np.sign(v[i]) >= 0
+                right = i == len(v) - 1 or (v[i] - v[i + 1]) * np.sign(v[i]) > 0
+                if left and right:
+                    top.append(s + i)
+        alt = []
+        for i in top:
+            if alt and np.sign(err[i]) == np.sign(err[alt[-1]]):
+                if abs(err[i]) > abs(err[alt[-1]]):
+                    alt[-1] = i
+            else:
+                alt.append(i)
+        while len(alt) > r + 1:
+            alt.pop(0 if abs(err[alt[0]]) < abs(err[alt[-1]]) else -1)
+        best = coef
+        if len(alt) < r + 1 or np.abs(err).max() - ripple < 1e-9 + 1e-4 * ripple:
+            break
+        pick = np.array(alt)
+    half = np.concatenate([best[:0:-1] / 2, [best[0]], best[1:] / 2])
+    return half

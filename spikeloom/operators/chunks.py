@@ -210,12 +210,15 @@ def band_sos(kind: str, order: int, fs: float, highpass=None, lowpass=None) -> n
 
 def filtered(chunks: DataFrame, size: int, fs: float, kind: str = "butterworth_zero", order: int = 4, highpass=None, lowpass=None,
              high_width=None, low_width=None, window: str = "hann") -> DataFrame:
-    """Filter by name: butterworth, bessel (with _zero), fir_zero_1, fir_zero_2."""
-    base, _, zero = kind.partition("_zero")
+    """Filter by name: butterworth, bessel (with _zero), fir_zero_1/2, remez_1/2.
+
+    The first of each FIR pair runs forward and backward, the second once with its delay removed.
+    """
+    base = kind.partition("_zero")[0]
     if base in ("butterworth", "bessel"):
         sos = band_sos(base, order, fs, highpass, lowpass)
         return zero_phase(chunks, size, sos) if kind.endswith("_zero") else recursive(chunks, size, sos)
-    if base == "fir":
+    if base in ("fir", "remez_1", "remez_2"):
         taps = order if order % 2 else order + 1
         freq, gain = [0.0], [0.0 if highpass else 1.0]
         if highpass:
@@ -226,8 +229,11 @@ def filtered(chunks: DataFrame, size: int, fs: float, kind: str = "butterworth_z
             gain += [1.0, 0.0]
         freq.append(fs / 2)
         gain.append(0.0 if lowpass else 1.0)
-        w = design.firwin_shape(taps, freq, gain, fs, design.window(window, taps, periodic=False))
-        if zero.endswith("1"):
+        if base == "fir":
+            w = design.firwin_shape(taps, freq, gain, fs, design.window(window, taps, periodic=False))
+        else:
+            w = design.equiripple(taps, freq, gain[::2], fs)
+        if kind.endswith("1"):
             # Forward and backward passes in one: the kernel meets its mirror image.
             return fir(chunks, size, np.convolve(w, w[::-1]), taps - 1, edge="odd")
         return fir(chunks, size, w, (taps - 1) // 2)

@@ -390,3 +390,22 @@ def analytic(blocks: DataFrame, keep: Sequence[str], lo: float | None = None, hi
     return blocks.select(*CHAN, *keep, run("samples").alias("_z")).select(*CHAN, *keep, "_z.re", "_z.im")
 
 
+
+
+def channel_summary(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Number of bursts and mean and deviation of each burst measure per channel."""
+    return stats.groupBy(*CHAN).agg(
+        F.count(F.lit(1)).alias("n_bursts"),
+        *[f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))],
+    )
+
+
+def derivative_baseline(ste_chunks: DataFrame, size: int, weights: Sequence[float], threshold: float) -> DataFrame:
+    """Running sum of the smoothed gradient of the energy, plus threshold standard deviations."""
+    from spikeloom.operators.chunks import fir, to_long
+
+    # Smoothing and gradient are one kernel; the running sum adds chunk totals of earlier chunks.
+    smooth = fir(ste_chunks, size, np.convolve(weights, [0.5, 0.0, -0.5]), len(weights) // 2 + 1, edge="odd")
+    d = in_order(to_long(smooth, size), CHAN, "idx", size, running={"base": F.col("v")})
+    sd = d.groupBy(*CHAN).agg((F.stddev_pop("base") * threshold).alias("_sd"))
+    return attach(d, sd, CHAN, F.col("idx")).select(*CHAN, "idx", (F.col("base") + F.col("_sd")).alias("base"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, run_number
-from spikeloom.operators.skew import salted_join
+from spikeloom.operators.skew import hot_keys, salted_join
 from spikeloom.operators.spikes import UNIT
 
 TIE = ["spike_id"]
@@ -113,7 +113,8 @@ def sttc(
         "recording_id", F.col("cluster_id").alias(f"cluster{i}_id"),
         F.col("n_spikes").alias(f"cluster{i}_size"), F.col("tiled").alias(f"_t{i}"),
     )
-    spine = side(1).join(side(2), "recording_id").where("cluster1_id < cluster2_id")
+    crowded = hot_keys((spikes if units is None else units).select(*UNIT).distinct(), ["recording_id"])
+    spine = salted_join(side(1), side(2), ["recording_id"], F.col("cluster1_id"), hot=crowded).where("cluster1_id < cluster2_id")
     d = spine.join(hits, ["recording_id", "cluster1_id", "cluster2_id"], "left").fillna(
         0, ["n1_dt_2", "n1_before_2", "n2_dt_1", "n2_before_1"]
     )
@@ -180,7 +181,8 @@ def correlation_index(spikes: DataFrame, dt: int, start: int, stop: int) -> Data
     """Coincident pairs over the number expected for independent trains, all unit pairs."""
     sizes = spikes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
     side = lambda i: sizes.select("recording_id", F.col("cluster_id").alias(f"c{i}"), F.col("n").alias(f"n{i}"))
-    d = side(1).join(side(2), "recording_id").where("c1 < c2")
+    crowded = hot_keys(spikes.select(*UNIT).distinct(), ["recording_id"])
+    d = salted_join(side(1), side(2), ["recording_id"], F.col("c1"), hot=crowded).where("c1 < c2")
     d = d.join(coincidences(spikes, dt), ["recording_id", "c1", "c2"], "left").fillna(0, ["n_pairs"])
     expect = F.col("n1").cast("double") * F.col("n2") * (2 * dt)
     return d.withColumn("corr_index", F.col("n_pairs") * F.lit(float(stop - start)) / expect)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,9 +117,6 @@ def whitening(chunks: DataFrame, group: Sequence[str], n_channels: int, over: st
     The Gram matrix is a distributed sum; only its at most n_channels**2 entries per group
     reach the eigen-decomposition.
     """
-    import numpy as np
-    import pandas as pd
-
     p = channel_products(chunks, group)
     keys = [REC, *group]
 

@@ -133,14 +133,39 @@ def aperiodic_fit(psd: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def robust_line(psd: DataFrame, keys: Sequence[str], rounds: int = 20, scale: float = 1.339) -> DataFrame:
-    """Robust line of log10 power over frequency by reweighting with Andrew's wave.
-
-    Each round is one grouped aggregate over the bounded spectrum; residuals are scaled by
-    their median absolute deviation.
+# Usual tuning constants of the robust estimators.
+ANDREW, HUBER, TUKEY, RAMSAY, TRIM, HAMPEL = 1.339, 1.345, 4.685, 0.3, 2.0, (2.0, 4.0, 8.0)
+
+
+def robust_weights(z, norm):
+    """Weights of scaled residuals for the named M-estimator."""
+    a = np.abs(z)
+    safe = np.maximum(a, 1e-300)
+    if norm == "andrew":
+        return np.where(a < math.pi * ANDREW, np.sinc(z / ANDREW / math.pi), 0.0)
+    if norm == "huber":
+        return np.minimum(1.0, HUBER / safe)
+    if norm == "tukey":
+        return np.where(a < TUKEY, (1 - (z / TUKEY) ** 2) ** 2, 0.0)
+    if norm == "ramsay":
+        return np.exp(-RAMSAY * a)
+    if norm == "trimmed":
+        return (a <= TRIM).astype(float)
+    if norm == "hampel":
+        lo, mid, hi = HAMPEL
+        return np.select([a <= lo, a <= mid, a <= hi], [1.0, lo / safe, lo * (hi - a) / (hi - mid) / safe], 0.0)
+    if norm == "least_squares":
+        return np.ones_like(z)
+    raise ValueError(f"unknown estimator {norm}")
+
+
+def robust_line(psd: DataFrame, keys: Sequence[str], norm: str = "andrew", rounds: int = 30) -> DataFrame:
+    """Robust line of log10 power over frequency by reweighted least squares.
+
+    One spectrum (a bounded number of frequencies) is one row; residuals are scaled by their
+    median absolute deviation.
     """
-    d = psd.where("p > 0").select(*keys, F.col("freq").alias("x"), F.log10("p").alias("y")).withColumn("w", F.lit(1.0))
-    pts = d.groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("pts"))
+    pts = psd.where("p > 0").groupBy(*keys).agg(F.collect_list(F.struct(F.col("freq").alias("x"), F.log10("p").alias("y"))).alias("_p"))
 
     @F.pandas_udf(StructType([StructField("slope", DoubleType()), StructField("intercept", DoubleType())]))
     def fit(pts: pd.Series) -> pd.DataFrame:
@@ -148,18 +173,18 @@ def robust_line(psd: DataFrame, keys: Sequence[str], rounds: int = 20, scale: fl
         for rows in pts:
             x = np.array([r["x"] for r in rows])
             y = np.array([r["y"] for r in rows])
-            w = np.ones(len(x))
-            a = np.stack([x, np.ones(len(x))], 1)
+            a, w = np.stack([x, np.ones(len(x))], 1), np.ones(len(x))
             for _ in range(rounds):
                 beta = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
                 r = y - a @ beta
                 s = np.median(np.abs(r)) / 0.6744897501960817
-                z = r / (s * scale) if s > 0 else np.zeros(len(r))
-                w = np.where(np.abs(z) < math.pi, np.sinc(z / math.pi), 0.0)
+                if s == 0:
+                    break
+                w = robust_weights(r / s, norm)
             out.append(beta)
         return pd.DataFrame(out, columns=["slope", "intercept"])
 
-    return pts.select(*keys, fit("pts").alias("_f")).select(*keys, "_f.slope", "_f.intercept")
+    return pts.select(*keys, fit("_p").alias("_f")).select(*keys, "_f.*")
 
 
 def cross_spectra(z: DataFrame, group: Sequence[str] = ()) -> DataFrame:

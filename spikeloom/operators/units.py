@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from spikeloom.operators.ordered import SEG, in_order, with_reach
 from spikeloom.operators.skew import attach
@@ -139,8 +144,6 @@ def presence(spikes: DataFrame, start: int, end: int) -> DataFrame:
 
 def gaussian_weights(sigma: float) -> list[float]:
     """Normalised gaussian weights out to four sigma."""
-    import math
-
     r = int(4 * sigma + 0.5)
     w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     s = sum(w)
@@ -241,3 +244,29 @@ def unit_table(
         "presence_ratio",
         "amp_cutoff",
     )
+
+
+def narrow_band(correlogram: DataFrame, keys: list[str], bins: int, fs: float) -> DataFrame:
+    """Whether a correlogram oscillates more at 50-70 Hz than anywhere in 40-300 Hz; ``bins`` counts per unit."""
+
+    @F.pandas_udf(BooleanType())
+    def test(cells: pd.Series) -> pd.Series:
+        out = []
+        for c in cells:
+            x = np.zeros(bins)
+            for r in c:
+                x[r["bin"]] = r["n"]
+            z, f = np.abs(np.fft.rfft(x)), np.fft.rfftfreq(bins, 1 / fs)
+            near, wide = z[(f >= 50) & (f <= 70)], z[(f >= 40) & (f <= 300)]
+            out.append(bool(len(near) and near.max() >= wide.max()))
+        return pd.Series(out)
+
+    return correlogram.groupBy(*keys).agg(F.collect_list(F.struct("bin", "n")).alias("_c")).select(*keys, test("_c").alias("narrow_band"))
+
+
+def longest_burst_interval(kde: DataFrame, keys: list[str]) -> DataFrame:
+    """Interval at which the running mean of the interval density, over its count, is largest."""
+    d = kde.select(*keys, F.posexplode(F.arrays_zip("x", "y")).alias("k", "_z")).select(*keys, "k", "_z.x", "_z.y")
+    before = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("cma", F.try_divide(F.avg("y").over(before), F.col("k").cast("double")))
+    return d.where("cma is not null").groupBy(*keys).agg(F.max_by("x", F.struct("cma", -F.col("k"))).alias("isi_max"))

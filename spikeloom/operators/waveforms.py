@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from spikeloom.operators.lfp import cut
 
@@ -201,3 +201,53 @@ def template_properties(templates: DataFrame, keys: Sequence[str], center: int,
 
     return templates.select(*keys, run("waveform").alias("_p")).select(*keys, "_p.*")
 
+
+
+def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame, size: int, length: int, center: int, nchans: int,
+                     total: int, subtract: bool = True) -> DataFrame:
+    """Windows of the channels around each spike's best channel, larger troughs first.
+
+    With ``subtract`` the scaled template of every taken spike is removed before the next one is
+    cut, which makes the order matter; it does so inside one chunk of time and its halo of one
+    window, the unit of work of a task.  ``spikes`` carry recording_id, spike_id, template_id, t.
+    """
+    from spikeloom.operators.chunks import halo
+
+    first, last = channel_window("best", nchans, total)
+    best = best_channel(templates, ["template_id"]).withColumnRenamed("channel", "best")
+    shape = templates.join(best, "template_id").where((F.col("channel") >= first) & (F.col("channel") < last))
+    shape = shape.groupBy("template_id").agg(
+        F.first("best").alias("best"), F.first("peak").alias("peak"),
+        F.array_sort(F.collect_list(F.struct("channel", "waveform"))).alias("shape"),
+    )
+    mine = spikes.select("recording_id", "spike_id", "template_id", "t", F.expr(f"t div {size}").alias("chunk")).join(shape, "template_id")
+    mine = mine.groupBy("recording_id", "chunk").agg(F.collect_list(F.struct("peak", "spike_id", "t", "best", "shape")).alias("spikes"))
+    block = halo(chunks, size, length, length).groupBy("recording_id", "chunk").agg(
+        F.collect_list(F.struct("channel", "lead", "samples")).alias("rows")
+    )
+    out = ArrayType(StructType([StructField("spike_id", LongType()), StructField("channel", LongType()), StructField("waveform", ArrayType(DoubleType()))]))
+
+    @F.pandas_udf(out)
+    def run(rows: pd.Series, spikes: pd.Series, chunk: pd.Series) -> pd.Series:
+        result = []
+        for r, s, c in zip(rows, spikes, chunk):
+            data = {x["channel"]: np.array(x["samples"]) for x in r}
+            zero = int(c) * size - r[0]["lead"]
+            cuts = []
+            for q in sorted(s, key=lambda q: (q["peak"], q["spike_id"])):
+                a = q["t"] - zero - center
+                n = len(next(iter(data.values())))
+                if a < 0 or a + length > n:
+                    continue
+                for x in q["shape"]:
+                    cuts.append({"spike_id": q["spike_id"], "channel": x["channel"], "waveform": data[x["channel"]][a : a + length].copy()})
+                if subtract:
+                    scale = q["peak"] / (data[q["best"]][a + center] + 1e-10)
+                    for x in q["shape"]:
+                        data[x["channel"]][a : a + length] -= np.asarray(x["waveform"]) / (scale + 1e-10)
+            result.append(cuts)
+        return pd.Series(result)
+
+    return block.join(mine, ["recording_id", "chunk"]).select("recording_id", F.explode(run("rows", "spikes", "chunk")).alias("_w")).select(
+        "recording_id", "_w.*"
+    )

@@ -157,3 +157,25 @@ def _(spark, sf):
     w, _, costs = mo.sequence_factors(x, 5, size, 2, 6, 3, 0.001, 42)
     rows = [(int(i), int(k), int(j), float(w[i, k, j]), float(costs[-1])) for i in range(5) for k in range(2) for j in range(6)]
     return spark.createDataFrame(rows, "feature int, factor int, lag int, w double, cost double")
+
+
+LARGE = " + ".join(f"({a}) * exp((-{k} * (x - {u}) * (x - {u}) - (y - {v}) * (y - {v})) / {w})" for a, k, u, v, w in mo.LARGE_2D)
+SMALL = " + ".join(
+    f"({a}) * exp(-(((x - {u}) / {mo.SMALL_2D_WIDTH[0]}) ** 2 + ((y - {v}) / {mo.SMALL_2D_WIDTH[1]}) ** 2) / 2)" for u, v, a in mo.SMALL_2D
+)
+
+
+@query(
+    "csd_ground_truth",
+    f"""WITH p AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS x, abs(CAST(embedding[2] AS DOUBLE)) AS y FROM embeddings)
+      SELECT vec_id, round(0.5 * (exp(-(x - 0.7) * (x - 0.7) / 0.6) - exp(-(x - 0.3) * (x - 0.3) / 0.6)) / sqrt(2 * pi() * 0.3), 8) AS dipole,
+        round({LARGE}, 8) AS large, round({SMALL}, 8) AS small FROM p""",
+)
+def _(spark, sf):
+    e = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
+    d = S.table(spark, sf, "embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return d.select(
+        "vec_id", F.round(mo.dipole_1d(x), 8).alias("dipole"), F.round(mo.large_source_2d(x, y), 8).alias("large"),
+        F.round(mo.small_source_2d(x, y), 8).alias("small"),
+    )

@@ -300,3 +300,16 @@ def _(spark, sf):
     return phases(spark, sf).groupBy("cluster_id", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+@query("lfp_burst_channel_summary")
+def _(spark, sf):
+    raw = ch.to_chunks(S.hourly(spark, sf), 120)
+    st = lfp.burst_statistics(_spans(spark, sf), raw, 120, 1.0, 240, nperseg=6)
+    return lfp.channel_summary(st, ["len", "iei", "rms", "flatness"]).drop("recording_id")
+
+
+@query("derivative_baseline")
+def _(spark, sf):
+    e, _ = _energy(spark, sf)
+    return lfp.derivative_baseline(ch.to_chunks(e, 120), 120, [0.2] * 5, 3.0).drop("recording_id")

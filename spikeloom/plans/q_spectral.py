@@ -292,3 +292,23 @@ def _(spark, sf):
     lo = F.log10(1 + F.col("label").cast("double"))
     f = F.pow(F.lit(10.0), lo + (F.lit(math.log10(110)) - lo) * (F.col("vec_id") % 20) / 19.0)
     return e.select("label", "vec_id", F.round(f, 6).alias("freq"), F.round(7.0 / (2 * math.pi * f), 8).alias("sigma"))
+
+
+REMEZ = design.equiripple(21, [0.0, 12.0, 18.0, 32.0], [1.0, 0.0], FS)
+
+
+@query("remez_delay", _fir_sql(REMEZ, 10))
+def _(spark, sf):
+    d = ch.filtered(S.signal_chunks(spark, sf, CH), CH, FS, "remez_2", 21, lowpass=12.0, low_width=6.0)
+    return ch.to_long(d, CH).select("channel", "idx", R("v"))
+
+
+@query("robust_line_estimators")
+def _(spark, sf):
+    p = _welch(spark, sf)
+    names = ["andrew", "trimmed", "huber", "ramsay", "tukey", "hampel", "least_squares"]
+    parts = [sc.robust_line(p, ["channel"], n).withColumn("estimator", F.lit(n)) for n in names]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out

@@ -188,3 +188,36 @@ def unit_qc(spark, sf):
         S.spikes(spark, sf), length=SEG, stop=T, nperseg=BIN, threshold=THR, refractory=REF, per_second=1e6
     )
     return d.select("cluster_id", "n_spikes", "num_violations", *[F.round(c, 6).alias(c) for c in COLS])
+
+
+@query("correlogram_narrow_band")
+def _(spark, sf):
+    from spikeloom.operators import pairs as pr
+
+    h = pr.lag_histogram(S.spikes(spark, sf), 24 * H, H // 2, auto=True)
+    return un.narrow_band(h, ["cluster_id"], 96, 1000.0)
+
+
+@query("longest_burst_interval")
+def _(spark, sf):
+    from spikeloom.operators import lfp
+
+    d = _iv(spark, sf).where("isi is not null").withColumn("h", F.col("isi") / float(H))
+    kde = lfp.density(lfp.grid_counts(d, ["cluster_id"], "h", 0.0, 512), ["cluster_id"], 512)
+    return un.longest_burst_interval(kde, ["cluster_id"])
+
+
+@query("unit_properties_merged")
+def _(spark, sf):
+    from spikeloom.operators import bursts as bu
+    from spikeloom.operators import clean as cl
+    from spikeloom.operators import waveforms as wf
+    from spikeloom.plans.q_bursts import RULE
+
+    s = S.spikes(spark, sf)
+    unit = un.unit_table(s, length=SEG, stop=T, nperseg=BIN, threshold=THR, refractory=REF, per_second=1e6)
+    props = bu.burst_unit_means(bu.burst_properties(s, RULE, REF, SEG), SEG)
+    tpl = wf.template_properties(S.templates(spark, sf).withColumnRenamed("template_id", "cluster_id"), ["cluster_id"], 32)
+    names = [c for c in props.columns if c in unit.columns and c not in sp.UNIT]
+    merged = cl.outer_merge([unit, cl.rename_clashing(props, names, "burst_")], sp.UNIT)
+    return cl.outer_merge([merged, tpl], ["cluster_id"])

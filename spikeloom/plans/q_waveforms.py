@@ -190,3 +190,47 @@ def _(spark, sf):
     s = _hour_spikes(spark, sf).select("cluster_id", "t").distinct()
     t = S.templates(spark, sf).withColumnRenamed("template_id", "cluster_id")
     return wf.reconstruct(s, t, 720).select("cluster_id", "idx", R("v"))
+
+
+def _small_templates(spark, sf):
+    """Nine-sample templates on the five hourly channels, cut from the embeddings."""
+    t = S.table(spark, sf, "embeddings").where("vec_id < 100")
+    w = F.transform(F.slice("embedding", F.col("c") * 9 + 1, F.lit(9)), lambda v: v.cast("double"))
+    return t.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        F.col("vec_id").alias("template_id"), F.col("c").cast("bigint").alias("channel"), w.alias("waveform")
+    )
+
+
+def _numbered(spark, sf):
+    h = S.hourly(spark, sf)
+    names = F.array_sort(F.collect_set("channel"))
+    order = h.groupBy("recording_id").agg(names.alias("names"))
+    return h.join(order, "recording_id").withColumn("channel", (F.array_position("names", F.col("channel")) - 1).cast("bigint")).drop("names")
+
+
+def _extracted(spark, sf, subtract):
+    s = S.spikes(spark, sf).select("recording_id", "spike_id", (F.col("cluster_id") % 100).alias("template_id"), F.expr(f"t div {H}").alias("t"))
+    return wf.extract_channels(s, ch.to_chunks(_numbered(spark, sf), 120), _small_templates(spark, sf), 120, 9, 4, 1, 5, subtract)
+
+
+@query("extract_waveforms_subtracted")
+def _(spark, sf):
+    return _extracted(spark, sf, True)
+
+
+@query(
+    "extract_waveforms_channels",
+    f"""WITH {S.SPK}, {S.HRS}, nm AS (SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS c FROM (SELECT DISTINCT channel FROM hrs)),
+      tp AS (SELECT vec_id AS template_id, c.i AS c, sum(abs(CAST(embedding[CAST(c.i * 9 + k.i + 1 AS INTEGER)] AS DOUBLE))) AS s
+        FROM embeddings CROSS JOIN range(5) c(i) CROSS JOIN range(9) k(i) WHERE vec_id < 100 GROUP BY 1, 2),
+      b AS (SELECT template_id, arg_max(c, (s, -c)) AS best FROM tp GROUP BY 1),
+      w AS (SELECT template_id, greatest(best - 1, 0) AS s0, best + 1 + greatest(1 - best, 0) AS e0 FROM b),
+      w2 AS (SELECT template_id, s0 - greatest(e0 - 5, 0) AS s0, e0 - greatest(e0 - 5, 0) AS e0 FROM w),
+      sp AS (SELECT spike_id, cluster_id % 100 AS template_id, t // {H} AS h FROM spk)
+      SELECT spike_id, nm.c AS channel, count(*) AS n, sum(v * (idx - h + 5)) AS moment FROM sp JOIN w2 USING (template_id)
+      JOIN nm ON nm.c >= s0 AND nm.c < e0 JOIN hrs ON hrs.channel = nm.channel AND idx BETWEEN h - 4 AND h + 4
+      WHERE h >= 4 AND h + 4 < 720 GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    d = _extracted(spark, sf, False).select("spike_id", "channel", F.posexplode("waveform").alias("p", "v"))
+    return d.groupBy("spike_id", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * (F.col("p") + 1)).alias("moment"))
