@@ -1 +1,8 @@
 """Spark-native analytics for spike trains, field potentials and their coupling."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

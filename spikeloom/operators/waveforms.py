@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -122,7 +121,6 @@ def reconstruct(spikes: DataFrame, templates: DataFrame, n: int) -> DataFrame:
     return d.groupBy("cluster_id", "idx").agg(F.max_by(F.col("v") - F.col("_zero"), "t").alias("v"))
 
 
-@functools.cache
 def spline_matrix(n: int, factor: int):
     """Linear map from n samples to n * factor values of their not-a-knot cubic spline."""
     x = np.linspace(0, n, n)
@@ -169,9 +167,9 @@ def _slope(y, a, b):
     return float(t @ v / (t @ t))
 
 
-def template_row(w, center, factor=2, polarisation=20):
+def template_row(w, center, factor, upsample, polarisation=20):
     """Widths, extremes and slopes of one template on its upsampled spline."""
-    y = spline_matrix(len(w), factor) @ w
+    y = upsample @ w
     c = center * factor
     lo = int(np.argmin(y))
     seg = w[:c]
@@ -197,7 +195,8 @@ def template_properties(templates: DataFrame, keys: Sequence[str], center: int,
 
     @F.pandas_udf(out)
     def run(w: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([template_row(np.asarray(x, float), center, factor) for x in w], columns=FIELDS)
+        maps = {n: spline_matrix(n, factor) for n in set(w.map(len))}
+        return pd.DataFrame([template_row(np.asarray(x, float), center, factor, maps[len(x)]) for x in w], columns=FIELDS)
 
     return templates.select(*keys, run("waveform").alias("_p")).select(*keys, "_p.*")
 
