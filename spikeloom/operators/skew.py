@@ -18,9 +18,8 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: int = SHARE) -> DataFrame:
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_rows")).scalar()
-    return counts.where(F.col("_n") * F.lit(share) > total).select(
-        *on, F.ceil(F.col("_n") * F.lit(share) / total).cast("int").alias("_splits")
-    )
+    share_of = counts.withColumn("_rows", total).where(F.col("_n") * F.lit(share) > F.col("_rows"))
+    return share_of.select(*on, F.ceil(F.col("_n") * F.lit(share) / F.col("_rows")).cast("int").alias("_splits"))
 
 
 def salted_join(

@@ -288,13 +288,33 @@ def irasa(blocks: DataFrame, nperseg: int, fs: float, factors: Sequence[float],
     )
 
 
-def superlet_power(tf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Geometric mean of wavelet magnitudes over the orders of each frequency."""
-    return tf.groupBy(*keys).agg(F.exp(F.avg(F.log(F.greatest(F.sqrt(power()), F.lit(1e-300))))).alias("amplitude")).withColumn(
+def superlet_power(tf: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Geometric mean of wavelet magnitudes over the orders of each frequency.
+
+    Fractional orders give the last wavelet a ``weight`` below one.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    size = F.log(F.greatest(F.sqrt(power()), F.lit(1e-300)))
+    return tf.groupBy(*keys).agg(F.exp(F.sum(w * size) / F.sum(w)).alias("amplitude")).withColumn(
         "power", F.col("amplitude") * F.col("amplitude")
     )
 
 
+def superlet_set(freqs: Sequence[float], fs: float, base: float, low: float, high: float, multiplicative: bool = True):
+    """Wavelets of an adaptive superlet: orders rise linearly from low to high over the frequencies.
+
+    Returns (frequency number, weight, wavelet) with a fractional weight for the last order.
+    """
+    f0, f1 = min(freqs), max(freqs)
+    out = []
+    for i, f in enumerate(freqs):
+        order = low + (high - low) * ((f - f0) / (f1 - f0) if f1 > f0 else 0.0)
+        for k in range(1, math.ceil(order) + 1):
+            cycles = base * k if multiplicative else base + k - 1
+            out.append((i, min(1.0, order - (k - 1)), design.morlet(f, fs, n_cycles=cycles)))
+    return out
+
+
 def scale_power(p: Column, scaling: str, fs: float) -> Column:
     """Wavelet power as amplitude, power, density (psd) or amplitude density (asd)."""
     return {"power": p, "amplitude": F.sqrt(p), "psd": p / F.lit(fs), "asd": F.sqrt(p / F.lit(fs))}[scaling]

@@ -128,20 +128,39 @@ def presence(spikes: DataFrame, start: int, end: int) -> DataFrame:
         .groupBy(*UNIT, "edges", b.alias("bin"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    # Sums over all bins 0..m-1; empty bins add nothing to sum(c) and sum(bin*c).
+    # Sums over all bins 0..m-1; empty bins add nothing to sum(c), sum(bin*c) and sum(c*c).
     m = F.max("edges").cast("double") - 1
     sx, sxx = m * (m - 1) / 2, m * (m - 1) * (2 * m - 1) / 6
-    slope = F.try_divide(m * F.sum(F.col("bin") * F.col("c")) - sx * F.sum("c"), m * sxx - sx * sx)
+    top, side = m * F.sum(F.col("bin") * F.col("c")) - sx * F.sum("c"), m * sxx - sx * sx
+    spread = m * F.sum(F.col("c") * F.col("c")) - F.sum("c") * F.sum("c")
     stats = counts.groupBy(*UNIT).agg(
-        (F.count(F.lit(1)) / F.max("edges")).alias("presence_ratio"), slope.alias("presence_slope")
+        (F.count(F.lit(1)) / F.max("edges")).alias("presence_ratio"), F.try_divide(top, side).alias("presence_slope"),
+        F.try_divide(top * top, side * spread).alias("_r2"), (m - 2).alias("_dof"),
     )
+    stats = stats.withColumn("presence_pvalue", slope_pvalue(F.col("_r2"), F.col("_dof"))).drop("_r2", "_dof")
     return per.join(stats, UNIT, "left").select(
         *UNIT,
         F.coalesce("presence_ratio", F.lit(0.0)).alias("presence_ratio"),
         F.coalesce("presence_slope", F.lit(0.0)).alias("presence_slope"),
+        F.coalesce("presence_pvalue", F.lit(0.0)).alias("presence_pvalue"),
     )
 
 
+def slope_pvalue(r2: Column, dof: Column) -> Column:
+    """Two-sided p of a regression slope from its r squared: the tail of Student's t.
+
+    With t = sqrt(dof) tan(a) the density is cos(a)^(dof - 1), so the tail is a ratio of
+    integrals over angles, evaluated with 400 midpoints.
+    """
+    steps = 400
+    angle = F.asin(F.sqrt(F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0))))
+    part = lambda lo: F.aggregate(
+        F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0),
+        lambda acc, i: acc + F.pow(F.greatest(F.cos(lo + (i + 0.5) * (F.lit(math.pi / 2) - lo) / steps), F.lit(0.0)), dof - 1),
+    ) * (F.lit(math.pi / 2) - lo)
+    return F.when(dof > 0, part(angle) / part(F.lit(0.0)))
+
+
 def gaussian_weights(sigma: float) -> list[float]:
     """Normalised gaussian weights out to four sigma."""
     r = int(4 * sigma + 0.5)

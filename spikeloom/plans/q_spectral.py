@@ -164,14 +164,31 @@ def _(spark, sf):
     return d.select("channel", "f", F.round(sc.scale_power(F.col("p"), "psd", FS), 6).alias("psd"))
 
 
-SUP = [(f, design.morlet(f, FS, n_cycles=c)) for f in (8.0, 16.0) for c in (2.0, 3.0, 4.0)]
-
-
-@query("superlet")
-def _(spark, sf):
-    tf = ch.wavelet_long(ch.wavelet_bands(S.signal_chunks(spark, sf, CH), CH, [w for _, w in SUP]), CH)
-    f = F.array(*[F.lit(x) for x, _ in SUP])
-    return sc.superlet_power(tf.withColumn("freq", F.get(f, F.col("f"))), ["channel", "freq", "idx"])
+SUPF = [8.0, 12.0, 16.0]
+
+
+def _superlet(name, waves):
+    vals = _vals(
+        "sv", "f, k, weight, half, m, wr, wi",
+        [(i, k, float(g), (len(w) - 1) // 2, m, float(z.real), float(z.imag)) for k, (i, g, w) in enumerate(waves) for m, z in enumerate(w)],
+    )
+
+    @query(
+        name,
+        f"""WITH {S.SIG}, {vals}, t AS (SELECT channel, f, k, any_value(weight) AS g, idx + m - half AS idx, sum(v * wr) AS re, sum(v * wi) AS im
+            FROM sig CROSS JOIN sv WHERE idx + m - half BETWEEN 0 AND 63 GROUP BY channel, f, k, idx + m - half)
+          SELECT channel, f, idx, round(exp(sum(g * ln(sqrt(re * re + im * im))) / sum(g)), 6) AS amplitude FROM t GROUP BY 1, 2, 3""",
+    )
+    def _(spark, sf):
+        tf = ch.wavelet_long(ch.wavelet_bands(S.signal_chunks(spark, sf, CH), CH, [w for *_, w in waves]), CH)
+        at = lambda vals: F.get(F.array(*[F.lit(v) for v in vals]), F.col("f"))
+        tf = tf.withColumns({"freq": at([i for i, *_ in waves]).cast("bigint"), "weight": at([float(g) for _, g, _ in waves])})
+        d = sc.superlet_power(tf, ["channel", "freq", "idx"], "weight")
+        return d.select("channel", F.col("freq").alias("f"), "idx", R("amplitude"))
+
+
+_superlet("superlet", [(i, 1.0, design.morlet(f, FS, n_cycles=c)) for i, f in enumerate(SUPF) for c in (2.0, 3.0, 4.0)])
+_superlet("superlet_adaptive", sc.superlet_set(SUPF, FS, 2.0, 1.0, 2.5))
 
 
 HP, HSTEP = 96, 48

@@ -66,3 +66,25 @@ def write_raw(chunks: DataFrame, path: str, channels: int, size: int) -> None:
 
     g = chunks.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("rows"))
     g.mapInPandas(put, "bytes bigint").agg(F.sum("bytes")).collect()  # one row
+
+
+def write_npy(df: DataFrame, path: str, shape: tuple[int, ...], dtype: str = "<f4") -> None:
+    """Rows (row, value) as one .npy array on shared storage; every row goes to its own byte range."""
+    kind = np.dtype(dtype)
+    head = repr({"descr": kind.str, "fortran_order": False, "shape": tuple(int(v) for v in shape)})
+    start = -(-(10 + len(head) + 1) // 64) * 64
+    with open(path, "wb") as f:
+        f.write(b"\x93NUMPY\x01\x00" + (start - 10).to_bytes(2, "little") + head.ljust(start - 11).encode() + b"\n")
+    width = int(np.prod(shape[1:], dtype=int))
+
+    def put(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fd = os.open(path, os.O_WRONLY)
+        try:
+            for pdf in it:
+                for row, value in zip(pdf["row"], pdf["value"]):
+                    os.pwrite(fd, np.asarray(value).astype(kind).tobytes(), start + int(row) * width * kind.itemsize)
+                yield pd.DataFrame({"rows": [len(pdf)]})
+        finally:
+            os.close(fd)
+
+    df.select("row", "value").mapInPandas(put, "rows bigint").agg(F.sum("rows")).collect()  # one row

@@ -79,3 +79,11 @@ def test_csv_tables_are_tagged(spark, tmp_path):
         (tmp_path / k / "spike-properties-x.csv").write_text("cluster_id,fr\n1,2.5\n2,3.5\n")
     d = recording.csv_tables(spark, str(tmp_path / "*" / "spike-properties-*.csv"))
     assert sorted((r.id, r.cluster_id) for r in d.collect()) == [("m1", 1), ("m1", 2), ("m2", 1), ("m2", 2)]
+
+
+def test_npy_export_round_trip(spark, tmp_path):
+    a = np.random.default_rng(2).normal(size=(40, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, a[i].astype(float).tolist()) for i in range(40)], "row long, value array<double>").repartition(5)
+    path = str(tmp_path / "w.npy")
+    export.write_npy(df, path, (40, 2, 3))
+    np.testing.assert_array_equal(np.load(path), a.reshape(40, 2, 3))

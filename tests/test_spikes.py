@@ -156,3 +156,14 @@ def test_shuffled_trains_keep_intervals(spark):
         got.setdefault((r.recording_id, r.cluster_id), []).append(r.t)
     for (_, u), ts in got.items():
         assert sorted(np.diff([0, *sorted(ts)])) == sorted(np.diff(tr[u]))
+
+
+def test_slope_pvalue_matches_known_tails(spark):
+    from pyspark.sql import functions as F
+
+    # One degree of freedom: p = 1 - 2 atan(t) / pi; two: p = 1 - t / sqrt(2 + t^2).
+    rows = [(t * t / (d + t * t), float(d), t) for t in (0.5, 2.0, 6.0) for d in (1, 2)]
+    df = spark.createDataFrame(rows, "r2 double, dof double, t double").select("dof", "t", un.slope_pvalue(F.col("r2"), F.col("dof")).alias("p"))
+    for r in df.collect():
+        want = 1 - 2 * np.arctan(r.t) / np.pi if r.dof == 1 else 1 - r.t / np.sqrt(2 + r.t**2)
+        assert r.p == pytest.approx(want, abs=1e-4)
