@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, run_number
-from spikeloom.operators.skew import attach
+from spikeloom.operators.skew import attach, hot_counts, salted_join
 from spikeloom.operators.spikes import UNIT
 from spikeloom.operators.units import adaptation, intervals
 from spikeloom.session import checkpoint
@@ -117,7 +117,8 @@ def burst_spikes(spikes: DataFrame, rule: BurstRule, length: int) -> DataFrame:
     g = checkpoint(_grouped(raw_bursts(spikes, rule, length), rule, length))
     kept = _kept(g, rule).select(*UNIT, "burst")
     members = g.select(*UNIT, "run", "first_pos", "burst").join(kept, [*UNIT, "burst"], "left_semi")
-    return runs.join(members, [*UNIT, "run"]).where("pos >= first_pos").select(*UNIT, "burst", "spike_id", "t")
+    hot = hot_counts(g.select(*UNIT, "run", F.col("n_spikes").alias("_n")), [*UNIT, "run"])
+    return salted_join(runs, members, [*UNIT, "run"], F.col("spike_id"), hot=hot).where("pos >= first_pos").select(*UNIT, "burst", "spike_id", "t")
 
 
 def burst_properties(spikes: DataFrame, rule: BurstRule, refractory: float, length: int) -> DataFrame:

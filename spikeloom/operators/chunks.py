@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from spikeloom.functions import design
+from spikeloom.operators.skew import attach, hot_keys
 
 CHAN = ["recording_id", "channel"]
 ARR = ArrayType(DoubleType())
@@ -163,7 +164,7 @@ def zero_phase(chunks: DataFrame, size: int, sos: np.ndarray) -> DataFrame:
     order = len(zi)
     a, _, free, drive = _system(sos, pad)
     ends = chunks.groupBy(*CHAN).agg(F.max("chunk").alias("_last"))
-    d = halo(chunks, size, pad + 1, pad + 1).join(ends, CHAN)
+    d = attach(halo(chunks, size, pad + 1, pad + 1), ends, CHAN, F.col("chunk"), hot_keys(chunks, CHAN))
     first, last = F.col("chunk") == 0, F.col("chunk") == F.col("_last")
     both = StructType([StructField("x", ARR), StructField("s0", ARR)])
     through = np.linalg.matrix_power(a, pad)

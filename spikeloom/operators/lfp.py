@@ -310,7 +310,7 @@ def fitted_baseline(chunks: DataFrame, limits: DataFrame, size: int, kind: str,
         )
 
     total = chunks.groupBy(*CHAN).agg(F.sum(F.size("samples")).alias("_n"))
-    d = chunks.join(total.join(limits.select(*CHAN, "ste_max"), CHAN), CHAN)
+    d = attach(chunks, total.join(limits.select(*CHAN, "ste_max"), CHAN), CHAN, F.col("chunk"))
     sums = d.select(*CHAN, F.explode(normal("samples", "chunk", "ste_max", "_n")).alias("_e")).groupBy(
         *CHAN, F.col("_e.i").alias("i"), F.col("_e.j").alias("j")
     ).agg(F.sum("_e.s").alias("s"))
@@ -331,7 +331,7 @@ def oscillation_mask(tf_power: DataFrame, keys: Sequence[str], percentile: float
     if corrected:
         chan = [k for k in keys if k != "f"]
         bg = bg.join(bg.groupBy(*chan).agg(F.sum("_n").alias("_px")), chan)
-    d = tf_power.join(bg, list(keys))
+    d = attach(tf_power, bg, list(keys), F.col("idx"))
     if multiple is not None:
         level = F.col("_bg") * multiple
     elif corrected:

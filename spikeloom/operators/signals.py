@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, rolling
-from spikeloom.operators.skew import attach, hot_keys
+from spikeloom.operators.skew import attach, hot_keys, salted_join
 
 REC = "recording_id"
 CHAN = ["recording_id", "channel"]
@@ -141,7 +141,7 @@ def whitening(chunks: DataFrame, group: Sequence[str], n_channels: int, over: st
 def whiten(sig: DataFrame, matrix: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Apply a whitening matrix: new channel i is the weighted sum of channels j at each sample."""
     m = matrix.select(REC, *group, "i", F.col("j").alias("channel"), "w")
-    return sig.join(m, [REC, *group, "channel"]).groupBy(REC, *group, F.col("i").alias("channel"), "idx").agg(
+    return salted_join(sig, m, [REC, *group, "channel"], F.col("idx")).groupBy(REC, *group, F.col("i").alias("channel"), "idx").agg(
         F.sum(F.col("v") * F.col("w")).alias("v")
     )
 
@@ -167,7 +167,7 @@ def pearson_of(p: DataFrame) -> Column:
 def cross_correlation(a: DataFrame, b: DataFrame, lags: int, keys: Sequence[str], remove_mean: bool = False, norm: bool = True) -> DataFrame:
     """Cross-correlation at lags -lags..lags - 1, optionally of centred signals of unit norm."""
     if remove_mean:
-        centre = lambda d: d.join(d.groupBy(*keys).agg(F.avg("v").alias("_m")), list(keys)).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
+        centre = lambda d: attach(d, d.groupBy(*keys).agg(F.avg("v").alias("_m")), list(keys), F.col("idx")).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
         a, b = centre(a), centre(b)
     p = lagged_products(a, b, lags, keys).where(F.col("lag") < lags)
     if norm:
@@ -184,7 +184,7 @@ def sliding_correlation(pairs: DataFrame, keys: Sequence[str], window: int, leng
     frames = {k: (lambda f, e=e: F.sum(e).over(f)) for k, e in sums.items()}
     d = rolling(pairs, keys, "idx", length, 0, window - 1, frames)
     stop = pairs.groupBy(*keys).agg(F.max("idx").alias("_last"))
-    d = d.join(stop, list(keys)).where(F.col("idx") + window <= F.col("_last"))
+    d = attach(d, stop, list(keys), F.col("idx"), hot_keys(pairs, list(keys))).where(F.col("idx") + window <= F.col("_last"))
     return d.select(*keys, "idx", pearson_of(d).alias("r"))
 
 
@@ -295,7 +295,7 @@ def autocovariance(sig: DataFrame, lags: int, keys: Sequence[str], debias: bool
     """Autocovariance at lags 0..lags of the (optionally centred) signal, over n if normalised."""
     d = sig
     if debias:
-        d = d.join(d.groupBy(*keys).agg(F.avg("v").alias("_m")), list(keys)).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
+        d = attach(d, d.groupBy(*keys).agg(F.avg("v").alias("_m")), list(keys), F.col("idx")).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     p = lagged_products(d, d, lags, keys).where("lag >= 0").join(n, list(keys))
     return p.select(*keys, "lag", (F.col("sxy") / (F.col("_n") if normalize else F.lit(1))).alias("cov"))

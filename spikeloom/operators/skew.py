@@ -16,7 +16,11 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: int = SHARE) -> DataFrame:
     At most ``share`` keys can do so, whatever the size of the data, which is the size
     bound that makes broadcasting this table safe.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    return hot_counts(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, share)
+
+
+def hot_counts(counts: DataFrame, on: Sequence[str], share: int = SHARE) -> DataFrame:
+    """The same from a table of rows per key (``_n``) that exists already."""
     total = counts.agg(F.sum("_n").alias("_rows")).scalar()
     share_of = counts.withColumn("_rows", total).where(F.col("_n") * F.lit(share) > F.col("_rows"))
     return share_of.select(*on, F.ceil(F.col("_n") * F.lit(share) / F.col("_rows")).cast("int").alias("_splits"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.operators.ordered import in_order, run_number, stretch
+from spikeloom.operators.skew import salted_join
 
 UNIT = ["recording_id", "cluster_id"]
 
@@ -24,7 +25,7 @@ def inclusive_window(spikes: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def accepted_only(spikes: DataFrame, units: DataFrame) -> DataFrame:
-    return spikes.join(units.where("accepted"), UNIT, "left_semi")
+    return salted_join(spikes, units.where("accepted").select(*UNIT), UNIT, F.col("spike_id"), "left_semi")
 
 
 def index_to_time(index: str | Column, fs: float, kind: str) -> Column:
@@ -162,7 +163,7 @@ def ei_balance(counts: DataFrame, units: DataFrame, n_bins: int) -> DataFrame:
         F.count_if(F.col("cell_type") == "pyr").alias("n_pyr"), F.count_if(F.col("cell_type") == "int").alias("n_int")
     )
     per_bin = (
-        counts.join(units.select(*UNIT, "cell_type"), UNIT)
+        salted_join(counts, units.select(*UNIT, "cell_type"), UNIT, F.col("bin"))
         .groupBy("recording_id", "bin")
         .agg(
             F.sum(F.when(F.col("cell_type") == "pyr", F.col("n")).otherwise(0)).alias("pyr"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from spikeloom.operators.lfp import cut
+from spikeloom.operators.skew import attach
 
 
 def best_channel(templates: DataFrame, keys: Sequence[str], center: int | None = None) -> DataFrame:
@@ -115,7 +116,7 @@ def duplicates(centred_spikes: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reconstruct(spikes: DataFrame, templates: DataFrame, n: int) -> DataFrame:
     """Signal of a unit rebuilt by pasting its template at every spike, first template sample at zero."""
     t = templates.withColumn("_peak", trough("waveform")).withColumn("_zero", F.get("waveform", F.lit(0)))
-    d = spikes.join(t, "cluster_id").select(
+    d = attach(spikes, t, ["cluster_id"], F.col("t")).select(
         "cluster_id", "t", "_peak", "_zero", F.posexplode("waveform").alias("pos", "v")
     ).withColumn("idx", F.col("t") - F.col("_peak") + F.col("pos")).where(F.col("idx").between(0, n - 1))
     return d.groupBy("cluster_id", "idx").agg(F.max_by(F.col("v") - F.col("_zero"), "t").alias("v"))
@@ -219,7 +220,8 @@ def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame,
         F.first("best").alias("best"), F.first("peak").alias("peak"),
         F.array_sort(F.collect_list(F.struct("channel", "waveform"))).alias("shape"),
     )
-    mine = spikes.select("recording_id", "spike_id", "template_id", "t", F.expr(f"t div {size}").alias("chunk")).join(shape, "template_id")
+    mine = spikes.select("recording_id", "spike_id", "template_id", "t", F.expr(f"t div {size}").alias("chunk"))
+    mine = attach(mine, shape, ["template_id"], F.col("spike_id"))
     mine = mine.groupBy("recording_id", "chunk").agg(F.collect_list(F.struct("peak", "spike_id", "t", "best", "shape")).alias("spikes"))
     block = halo(chunks, size, length, length).groupBy("recording_id", "chunk").agg(
         F.collect_list(F.struct("channel", "lead", "samples")).alias("rows")

@@ -180,7 +180,7 @@ def _energy(spark, sf):
     e = sg.moving(S.hourly(spark, sf), "e", lambda v: F.avg(v * v), 3, 3, 240)
     e = checkpoint(e.select("recording_id", "channel", "idx", F.col("e").alias("v")))
     lv = e.groupBy(*sg.CHAN).agg((F.avg("v") + F.stddev_pop("v")).alias("level"))
-    return e, e.join(lv, sg.CHAN)
+    return e, sg.attach(e, lv, sg.CHAN, F.col("idx"))
 
 
 def _spans(spark, sf):
