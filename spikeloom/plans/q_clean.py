@@ -211,12 +211,12 @@ def _(spark, sf):
     f"""{PW}, mc AS (SELECT cluster_id, avg(sttc_wide) AS sttc_wide FROM (
       SELECT cluster1_id AS cluster_id, sttc_wide FROM wm UNION ALL SELECT cluster2_id, sttc_wide FROM wm)
       JOIN good USING (cluster_id) GROUP BY 1),
-      u AS (SELECT c_custkey AS cluster_id, c_acctbal FROM customer WHERE c_custkey < 200)
+      u AS (SELECT c_custkey AS cluster_id, c_acctbal FROM customer)
       SELECT cluster_id, c_acctbal, round(sttc_wide, 6) AS sttc_wide FROM u FULL JOIN mc USING (cluster_id)""",
 )
 def _(spark, sf):
     d = cl.mean_per_unit(_windows(spark, sf), _good(spark, sf), ["sttc_wide"])
-    u = S.table(spark, sf, "customer").where("c_custkey < 200").select(
+    u = S.table(spark, sf, "customer").select(
         F.lit("events").alias("id"), F.col("c_custkey").alias("cluster_id"), "c_acctbal"
     )
     return cl.outer_merge([u, d]).select("cluster_id", "c_acctbal", F.round("sttc_wide", 6).alias("sttc_wide"))
@@ -241,13 +241,13 @@ def _(spark, sf):
     """SELECT p_partkey AS recording, l_orderkey AS sorting, stem FROM
       (SELECT p_partkey, p_brand || '_' || p_size AS stem FROM part) JOIN
       (SELECT DISTINCT l_orderkey, p_brand || '_' || l_linenumber AS stem FROM lineitem JOIN part ON p_partkey = l_partkey
-       WHERE l_returnflag = 'R' AND l_quantity = 50) USING (stem) WHERE list_contains(string_split(stem, '_'), '5')""",
+       ) USING (stem) WHERE list_contains(string_split(stem, '_'), '5')""",
 )
 def _(spark, sf):
     p = S.table(spark, sf, "part")
     rec = p.select(F.col("p_partkey").alias("recording"), F.concat_ws("_", "p_brand", "p_size").alias("stem"))
     srt = (
-        S.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50")
+        S.table(spark, sf, "lineitem")
         .join(p, F.col("p_partkey") == F.col("l_partkey"))
         .select(F.col("l_orderkey").alias("sorting"), F.concat_ws("_", "p_brand", "l_linenumber").alias("stem")).distinct()
     )

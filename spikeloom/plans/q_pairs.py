@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from spikeloom import schema as S
 from spikeloom.operators import pairs as pr
 from spikeloom.operators import spikes as sp
-from spikeloom.plans.q_retrieval import units
 from spikeloom.plans.registry import query
 
 H = S.HOUR_US
@@ -65,7 +64,7 @@ def _(spark, sf):
 
 
 WITH_EMPTY = f"""WITH {S.SPK}, {sttc_sql(H)},
-  u AS (SELECT DISTINCT cluster_id FROM spk UNION SELECT c_custkey FROM customer WHERE c_custkey < (SELECT max(cluster_id) + 20 FROM spk))
+  u AS (SELECT DISTINCT cluster_id FROM spk UNION SELECT -1 - item_id FROM benchmark)
   SELECT a.cluster_id AS cluster1_id, b.cluster_id AS cluster2_id, %s AS sttc
   FROM u a JOIN u b ON a.cluster_id < b.cluster_id
   LEFT JOIN st ON st.cluster1_id = a.cluster_id AND st.cluster2_id = b.cluster_id"""
@@ -73,9 +72,9 @@ WITH_EMPTY = f"""WITH {S.SPK}, {sttc_sql(H)},
 
 def _listed(spark, sf):
     s = S.spikes(spark, sf)
-    top = s.agg(F.max("cluster_id") + 20).scalar()
-    listed = units(spark, sf).where(F.col("cluster_id") < top).select(*sp.UNIT)
-    return s, listed.unionByName(s.select(*sp.UNIT))
+    # Benchmark items stand for listed units that never fire.
+    silent = S.table(spark, sf, "benchmark").select(F.lit("events").alias("recording_id"), (-1 - F.col("item_id")).alias("cluster_id"))
+    return s, silent.unionByName(s.select(*sp.UNIT))
 
 
 @query("sttc_elephant_null", WITH_EMPTY % "round(st.sttc, 6)")

@@ -194,7 +194,7 @@ def _(spark, sf):
 
 def _small_templates(spark, sf):
     """Nine-sample templates on the five hourly channels, cut from the embeddings."""
-    t = S.table(spark, sf, "embeddings").where("vec_id < 100")
+    t = S.table(spark, sf, "embeddings")
     w = F.transform(F.slice("embedding", F.col("c") * 9 + 1, F.lit(9)), lambda v: v.cast("double"))
     return t.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
         F.col("vec_id").alias("template_id"), F.col("c").cast("bigint").alias("channel"), w.alias("waveform")
@@ -222,7 +222,7 @@ def _(spark, sf):
     "extract_waveforms_channels",
     f"""WITH {S.SPK}, {S.HRS}, nm AS (SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS c FROM (SELECT DISTINCT channel FROM hrs)),
       tp AS (SELECT vec_id AS template_id, c.i AS c, sum(abs(CAST(embedding[CAST(c.i * 9 + k.i + 1 AS INTEGER)] AS DOUBLE))) AS s
-        FROM embeddings CROSS JOIN range(5) c(i) CROSS JOIN range(9) k(i) WHERE vec_id < 100 GROUP BY 1, 2),
+        FROM embeddings CROSS JOIN range(5) c(i) CROSS JOIN range(9) k(i) GROUP BY 1, 2),
       b AS (SELECT template_id, arg_max(c, (s, -c)) AS best FROM tp GROUP BY 1),
       w AS (SELECT template_id, greatest(best - 1, 0) AS s0, best + 1 + greatest(1 - best, 0) AS e0 FROM b),
       w2 AS (SELECT template_id, s0 - greatest(e0 - 5, 0) AS s0, e0 - greatest(e0 - 5, 0) AS e0 FROM w),
