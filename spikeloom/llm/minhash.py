@@ -16,7 +16,7 @@ from spikeloom.session import checkpoint
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-FINE, BLOCK = 1024, 2048
+FINE, BLOCK = 1024, 512
 
 
 def registers(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -115,10 +115,10 @@ def profiles_of(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame
     return checkpoint(profiles(documents.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
 
 
-def lookalikes(placed: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
-    """(u, v), u < v: members of one cell in different classes whose fine sketches let them be alike.
+def lookalikes(placed: DataFrame, bands: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
+    """(cell, lo, hi, u, v), u < v: members of a cell in different classes whose fine sketches let them be alike.
 
-    ``placed(cell, rep, label)``.  The fine sketch has FINE registers of a byte; pairs are compared
+    ``placed(cell, rep, label)``, ``bands(rep, bands)``: a pair comes out of its first common cell only.  The fine sketch has FINE registers of a byte; pairs are compared
     inside tasks, block against block, and only those within five deviations of the threshold come
     out (a pair at the threshold is lost once in three million times).  A cell of more than BLOCK
     members is cut into blocks, so no task holds more than two of them.
@@ -136,10 +136,11 @@ def lookalikes(placed: DataFrame, made: DataFrame, threshold: float) -> DataFram
                 held = mix(registers(np.repeat(np.arange(len(n)), n), shingle, weight, len(n), FINE)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in held], pa.binary())], ["rep", "fine"])
 
-    def pairs(ids: np.ndarray, label: np.ndarray, own: np.ndarray, sketch: np.ndarray, split: bool) -> Iterator[tuple]:
+    def pairs(cell: int, ids: np.ndarray, label: np.ndarray, own: np.ndarray, band: np.ndarray, sketch: np.ndarray, split: bool) -> Iterator[tuple]:
         for i in range(len(ids)):
             other = np.flatnonzero((label != label[i]) & ((own != own[i]) if split else True) & (np.arange(len(ids)) > i))
             if len(other):
+                other = other[band[i][(band[other] == band[i]).argmax(axis=1)] == cell]
                 near = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
                 yield np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])
 
@@ -158,19 +159,20 @@ def lookalikes(placed: DataFrame, made: DataFrame, threshold: float) -> DataFram
                 edge, stop = edge[:-1], stop[:-1]
             ids, label, own = (rows.column(c).to_numpy() for c in ("rep", "label", "own"))
             sketch = np.frombuffer(b"".join(x.as_py() for x in rows.column("fine")), np.uint8).reshape(-1, FINE)
-            found = [p for x, y in zip(edge, stop) if y - x > 1 for p in pairs(ids[x:y], label[x:y], own[x:y], sketch[x:y], key[1, x] != key[2, x])]
+            band = np.asarray(pa.concat_arrays(rows.column("bands").chunks).flatten()).reshape(len(rows), -1)
+            found = [(*key[:, [x] * len(u)], u, v) for x, y in zip(edge, stop) if y - x > 1 for u, v in pairs(key[0, x], ids[x:y], label[x:y], own[x:y], band[x:y], sketch[x:y], key[1, x] != key[2, x])]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["cell", "lo", "hi", "u", "v"])
             held = rows.slice(stop[-1] if len(stop) else 0).to_batches() if b is not None else []
 
     size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     size = size.select("cell", F.ceil(F.col("_n") / BLOCK).cast("int").alias("k"), "_n")
     rows = attach(placed, size.select("cell", "k"), ["cell"], F.col("rep"), hot=hot_counts(size.select("cell", "_n"), ["cell"]))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    rows = rows.join(made.select("doc_id", "profile").mapInArrow(fine, "rep long, fine binary"), "rep")
+    rows = rows.join(made.select("doc_id", "profile").mapInArrow(fine, "rep long, fine binary").join(bands, "rep"), "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "fine")
-    return rows.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(compare, "u long, v long")
+    rows = rows.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "bands", "fine")
+    return rows.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(compare, "cell long, lo long, hi long, u long, v long")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -192,6 +194,22 @@ def verified(pairs: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
     return full.select("u", "v", "pu", "pv").mapInArrow(task, "u long, v long, likeness double")
 
 
+def verified_in_blocks(pairs: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
+    """As ``verified``, for ``pairs(cell, lo, hi, u, v)``: a profile comes once to each block of pairs, not to each pair."""
+    block = ["cell", "lo", "hi"]
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        profile = dict(zip(right.column("doc_id").to_pylist(), right.column("profile").to_pylist()))
+        u, v = left.column("u").to_pylist(), left.column("v").to_pylist()
+        likeness = np.array([profile_likeness(profile[x], profile[y]) for x, y in zip(u, v)], np.float64)
+        on = np.flatnonzero(likeness >= threshold - 1e-12)
+        return pa.table({"u": pa.array([u[i] for i in on], pa.int64()), "v": pa.array([v[i] for i in on], pa.int64()), "likeness": pa.array(likeness[on])})
+
+    ends = pairs.select(*block, F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    known = ends.join(made, "doc_id").select(*[F.col(c).alias(f"r_{c}") for c in block], "doc_id", "profile")
+    return pairs.groupBy(*block).cogroup(known.groupBy(*[f"r_{c}" for c in block])).applyInArrow(task, "u long, v long, likeness double")
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, n_links) for every doc_id of ``documents(doc_id, text)``.
 
@@ -220,17 +238,17 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
     lead = shared.groupBy("cell").agg(F.max(F.struct("company", -F.col("rep"))).alias("m"), F.max("_n").alias("_n")).select("cell", (-F.col("m.col2")).alias("lead"), "_n")
     stars = attach(shared.select("cell", "rep"), lead.select("cell", "lead"), ["cell"], F.col("rep"), hot=hot_counts(lead.select("cell", "_n"), ["cell"]))
     stars = checkpoint(stars.where(F.col("lead") != F.col("rep")).select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct())
-    links = checkpoint(verified(stars, profiles_of(docs, stars, width), threshold))
+    made = profiles_of(docs, stars, width)
+    links = checkpoint(verified(stars, made, threshold))
 
     label = components(links.select("u", "v"))
     placed = shared.select("cell", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", F.coalesce("label", "rep").alias("label"))
     placed = checkpoint(placed)
     apart = placed.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
     placed = checkpoint(placed.join(apart, "cell", "left_semi"))
-    made = profiles_of(docs, placed.select(F.col("rep").alias("u"), F.col("rep").alias("v")).distinct(), width)
-    rest = lookalikes(placed, made, threshold).distinct()
+    rest = lookalikes(placed, reps.select("rep", "bands"), made, threshold)
     rest = checkpoint(rest.join(stars, ["u", "v"], "left_anti"))
-    links = checkpoint(links.union(verified(rest, made, threshold)))
+    links = checkpoint(links.union(verified_in_blocks(rest, made, threshold)))
 
     exact = member.where(F.col("doc_id") != F.col("rep")).toDF("u", "v")
     label = components(links.select("u", "v").union(exact))
