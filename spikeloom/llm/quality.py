@@ -15,7 +15,7 @@ from spikeloom.llm.text import mix, odd, per_text, slices, span_hash, words
 BITS = 18
 GRAMS = (3, 4)
 SYMBOLS = b"#[*$%&|<>]"
-MAX_TRAIN = 4000
+MAX_TRAIN = 2000
 MIN_WORDS, MAX_REPEAT, MIN_GOOD = 50, 50, 0.5
 
 
@@ -69,9 +69,13 @@ def fit(rows: list, seed_share: int = 5, rounds: int = 200, rate: float = 2.0, d
     if len(set(label)) < 2:
         return Model(weight.astype(np.float32), 0.0, 10.0)
     index = [np.frombuffer(r["f"], np.int32) for r in rows]
-    value = np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(i) for i in index])
-    used, column = np.unique(np.concatenate(index), return_inverse=True)
+    value = np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in index])
+    every = np.concatenate(index)
+    used = np.flatnonzero(np.bincount(every, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    column = place[every]
     train = np.array([r["fold"] % seed_share != 0 for r in rows])
     if len(set(label[train])) < 2 or len(set(label[~train])) < 2:
         train[:] = True
