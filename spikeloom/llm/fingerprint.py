@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.llm.text import mix
+from spikeloom.llm.text import bisected
 
 BUCKETS = 256
 SPAN = 1 << 22
@@ -89,20 +89,12 @@ def with_following(documents: DataFrame, rows_per_part: int = 4096) -> DataFrame
     part = F.lit(0)
     if cuts:
         # Splitters are a bounded list of numbers, one a part: the place of a row is found by bisection.
-        part = _bisect(F.col("at"), cuts)
+        part = bisected(F.col("at"), cuts)
     ahead = F.when(F.col("at").isin(heads), F.array(F.struct(F.pmod(part - 1, F.lit(len(heads))).alias("part"), F.lit(True).alias("ahead"))))
     own = F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead")))
     return docs.withColumn("to", F.explode(F.concat(own, F.coalesce(ahead, F.array().cast("array<struct<part:int,ahead:boolean>>"))))).select("doc_id", "text", "at", "tie", "to.part", "to.ahead")
 
 
-def _bisect(at, cuts: list[int], lo: int = 0):
-    """Number of cuts not above ``at``, as nested comparisons of logarithmic depth."""
-    if not cuts:
-        return F.lit(lo)
-    mid = len(cuts) // 2
-    return F.when(at < F.lit(cuts[mid]), _bisect(at, cuts[:mid], lo)).otherwise(_bisect(at, cuts[mid + 1 :], lo + mid + 1))
-
-
 def fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprint of every whole text and of its edited text, and their likeness.
 

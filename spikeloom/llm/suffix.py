@@ -7,37 +7,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from spikeloom.llm.text import mix, odd, slices, span_hash, utf8
+from spikeloom.llm.text import bisected, mix, odd, slices, span_hash, utf8
 from spikeloom.operators.skew import attach, hot_counts
 
 LENGTH, ANCHOR = 50, 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, BUCKET_BYTES, SLICE, PARTS = 2 << 20, 16 << 20, 1 << 19, 256
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
     """Windows of ``length`` bytes in runs that share an anchor: (text, first window, windows, anchor place, hash).
 
     A window's anchor is the ``width``-byte string within it of least hash (the leftmost of equals),
-    so equal windows have equal anchors at equal places, wherever they occur.
+    so equal windows have equal anchors at equal places, wherever they occur.  ``width`` is a multiple
+    of eight; the hash is cut to 48 bits.
     """
     n = len(data)
-    none = np.zeros(0, np.int64)
     if n < length:
+        none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
-    start = np.arange(n - width + 1)
-    h = span_hash(data, start, start + width)
+    load = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).copy()
+    full = load[: n - width + 1] * odd(51)
+    for k in range(8, width, 8):
+        full ^= full >> np.uint64(29)
+        full += load[k : k + len(full)]
+        full *= odd(51 + k)
+    full ^= full >> np.uint64(32)
+    full *= odd(50)
+    h = (full >> np.uint64(32)).astype(np.uint32)
     span = length - width + 1
     low = _sliding(np.minimum, h, span)
-    first = np.arange(n - length + 1)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    fits = text[: len(first)] == text[length - 1 :]
-    begin = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    size = np.diff(np.r_[begin, len(low)])
-    return _runs(h, low, fits, text, begin, size, span)
+    # Places that hold the least hash of some window, in order.  A window's anchor is the first of them
+    # at or after it with that hash; most windows take the first, the rest step on.
+    pad = np.zeros(span - 1, np.uint32)
+    hit = _sliding(np.maximum, np.concatenate([pad, low, pad]), span) == h
+    hits = np.flatnonzero(hit)
+    j = np.cumsum(hit, dtype=np.int32)[: len(low)] - hit[: len(low)]
+    wrong = np.flatnonzero(h[hits[j]] != low)
+    while len(wrong):
+        j[wrong] += 1
+        wrong = wrong[h[hits[j[wrong]]] != low[wrong]]
+    # Runs end where the anchor changes; at a text's end the windows that reach beyond it are cut off.
+    edge = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+    place = hits[j[edge]]
+    stop = np.concatenate([edge[1:], [len(low)]])
+    text = np.searchsorted(at, edge, "right") - 1
+    last = np.searchsorted(at, stop - 1, "right") - 1
+    many = np.flatnonzero(last > text)
+    if len(many):  # runs over several texts: a part in each
+        parts = [(t, max(edge[i], at[t]), min(stop[i], at[t + 1]), place[i]) for i in many for t in range(text[i], last[i] + 1) if at[t + 1] > at[t]]
+        one = np.setdiff1d(np.arange(len(edge)), many)
+        t, x, y, p = (np.array(c, np.int64) for c in zip(*parts))
+        text, edge, stop, place = (np.concatenate(c) for c in ((text[one], t), (edge[one], x), (stop[one], y), (place[one], p)))
+    stop = np.minimum(stop, at[text + 1] - length + 1)
+    on = stop > edge
+    text, edge, stop, place = text[on], edge[on], stop[on], place[on]
+    return text, edge, stop - edge, place, mix(full[place]) >> np.uint64(16)
 
 
 def _sliding(choose: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -49,31 +77,6 @@ def _sliding(choose: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return choose(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def _runs(h, low, fits, text, begin, size, span):
-    """Split runs of equal minima where the leftmost place of the minimum changes or a text ends."""
-    window = np.arange(len(low))
-    # Leftmost place of the minimum: next place at or after the window's start with that hash.
-    value = np.repeat(low[begin], size)
-    pad = np.zeros(span - 1, np.uint64)
-    hits = np.flatnonzero(_sliding(np.maximum, np.r_[pad, low, pad], span) == h)
-    # Places that hold the minimum of some window, in order; for each window the first at or after it
-    # whose hash is the minimum.  Most windows take the first hit; the rest step on.
-    j = np.cumsum(np.bincount(hits + 1, minlength=len(h) + 1))[: len(window)]
-    wrong = np.flatnonzero(h[hits[j]] != value)
-    while len(wrong):
-        j[wrong] += 1
-        wrong = wrong[h[hits[j[wrong]]] != value[wrong]]
-    place = hits[j]
-    on = np.flatnonzero(fits)
-    if not len(on):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
-    p, w, t = place[on], window[on], text[: len(low)][on]
-    cut = np.r_[True, (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1) | (t[1:] != t[:-1])]
-    start = np.flatnonzero(cut)
-    return t[start], w[start], np.diff(np.r_[start, len(on)]), p[start], h[p[start]]
-
-
 def multikey_order(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings ``data[s : s + length]`` and whether each equals the one before it.
 
@@ -98,40 +101,92 @@ def multikey_order(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np
     return order, same
 
 
-def _shared_anchors(docs: DataFrame) -> DataFrame:
+def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(tid, anchors): of every text the anchors that another text has too.
 
-    Within a slice of texts, an anchor of several texts is settled at once and only one row of it is
-    shuffled, so a passage in very many documents makes a row a slice.  The others meet sorted by
-    anchor, and each looks at its neighbours.
+    A batch of texts sends its anchors packed by bucket of the hash, six bytes and a text's number
+    each.  An anchor of several texts of a batch is settled at once and only one of them sends it, so
+    a passage in very many documents is an entry a batch.  Buckets hold a bounded share of the text.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in slices(batches):
-            t, _, _, _, h = anchors(data, at, LENGTH, ANCHOR)
-            if not len(t):
+        for batch in batches:
+            got_h, got_t = [], []
+            for rows, data, at in slices([batch], limit=SLICE):
+                t, _, _, _, h = anchors(data, at, LENGTH, ANCHOR)
+                got_h.append(h)
+                got_t.append(rows.column("tid").to_numpy(zero_copy_only=False)[t])
+            if not got_h:
                 continue
-            tid = rows.column("tid").to_numpy(zero_copy_only=False)[t]
+            h, tid = np.concatenate(got_h), np.concatenate(got_t)
             order = np.lexsort((tid, h))
-            h, tid = h[order].view(np.int64), tid[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (tid[1:] != tid[:-1])]
+            h, tid = h[order], tid[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (tid[1:] != tid[:-1])
             h, tid = h[new], tid[new]
-            first = np.r_[True, h[1:] != h[:-1]]
-            lone = first & np.r_[first[1:], True]
-            settled = np.flatnonzero(~lone)
-            own = settled[np.lexsort((tid[settled],))]
-            edge = np.flatnonzero(np.r_[True, tid[own][1:] != tid[own][:-1]]) if len(own) else np.zeros(0, np.int64)
-            sent = np.flatnonzero(first)
-            many = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(len(sent), np.int64), edge, len(own)], pa.int32()), pa.array(h[own]))
-            key = np.r_[h[sent], mix(tid[own][edge].astype(np.uint64)).view(np.int64)] if len(own) else h[sent]
-            whose = np.r_[tid[sent], tid[own][edge]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(whose), many if len(own) else pa.nulls(len(sent), pa.list_(pa.int64()))], ["anchor", "tid", "settled"])
-
-    rows = docs.select("tid", "text").mapInArrow(task, "anchor long, tid long, settled array<long>")
-    w = Window.partitionBy("anchor").orderBy("tid")
-    lone = (F.size("settled") <= 0) | F.col("settled").isNull()
-    near = rows.withColumn("shared", F.coalesce(F.lag("tid").over(w) != F.col("tid"), F.lit(False)) | F.coalesce(F.lead("tid").over(w) != F.col("tid"), F.lit(False)))
-    kept = near.where(F.col("shared") | ~lone).select("tid", F.when(lone, F.array("anchor")).otherwise(F.col("settled")).alias("a"))
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            lone = first & np.append(first[1:], True)
+            # Settled: every text of an anchor that several texts here have.
+            own = np.flatnonzero(~lone)
+            own = own[np.argsort(tid[own], kind="stable")]
+            whose, start = np.unique(tid[own], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(own)), pa.int32()), pa.array(h[own].astype(np.int64)))
+            k = len(whose)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((mix(whose.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), pa.array(whose), lists, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names
+            )
+            h, tid = h[first], tid[first]
+            part = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((tid, part))
+            h, tid, part = h[order], tid[order], part[order]
+            made = []
+            cut = np.searchsorted(part, np.arange(buckets + 1))
+            for x, y in zip(cut[:-1], cut[1:]):
+                if y > x:
+                    ids, index = np.unique(tid[x:y], return_inverse=True)
+                    six = h[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    made.append((part[x], six, index.astype(np.uint32).tobytes(), ids))
+            if made:
+                where, six, index, ids = zip(*made)
+                k = len(made)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(where, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(six, pa.binary()), pa.array(index, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names
+                )
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
+        if not rows:
+            return None
+        wide = [np.frombuffer(six, np.uint8).reshape(-1, 6) for six, _, _ in rows]
+        h = np.concatenate([np.pad(w, ((0, 0), (0, 2))).view("<u8").ravel() for w in wide])
+        tid = np.concatenate([np.asarray(ids, np.int64)[np.frombuffer(index, np.uint32)] for _, index, ids in rows])
+        order = np.lexsort((tid, h))
+        h, tid = h[order], tid[order]
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(edge, len(h)))
+        several = np.repeat(tid[edge] != tid[edge + size - 1], size)
+        h, tid = h[several], tid[several]
+        order = np.argsort(tid, kind="stable")
+        whose, start = np.unique(tid[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(h[order].astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(whose), lists], ["tid", "a"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for b in batches:
+            passed = b.filter(pc.is_valid(b.column("settled")))
+            yield pa.RecordBatch.from_arrays([passed.column("tid"), passed.column("settled")], ["tid", "a"])
+            for r in b.filter(pc.is_valid(b.column("six"))).select(["bucket", "six", "index", "ids"]).to_pylist():
+                if r["bucket"] != bucket and (out := settle(held)):
+                    yield out
+                held = [*held, (r["six"], r["index"], r["ids"])] if r["bucket"] == bucket else [(r["six"], r["index"], r["ids"])]
+                bucket = r["bucket"]
+        if out := settle(held):
+            yield out
+
+    names = ["bucket", "tid", "settled", "six", "index", "ids"]
+    rows = docs.select("tid", "text").mapInArrow(task, "bucket int, tid long, settled array<long>, six binary, index binary, ids array<long>")
+    kept = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "tid long, a array<long>")
     return kept.groupBy("tid").agg(F.flatten(F.collect_list("a")).alias("anchors"))
 
 
@@ -144,7 +199,7 @@ def _units(texts: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE):
             t, first, n, place, h = anchors(data, at, LENGTH, ANCHOR)
             if not len(t):
                 continue
@@ -164,21 +219,24 @@ def _units(texts: DataFrame) -> DataFrame:
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             covered = np.zeros(len(t), bool)
             covered[order] = doc[order] > least
-            raw = data.tobytes()
+            raw, back = data.tobytes(), place - first
             cut = [None if c else raw[a:b] for c, a, b in zip(covered, first, end)]
-            lead = [int(r).to_bytes(8, "big", signed=True) if c else raw[p : p + ANCHOR] for c, r, p in zip(covered, rid, place)]
+            # Covered rows only pass through: they take the lead of some other unit, so that they spread alike.
+            place[covered] = place[~covered][(mix(rid[covered].astype(np.uint64) + first[covered].astype(np.uint64)) % np.uint64((~covered).sum())).astype(np.int64)]
+            lead = [raw[p : p + ANCHOR] for p in place]
+            key = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[place].astype(np.uint64) >> np.uint64(8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lead, pa.binary()), pa.array(doc), pa.array(rid), pa.array(first - at[t], pa.int32()), pa.array(n, pa.int32()), pa.array(place - first, pa.int32()), pa.array(cut, pa.binary())],
-                ["lead", "doc_id", "rid", "first", "n", "back", "content"],
+                [pa.array(key.astype(np.int64)), pa.array(lead, pa.binary()), pa.array(doc), pa.array(rid), pa.array(first - at[t], pa.int32()), pa.array(n, pa.int32()), pa.array(back, pa.int32()), pa.array(cut, pa.binary())],
+                ["key", "lead", "doc_id", "rid", "first", "n", "back", "content"],
             )
 
-    return texts.mapInArrow(task, "lead binary, doc_id long, rid long, first int, n int, back int, content binary")
+    return texts.mapInArrow(task, "key long, lead binary, doc_id long, rid long, first int, n int, back int, content binary")
 
 
-def _covered(units: DataFrame) -> DataFrame:
+def _covered(units: DataFrame, cuts: list[int]) -> DataFrame:
     """(rid, begin, end): removed runs, from suffixes range-partitioned by their leading bytes and sorted.
 
-    Spark samples splitters over the leading bytes.  A bucket is read in order of its anchors, in
+    ``cuts`` are sampled splitters over the first seven bytes.  A bucket is read in order of its anchors, in
     chunks that end between two anchors; what one anchor has open crosses the chunk's boundary.
     Units equal to one of an earlier document are covered whole; the windows of the others are
     sorted by multikey quicksort and each equal to one of an earlier document is covered.
@@ -251,7 +309,7 @@ def _covered(units: DataFrame) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    dealt = units.repartitionByRange("lead").sortWithinPartitions("lead", "doc_id")
+    dealt = units.withColumn("part", bisected(F.col("key"), cuts)).drop("key").repartition("part").sortWithinPartitions("part", "lead", "doc_id")
     return dealt.mapInArrow(task, "rid long, begin int, end int")
 
 
@@ -266,10 +324,14 @@ def removed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     copied = firsts.where(F.col("_n") > 1)
     copies = attach(ids, copied.select("tid", "two", "least"), ["tid", "two"], F.col("rid"), hot=hot_counts(copied.select("tid", "two", "_n"), ["tid", "two"]))
     copies = copies.where(F.col("doc_id") > F.col("least")).select("rid", F.lit(0).alias("begin"), F.col("n").alias("end"))
-    shared = _shared_anchors(docs.where(F.col("doc_id").isNotNull()).withColumn("tid", F.xxhash64("text")))
+    n = F.octet_length("text")
+    sample = F.substring(F.encode("text", "UTF-8"), (F.pmod(F.col("rid"), F.greatest(n - ANCHOR, F.lit(1))) + 1).cast("int"), F.lit(7))
+    total = docs.agg(F.sum(n).alias("bytes"), F.percentile_approx(F.when(n >= LENGTH, F.conv(F.rpad(F.hex(sample), 14, "0"), 16, 10).cast("long")), [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("cuts")).first()
+    cuts = sorted(set(total["cuts"] or []))
+    shared = _shared_anchors(docs.where(F.col("doc_id").isNotNull()).withColumn("tid", F.xxhash64("text")), max(1, (total["bytes"] or 0) // BUCKET_BYTES))
     mine = firsts.select("tid", "rid").join(shared, "tid").select("rid", "anchors")
     units = _units(docs.join(mine, "rid", "left").where(F.col("anchors").isNotNull()).select("doc_id", "rid", "text", "anchors"))
-    return docs, copies.union(_covered(units))
+    return docs, copies.union(_covered(units, cuts))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:

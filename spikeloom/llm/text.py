@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 22
 
@@ -105,3 +107,11 @@ def counted(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct (text number, shingle) in order, with how often each occurs; at most 4096 texts."""
     key, n = np.unique((row.astype(np.uint64) << np.uint64(52)) | shingle, return_counts=True)
     return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), n.astype(np.int64)
+
+
+def bisected(at: Column, cuts: list[int], low: int = 0) -> Column:
+    """Number of cuts, in order, that are not above ``at``: nested comparisons of logarithmic depth."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(at < F.lit(cuts[mid]), bisected(at, cuts[:mid], low)).otherwise(bisected(at, cuts[mid + 1 :], low + mid + 1))
