@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,14 +127,7 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             first[1:] = h[1:] != h[:-1]
             lone = first & np.append(first[1:], True)
             # Settled: every text of an anchor that several texts here have.
-            own = np.flatnonzero(~lone)
-            own = own[np.argsort(tid[own], kind="stable")]
-            whose, start = np.unique(tid[own], return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(own)), pa.int32()), pa.array(h[own].astype(np.int64)))
-            k = len(whose)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((mix(whose.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), pa.array(whose), lists, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names
-            )
+            yield sent(*packed(h[~lone], tid[~lone], buckets))
             h, tid = h[first], tid[first]
             part = (h % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((tid, part))
@@ -150,44 +142,70 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if made:
                 where, six, index, ids = zip(*made)
                 k = len(made)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(where, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(six, pa.binary()), pa.array(index, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names
-                )
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
-        if not rows:
-            return None
-        wide = [np.frombuffer(six, np.uint8).reshape(-1, 6) for six, _, _ in rows]
-        h = np.concatenate([np.pad(w, ((0, 0), (0, 2))).view("<u8").ravel() for w in wide])
-        tid = np.concatenate([np.asarray(ids, np.int64)[np.frombuffer(index, np.uint32)] for _, index, ids in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(where, np.int32)), pa.array(six, pa.binary()), pa.nulls(k, pa.binary()), pa.array(index, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names)
+
+    def sent(where: list, six: list, tids: list) -> pa.RecordBatch:
+        k = len(where)
+        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(six, pa.binary()), pa.array(tids, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names)
+
+    def settle(rows: list[dict]) -> pa.RecordBatch:
+        h = np.concatenate([six_byte(r["six"]) for r in rows])
+        tid = np.concatenate([np.asarray(r["ids"], np.int64)[np.frombuffer(r["index"], np.uint32)] for r in rows])
         order = np.lexsort((tid, h))
         h, tid = h[order], tid[order]
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(edge, len(h)))
         several = np.repeat(tid[edge] != tid[edge + size - 1], size)
-        h, tid = h[several], tid[several]
-        order = np.argsort(tid, kind="stable")
-        whose, start = np.unique(tid[order], return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(h[order].astype(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(whose), lists], ["tid", "a"])
+        return sent(*packed(h[several], tid[several], buckets))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-        for b in batches:
-            passed = b.filter(pc.is_valid(b.column("settled")))
-            yield pa.RecordBatch.from_arrays([passed.column("tid"), passed.column("settled")], ["tid", "a"])
-            for r in b.filter(pc.is_valid(b.column("six"))).select(["bucket", "six", "index", "ids"]).to_pylist():
-                if r["bucket"] != bucket and (out := settle(held)):
-                    yield out
-                held = [*held, (r["six"], r["index"], r["ids"])] if r["bucket"] == bucket else [(r["six"], r["index"], r["ids"])]
-                bucket = r["bucket"]
-        if out := settle(held):
-            yield out
-
-    names = ["bucket", "tid", "settled", "six", "index", "ids"]
-    rows = docs.select("tid", "text").mapInArrow(task, "bucket int, tid long, settled array<long>, six binary, index binary, ids array<long>")
-    kept = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "tid long, a array<long>")
-    return kept.groupBy("tid").agg(F.flatten(F.collect_list("a")).alias("anchors"))
+        for rows in grouped(batches, "bucket"):
+            open_ = [r for r in rows if r["tids"] is None]
+            for batch in ([settle(open_)] if open_ else []) + [sent(*zip(*((r["bucket"], r["six"], r["tids"]) for r in rows if r["tids"] is not None)))] * (len(open_) < len(rows)):
+                yield batch.select(["bucket", "six", "tids"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "bucket"):
+            h = np.concatenate([six_byte(r["six"]) for r in rows])
+            tid = np.concatenate([np.frombuffer(r["tids"], np.int64) for r in rows])
+            order = np.argsort(tid, kind="stable")
+            whose, start = np.unique(tid[order], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(h[order].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(whose), lists], ["tid", "anchors"])
+
+    names = ["bucket", "six", "tids", "index", "ids"]
+    rows = docs.select("tid", "text").mapInArrow(task, "bucket int, six binary, tids binary, index binary, ids array<long>")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "bucket int, six binary, tids binary")
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "tid long, anchors array<long>")
+
+
+def six_byte(raw: bytes) -> np.ndarray:
+    """48-bit hashes from their six bytes each."""
+    return np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
+
+
+def packed(h: np.ndarray, tid: np.ndarray, buckets: int) -> tuple[list, list, list]:
+    """(bucket of the text, hashes of six bytes each, texts), a row a bucket, texts in order."""
+    to = (mix(tid.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((tid, to))
+    h, tid, to = h[order], tid[order], to[order]
+    where = np.unique(to)
+    cut = np.searchsorted(to, np.append(where, buckets))
+    six = [h[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+    return where.tolist(), six, [tid[x:y].astype(np.int64).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of each value of ``key``, from batches in its order."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and held[0][key] != r[key]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
 
 def _units(texts: DataFrame) -> DataFrame:
