@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.operators.skew import attach, salted_join
+from spikeloom.operators.skew import hot_counts, salted_join
 from spikeloom.session import checkpoint
 
 #: Fixed values: (verdict, host, path).
@@ -59,9 +59,9 @@ def ratios(grams_: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataF
     for k in range(1, order + 1):
         now = level[k].withColumn("ctx", F.substring("gram", 1, k)).withColumn("tail", F.substring("gram", 2, k))
         sums = now.groupBy("ctx").agg(*[F.sum(c).alias(f"n_{c}") for c in classes])
-        now = attach(now, sums, ["ctx"], F.col("gram"))
         short = p.toDF("tail", *[f"q_{c}" for c in classes])
-        now = attach(now, short, ["tail"], F.col("gram"))
+        # A context or tail has at most one row a character: no key is hot.
+        now = now.join(sums, "ctx").join(short, "tail")
         p = now.select("gram", *[((F.col(c) + prior * F.col(f"q_{c}")) / (F.col(f"n_{c}") + prior)).alias(f"p_{c}") for c in classes])
     return p.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
 
@@ -81,14 +81,15 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: i
     rule, verdict = ruled(host, path, rules)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").select("page_id", "url", host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("said"))
 
-    one = checkpoint(rows.where(F.length("url") > 0).groupBy("url").agg(F.first("said").alias("said")))
+    one = checkpoint(rows.where(F.length("url") > 0).groupBy("url").agg(F.first("said").alias("said"), F.count(F.lit(1)).alias("_n")))
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
     good, bad = ((F.col("said") == c) & ~held for c in ("allow", "block"))
     flag = lambda c: F.coalesce(c.cast("long"), F.lit(0))
     spread = one.select("url", "said", F.explode(grams(F.translate("url", UPPER, LOWER), order)).alias("gram"), flag(good).alias("good"), flag(bad).alias("bad"))
-    table = checkpoint(ratios(spread.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), order))
+    tally = checkpoint(spread.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("_n")))
+    table = checkpoint(ratios(tally.select("gram", "good", "bad"), order))
 
-    scored = attach(spread.select("url", "said", "gram"), table, ["gram"], F.col("url"))
+    scored = salted_join(spread.select("url", "said", "gram"), table, ["gram"], F.col("url"), hot=hot_counts(tally.select("gram", "_n"), ["gram"]))
     scored = checkpoint(scored.groupBy("url").agg(F.avg("ratio").alias("score"), F.first("said").alias("said")))
     on = lambda c: F.when(F.col("said") == c, F.col("score"))
     seen = scored.where(held).agg(*[f(on(c)).alias(f"{n}_{c}") for c in ("allow", "block") for n, f in (("m", F.avg), ("v", F.var_pop), ("n", F.count))]).first()
@@ -100,7 +101,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: i
         sure = 1 / (1 + F.exp(-logit))
     else:
         sure = F.lit(1.0)
-    back = salted_join(rows, scored.select("url", "score", sure.alias("good")), ["url"], F.col("page_id"), "left")
+    back = salted_join(rows, scored.select("url", "score", sure.alias("good")), ["url"], F.col("page_id"), "left", hot=hot_counts(one.select("url", "_n"), ["url"]))
     model = F.when(F.coalesce("good", F.lit(1.0)) >= min_good, "allow").otherwise("block")
     return back.select("page_id", "host", "path", "rule", F.coalesce("said", model).alias("verdict"), "score", F.coalesce("good", F.lit(1.0)).alias("good"))
 
