@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 import __spark_entry__ as entry
 from spikeloom.llm import fingerprint, minhash, mixing, pieces, pii, quality, suffix, urls, warc
@@ -157,7 +158,9 @@ def test_pieces(shared, frame, docs):
 
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for df in (frame, docs):
-        made = pieces.encoded(df, chunk_bytes=20_000).collect()
+        made = pieces.encoded(df).collect()
+        other = pieces.encoded_relational(df, chunk_bytes=20_000).select("doc_id", "ids").collect()
+        assert sorted(map(str, other)) == sorted(str(Row(doc_id=r.doc_id, ids=r.ids)) for r in made)
         assert len(made) == df.count()
         for r in made:
             assert r.decoded_ok and list(r.ids) == best(r.text or "") and r.n_tokens == len(r.ids)
