@@ -186,18 +186,19 @@ def mixed_documents(documents: DataFrame, seed: int = 7) -> DataFrame:
     A document of which a pass takes all words keeps its text to the sign; else the text holds the
     taken runs of words with the white space after them.  All columns stay; n_chars is the new length.
     """
-    _, _, taken = chosen(documents, seed)
+    rows, _, taken = chosen(documents, seed)
     part = F.struct("offset", "words")
     per = taken.groupBy("_mix_key", "_mix_copy", "pass").agg(F.sort_array(F.collect_list(part)).alias("_mix_parts"), F.sum("words").alias("_mix_n"))
-    per = per.groupBy("_mix_key").agg(F.collect_list(F.struct("_mix_copy", "_mix_parts", "_mix_n", "pass")).alias("_mix_passes"))
+    per = per.join(rows.select("_mix_key", "_mix_copy", "size"), ["_mix_key", "_mix_copy"])
+    per = per.groupBy("_mix_key").agg(F.collect_list(F.struct("_mix_copy", "_mix_parts", (F.col("_mix_n") == F.col("size")).alias("whole"), "pass")).alias("_mix_passes"))
     docs = keyed(documents).withColumn("_mix_mine", F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key")))
     out = docs.join(per, "_mix_key").withColumn("_mix_pass", F.explode(F.filter("_mix_passes", lambda p: p["_mix_copy"] == F.col("_mix_mine"))))
     every = F.regexp_extract_all("text", F.lit(f"({PART})"), F.lit(1))
     lead = F.when(F.col("_mix_pass._mix_parts")[0]["offset"] == 0, F.regexp_extract("text", f"^(?:{GAP})?", 0)).otherwise("")
-    runs = F.flatten(F.transform("_mix_pass._mix_parts", lambda p: F.slice("_mix_every", (p["offset"] + 1).cast("int"), p["words"].cast("int"))))
-    whole = F.col("_mix_pass._mix_n") == n_words(F.col("text"))
-    out = out.withColumn("_mix_every", F.when(~whole, every))
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.concat(lead, F.array_join(runs, ""))))
+    # The words are bound once, outside the loop over the runs.
+    run = lambda words: F.flatten(F.transform("_mix_pass._mix_parts", lambda p: F.slice(words, (p["offset"] + 1).cast("int"), p["words"].cast("int"))))
+    taken_ = F.transform(F.array(every), lambda words: F.array_join(run(words), ""))[0]
+    out = out.withColumn("text", F.when(F.col("_mix_pass.whole"), F.col("text")).otherwise(F.concat(lead, taken_)))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
