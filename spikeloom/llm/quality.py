@@ -68,28 +68,41 @@ def fit(rows: list, seed_share: int = 5, rounds: int = 200, rate: float = 2.0, d
     label = np.array([r["y"] for r in rows], float)
     if len(set(label)) < 2:
         return Model(weight.astype(np.float32), 0.0, 10.0)
-    index = [np.frombuffer(r["f"], np.int32) for r in rows]
-    value = np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in index])
-    every = np.concatenate(index)
-    used = np.flatnonzero(np.bincount(every, minlength=1 << BITS))
+    used = np.zeros(1 << BITS, bool)
+    for r in rows:
+        used[np.frombuffer(r["f"], np.int32)] = True
+    used = np.flatnonzero(used)
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
-    column = place[every]
-    train = np.array([r["fold"] % seed_share != 0 for r in rows])
+    # Blocks of rows keep the arrays of one step small.
+    blocks = []
+    for i in range(0, len(rows), 100):
+        some = rows[i : i + 100]
+        sizes = [len(r["f"]) // 4 for r in some]
+        column = place[np.concatenate([np.frombuffer(r["f"], np.int32) for r in some])]
+        blocks.append((slice(i, i + len(some)), np.repeat(np.arange(len(some), dtype=np.int32), sizes), column, np.concatenate([np.frombuffer(r["x"], np.float32) for r in some])))
+    folds = [r["fold"] for r in rows]
+    rows.clear()
+
+    def summed(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, weights=value * w[column], minlength=at.stop - at.start) for at, row, column, value in blocks])
+
+    train = np.array([f % seed_share != 0 for f in folds])
     if len(set(label[train])) < 2 or len(set(label[~train])) < 2:
         train[:] = True
     w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     share = np.where(label == 1, 0.5 / max(1, (label[train] == 1).sum()), 0.5 / max(1, (label[train] == 0).sum())) * train
     for t in range(1, rounds + 1):
-        s = np.bincount(row, weights=value * w[column], minlength=len(rows)) + b
+        s = summed(w) + b
         e = share * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - label)
-        g = np.r_[np.bincount(column, weights=value * e[row], minlength=len(used)) + decay * w, e.sum()]
+        g = np.r_[decay * w, e.sum()]
+        for at, row, column, value in blocks:
+            g[:-1] += np.bincount(column, weights=value * e[at][row], minlength=len(used))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - move[:-1], b - 0.1 * move[-1]
     weight[used] = w
-    s = np.bincount(row, weights=value * w[column], minlength=len(rows))
+    s = summed(w)
     held = ~train if (~train).any() else train
     x, y = s[held], label[held]
     scale = max(1e-9, x.std())
