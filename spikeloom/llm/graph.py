@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.operators.skew import attach
+from spikeloom.operators.skew import attach, hot_counts
 from spikeloom.session import checkpoint
 
 
@@ -14,17 +14,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label of that label, so the
     number of rounds grows with the logarithm of the longest path.  Neighbours' labels are reduced
-    map-side; a node with very many links is split by ``attach``.  Empty links: no rows.
+    map-side; a node with very many links is split.  Empty links: no rows.
     """
     ends = links.where(F.col("u") != F.col("v"))
     ends = checkpoint(ends.union(ends.select("v", "u")).distinct())
-    labels = checkpoint(ends.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
+    first = checkpoint(ends.groupBy("u").agg(F.least("u", F.min("v")).alias("label"), F.count(F.lit(1)).alias("_n")))
+    labels = first.select(F.col("u").alias("node"), "label")
+    hot = checkpoint(hot_counts(first.select("u", "_n"), ["u"]))  # the links stay, so their hot nodes do
     while True:
-        near = attach(ends, labels.select(F.col("node").alias("u"), "label"), ["u"], F.col("v"))
+        near = attach(ends, labels.select(F.col("node").alias("u"), "label"), ["u"], F.col("v"), hot=hot)
         least = near.groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(least, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = attach(step, jump, ["label"], F.col("node")).select("node", F.least("label", "far").alias("label"), "was")
+        # A large component's label is on many rows: adaptive execution splits such a join.
+        step = step.join(jump, "label").select("node", F.least("label", "far").alias("label"), "was")
         step = checkpoint(step)
         moved = step.where(F.col("label") != F.col("was")).count()
         labels = step.select("node", "label")
