@@ -68,10 +68,17 @@ def extend_to_minima(spans: DataFrame, ste_chunks: DataFrame, size: int, pre: in
 
 
 def merge_overlaps(spans: DataFrame, length: int) -> DataFrame:
-    """Coalesce spans that overlap or touch; ends grow with starts."""
-    starts = F.col("_e").isNull() | (F.col("start") > F.col("_e"))
-    d = in_order(spans, CHAN, "start", length, tie=["end"], lag={"_e": "end"}, running={"g": run_number(starts)})
-    return d.groupBy(*CHAN, "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
+    """Coalesce spans that overlap, touch or contain each other.
+
+    Starts and ends are swept in order: a merged span begins where the number of open spans rises
+    to one and ends where it falls to zero, so a long span covers all that begin within it.
+    """
+    starts = spans.select(*CHAN, F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step"))
+    ends = spans.select(*CHAN, F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("step"))
+    swept = in_order(starts.union(ends), CHAN, "at", length, tie=["kind"], running={"open": F.col("step")})
+    edges = swept.where(((F.col("kind") == 0) & (F.col("open") == 1)) | (F.col("open") == 0)).select(*CHAN, "at", "kind")
+    paired = in_order(edges, CHAN, "at", length, tie=["kind"], lead={"end": "at"})
+    return paired.where(F.col("kind") == 0).select(*CHAN, F.col("at").alias("start"), "end")
 
 
 def find_peaks(x, distance=1.0, prominence=0.0):
@@ -122,12 +129,16 @@ def find_bursts(ste: DataFrame, ste_chunks: DataFrame, chunks: DataFrame, size:
     return with_peaks(merge_overlaps(s, length), chunks, size, fs, peaks)
 
 
-def baseline_periods(bursts: DataFrame, size: int, length: int) -> DataFrame:
-    """Complement of the bursts inside [0, size)."""
+def baseline_periods(bursts: DataFrame, size: int, length: int, channels: DataFrame | None = None) -> DataFrame:
+    """Complement of the bursts inside [0, size); of ``channels`` those without bursts are baseline throughout."""
     d = in_order(bursts, CHAN, "start", length, lag={"_pe": "end"}, lead={"_ns": "start"})
     gaps = d.select(*CHAN, F.coalesce("_pe", F.lit(0)).alias("start"), F.col("start").alias("end"), F.col("_pe").isNull().alias("edge"))
     tail = d.where("_ns is null").select(*CHAN, F.col("end").alias("start"), F.lit(size).cast("bigint").alias("end"), F.lit(True).alias("edge"))
-    return gaps.unionByName(tail).where(~(F.col("edge") & (F.col("start") == F.col("end")))).drop("edge")
+    found = gaps.unionByName(tail).where(~(F.col("edge") & (F.col("start") == F.col("end")))).drop("edge")
+    if channels is None:
+        return found
+    quiet = channels.select(*CHAN).distinct().join(bursts.select(*CHAN).distinct(), CHAN, "left_anti")
+    return found.unionByName(quiet.select(*CHAN, F.lit(0).cast("bigint").alias("start"), F.lit(size).cast("bigint").alias("end")))
 
 
 def burst_statistics(bursts: DataFrame, chunks: DataFrame, size: int, fs: float, length: int, nperseg: int = 200) -> DataFrame:
