@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.llm.graph import components
+from spikeloom.llm.graph import components, settled
 from spikeloom.llm.text import counted, mix, odd, shingles, slices
 from spikeloom.operators.skew import attach, hot_counts
-from spikeloom.session import checkpoint
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -112,7 +111,7 @@ def profiles(documents: DataFrame, width: int) -> DataFrame:
 def profiles_of(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """Checkpointed profiles of the documents that occur in pairs (u, v)."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    return checkpoint(profiles(documents.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    return settled(profiles(documents.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
 
 
 def lookalikes(placed: DataFrame, bands: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
@@ -226,29 +225,29 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
     Rows without a doc_id give none.  Empty table: no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    sketch = checkpoint(sketches(docs, width, bands, rows))
-    reps = checkpoint(sketch.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    sketch = settled(sketches(docs, width, bands, rows))
+    reps = settled(sketch.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     member = attach(sketch.select("doc_id", "d1", "d2"), reps.select("d1", "d2", "rep"), ["d1", "d2"], F.col("doc_id")).select("doc_id", "rep")
-    member = checkpoint(member)
+    member = settled(member)
 
     cells = reps.select("rep", F.explode("bands").alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    shared = checkpoint(attach(cells, sizes, ["cell"], F.col("rep"), hot=hot_counts(sizes, ["cell"])))
+    shared = settled(attach(cells, sizes, ["cell"], F.col("rep"), hot=hot_counts(sizes, ["cell"])))
     shared = shared.join(shared.groupBy("rep").agg(F.sum("_n").alias("company")), "rep")
     lead = shared.groupBy("cell").agg(F.max(F.struct("company", -F.col("rep"))).alias("m"), F.max("_n").alias("_n")).select("cell", (-F.col("m.col2")).alias("lead"), "_n")
     stars = attach(shared.select("cell", "rep"), lead.select("cell", "lead"), ["cell"], F.col("rep"), hot=hot_counts(lead.select("cell", "_n"), ["cell"]))
-    stars = checkpoint(stars.where(F.col("lead") != F.col("rep")).select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct())
+    stars = settled(stars.where(F.col("lead") != F.col("rep")).select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct())
     made = profiles_of(docs, stars, width)
-    links = checkpoint(verified(stars, made, threshold))
+    links = settled(verified(stars, made, threshold))
 
     label = components(links.select("u", "v"))
     placed = shared.select("cell", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", F.coalesce("label", "rep").alias("label"))
-    placed = checkpoint(placed)
+    placed = settled(placed)
     apart = placed.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
-    placed = checkpoint(placed.join(apart, "cell", "left_semi"))
+    placed = settled(placed.join(apart, "cell", "left_semi"))
     rest = lookalikes(placed, reps.select("rep", "bands"), made, threshold)
-    rest = checkpoint(rest.join(stars, ["u", "v"], "left_anti"))
-    links = checkpoint(links.union(verified_in_blocks(rest, made, threshold)))
+    rest = settled(rest.join(stars, ["u", "v"], "left_anti"))
+    links = settled(links.union(verified_in_blocks(rest, made, threshold)))
 
     exact = member.where(F.col("doc_id") != F.col("rep")).toDF("u", "v")
     label = components(links.select("u", "v").union(exact))
