@@ -123,8 +123,8 @@ def fit(rows: list, seed_share: int = 5, rounds: int = 200, rate: float = 2.0, d
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """Fit on at most ``most`` labelled documents, those with the least hash of their doc_id.
 
-    The bound is this parameter; the rows' sparse features (about 10 kB a document) are all that
-    comes to the driver.
+    The bound is this parameter.  The rows' sparse features (about 10 kB a document) meet in one
+    task, which fits and returns the weights; only these come to the driver.
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).orderBy("fold", "doc_id").limit(most)
@@ -146,8 +146,14 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Mod
                 ["fold", "y", "f", "x"],
             )
 
-    rows = texts.select("fold", F.col("y").cast("int").alias("y"), "text").mapInArrow(task, "fold long, y int, f binary, x binary").collect()
-    return fit(sorted(rows, key=lambda r: r["fold"]))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["fold"], r["f"]))
+        model = fit(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], ["weight", "slope", "shift"])
+
+    rows = texts.select("fold", F.col("y").cast("int").alias("y"), "text").mapInArrow(task, "fold long, y int, f binary, x binary")
+    made = rows.repartition(1).mapInArrow(fitted, "weight binary, slope double, shift double").first()
+    return Model(np.frombuffer(made["weight"], np.float32), made["slope"], made["shift"]) if made else fit([])
 
 
 def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
