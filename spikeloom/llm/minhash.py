@@ -232,7 +232,8 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
 
     cells = reps.select("rep", F.explode("bands").alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    shared = settled(attach(cells, sizes, ["cell"], F.col("rep"), hot=hot_counts(sizes, ["cell"])))
+    # Most cells are lone, and this join drops them first; adaptive execution splits a hot cell here.
+    shared = settled(cells.join(sizes, "cell"))
     shared = shared.join(shared.groupBy("rep").agg(F.sum("_n").alias("company")), "rep")
     lead = shared.groupBy("cell").agg(F.max(F.struct("company", -F.col("rep"))).alias("m"), F.max("_n").alias("_n")).select("cell", (-F.col("m.col2")).alias("lead"), "_n")
     stars = attach(shared.select("cell", "rep"), lead.select("cell", "lead"), ["cell"], F.col("rep"), hot=hot_counts(lead.select("cell", "_n"), ["cell"]))
