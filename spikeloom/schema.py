@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +111,11 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> Column:
+    """Number of embeddings, as a scalar."""
+    return table(spark, sf_dir, "embeddings").agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly event counts per type: five dense channels of 720 samples."""
     e = spikes(spark, sf_dir)
