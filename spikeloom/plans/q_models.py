@@ -34,18 +34,6 @@ def _(spark, sf):
     return d.select("cluster_id", "n", *[R(c) for c in ("loc", "expon_scale", "mu", "sigma", "ig_mean", "ig_shape", "gamma_shape")])
 
 
-@query("renewal_train")
-def _(spark, sf):
-    p = mo.fit_intervals(_iv(spark, sf), sp.UNIT)
-    return mo.renewal_trains(p, sp.UNIT, "n", "expon_scale", "loc", 42)
-
-
-@query("renewal_train_lognormal")
-def _(spark, sf):
-    p = mo.fit_intervals(_iv(spark, sf), sp.UNIT)
-    return mo.renewal_trains(p, sp.UNIT, "n", "sigma", "mu", 42, "lognormal")
-
-
 @query("sttc_significance")
 def _(spark, sf):
     return mo.sttc_significance(S.spikes(spark, sf), _iv(spark, sf), H, 0, T, SEG, 4, 42)
@@ -85,7 +73,7 @@ def _mat(name, cols, m):
 
 @query(
     "kcsd_estimate",
-    f"""WITH {S.SIG}, {_mat('w', 'point, electrode, w', EST)} SELECT channel // 16 AS probe, point, idx, round(sum(v * w), 6) AS csd
+    f"""WITH {S.SIG}, {_mat('w', 'point, electrode, w', EST)} SELECT channel // 16 AS probe, point, idx, CASE WHEN count(*) = 16 THEN round(sum(v * w), 6) END AS csd
       FROM sig JOIN w ON electrode = channel % 16 GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
@@ -94,7 +82,7 @@ def _(spark, sf):
 
 @query(
     "kcsd_cross_validation",
-    f"""WITH {S.SIG}, {_mat('w', 'left_out, electrode, w', RES)}, r AS (SELECT channel // 16 AS probe, left_out, idx, sum(v * w) AS e
+    f"""WITH {S.SIG}, {_mat('w', 'left_out, electrode, w', RES)}, r AS (SELECT channel // 16 AS probe, left_out, idx, CASE WHEN count(*) = 16 THEN sum(v * w) END AS e
       FROM sig JOIN w ON electrode = channel % 16 GROUP BY 1, 2, 3) SELECT probe, round(sum(e * e), 5) AS error FROM r GROUP BY 1""",
 )
 def _(spark, sf):
@@ -141,12 +129,6 @@ def _(spark, sf):
     return mo.autoregression(v, ["recording_id"], 3, 5, 240)
 
 
-@query("izhikevich_membrane")
-def _(spark, sf):
-    b = _blocks(spark, sf).withColumn("samples", F.transform("samples", lambda v: v * 100 + 10))
-    return mo.membrane(b, ["channel", "segment"], dt=0.5)
-
-
 @query("seqnmf")
 def _(spark, sf):
     h = S.hourly(spark, sf)
