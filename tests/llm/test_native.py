@@ -30,6 +30,17 @@ def test_pseudonyms(shared, frame):
     assert pii.pseudonymised(frame).columns == [*frame.columns, "n_replaced"]
 
 
+def test_lone_digits(shared):
+    """Values without two adjacent digits are found in texts that hold nothing else."""
+    texts = ["DNS is 8.8.8.8", "DNS is 8.8.8.8, asked 12 times", "1.1.1.1", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "step 1, 2. 3"]
+    df = shared.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    assert [got[i].n_replaced for i in range(6)] == [1, 1, 1, 1, 1, 0]
+    assert got[5].text == texts[5] and got[1].text == got[0].text + ", asked 12 times"
+    assert all("8.8.8.8" not in got[i].text for i in (0, 1)) and got[2].text != texts[2]
+    assert [luhn(re.sub(r"\D", "", got[i].text)) for i in (3, 4)] == [True, True] and got[3].text != texts[3]
+
+
 def test_permutation(shared):
     df = shared.range(1000).selectExpr("lpad(cast(id as string), 3, '0') v")
     from pyspark.sql import functions as F
