@@ -6,12 +6,15 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spikeloom.llm.graph import settled
 from spikeloom.llm.mixing import running
-from spikeloom.session import checkpoint
+from spikeloom.operators.ordered import in_order
 
+#: Levels, and turns, that are summed up or ordered in one task.
+STRETCH = 1024
 KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -52,29 +55,58 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without known predecessors, else one more than the highest of them.
 
-    Kahn's rounds: each takes the calls whose predecessors are all placed and passes their level on,
-    so every dependency is handled once; the rounds are as many as the longest chain.  Calls on or
-    behind a cycle get no row.
+    A call with one predecessor finds its way back to the first call that has none or several by
+    pointer doubling, so the rounds grow with the logarithm of a chain.  Kahn's rounds then place the
+    calls with several predecessors, as many as the most of these on one path.  Calls on or behind a
+    cycle get no row.
     """
     key = ["conv_id", "call_id"]
-    one = calls.groupBy(*key).agg(F.flatten(F.collect_set("after")).alias("after"))
+    one = settled(calls.groupBy(*key).agg(F.flatten(F.collect_set("after")).alias("after")))
     need = one.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("on"))
-    need = checkpoint(need.join(one.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"))
-    waiting = one.select(*key).join(need.groupBy(*key).agg(F.count(F.lit(1)).alias("open")), key, "left")
-    waiting = checkpoint(waiting.select(*key, F.coalesce("open", F.lit(0)).alias("open")))
-    done, level = [], 0
+    need = settled(need.join(one.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"))
+    back = one.select(*key).join(need.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("on")), key, "left")
+    lone = F.coalesce(F.col("n") == 1, F.lit(False))
+    back = settled(back.select(*key, F.when(lone, F.col("on")).otherwise(F.col("call_id")).alias("to"), lone.cast("long").alias("far"), (~lone).alias("ended"), F.coalesce("n", F.lit(0)).alias("open")))
+    # A chain is shorter than its conversation; what hasn't ended after these rounds runs in a cycle.
+    most = one.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        if back.where(~F.col("ended")).isEmpty():
+            break
+        step = back.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("ended").alias("_ended"))
+        step = back.where(~F.col("ended")).join(step, ["conv_id", "to"]).select(*key, F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far"), F.col("_ended").alias("ended"), "open")
+        back = settled(back.where("ended").union(step))
+    back = back.where("ended")
+
+    ends = back.where(F.col("call_id") == F.col("to"))
+    waiting = ends.select(*key, "open", F.lit(0).cast("long").alias("level"))
+    forks = need.join(ends.where(F.col("open") > 1).select(*key), key, "left_semi")
+    # An edge from a call behind a cycle isn't among these, so it is never taken off.
+    forks = settled(forks.join(back.select("conv_id", F.col("call_id").alias("on"), "to", "far"), ["conv_id", "on"]).select(*key, "to", "far"))
+    done = None
     while True:
-        ready = waiting.where(F.col("open") == 0).select(*key)
-        if ready.isEmpty():
+        ready = waiting.where(F.col("open") == 0).select(*key, "level")
+        done = ready if done is None else done.union(ready)
+        waiting = waiting.where(F.col("open") > 0)
+        if ready.isEmpty() or waiting.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        freed = need.join(ready.toDF("conv_id", "on"), ["conv_id", "on"], "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("got"))
-        waiting = checkpoint(waiting.where(F.col("open") > 0).join(freed, key, "left").select(*key, (F.col("open") - F.coalesce("got", F.lit(0))).alias("open")))
-        level += 1
-    out = done[0] if done else one.select(*key, F.lit(0).alias("level")).limit(0)
-    for d in done[1:]:
-        out = out.union(d)
-    return out
+        freed = forks.join(ready.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_level")), ["conv_id", "to"])
+        freed = freed.groupBy(*key).agg(F.count(F.lit(1)).alias("_got"), F.max(F.col("_level") + F.col("far") + 1).alias("_level"))
+        waiting = settled(waiting.join(freed, key, "left").select(*key, (F.col("open") - F.coalesce("_got", F.lit(0))).alias("open"), F.greatest("level", "_level").alias("level")))
+    out = back.join(done.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"])
+    return out.select(*key, (F.col("level") + F.col("far")).cast("int").alias("level"))
+
+
+def places(order: DataFrame) -> DataFrame:
+    """``levels`` with ``place``, the position in the conversation by level, then identifier.
+
+    Calls are ranked within their level; the sizes of the levels are summed by stretches of STRETCH
+    levels, so neither a wide level nor a long chain is all of a conversation in one task.
+    """
+    sizes = order.groupBy("conv_id", "level").agg(F.count(F.lit(1)).alias("_n"))
+    before = running(sizes, "conv_id", ["level"], F.col("_n"), "_start", F.floor(F.col("level") / STRETCH).cast("long")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("conv_id", "level").orderBy("call_id"))
+    out = order.withColumn("_rank", rank).join(before, ["conv_id", "level"])
+    return out.select("conv_id", "call_id", "level", (F.col("_start") + F.col("_rank") - 1).alias("place"))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -96,8 +128,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     one = calls.where(has).groupBy(*key).agg(F.min(F.struct("name", "arguments")).alias("call"))
     got = results.where(has).groupBy(*key).agg(F.sort_array(F.collect_list("content")).alias("content"))
     order = levels(calls.where(has).select(*key, F.coalesce("after", F.array().cast("array<string>")).alias("after")))
-    order = running(order, "conv_id", ["level", "call_id"], F.lit(1), "place", F.col("level").cast("long"))
-    rows = one.join(got, key, "full").join(order, key, "left").withColumn("name", F.col("call.name")).join(schemas, "name", "left")
+    rows = one.join(got, key, "full").join(places(settled(order)), key, "left").withColumn("name", F.col("call.name")).join(schemas, "name", "left")
     rows = rows.select(*key, "level", "place", "name", F.col("call.arguments").alias("arguments"), F.col("call").isNotNull().alias("called"), "content", "schema")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +168,17 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from ``conversations(conv_id, turn, role, text)``.
 
     User and system turns call ``ask`` and ``configure``; an assistant turn is the result of the turn
-    before it.  Call t depends on call t div 2 and, if odd, on call 0, so chains stay short.
+    before it.  A call depends on the call before it in its conversation, by turn; calls of one turn
+    on the same one.
     """
     at = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text"))
     ask = at.where(F.col("role").isin("user", "system"))
     call_id = lambda t: F.lpad(t.cast("string"), 12, "0")
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
     args = F.when(F.col("role") == "user", F.to_json(F.struct("text", words.alias("words")))).otherwise(F.to_json(F.struct("text")))
-    half, odd = call_id(F.floor(F.col("turn") / 2)), call_id(F.lit(0))
-    after = F.when(F.col("turn") <= 0, F.array().cast("array<string>")).when(F.col("turn") % 2 == 1, F.array_distinct(F.array(half, odd))).otherwise(F.array(half))
+    turns = ask.select("conv_id", "turn").where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct()
+    ask = ask.join(in_order(turns, ["conv_id"], "turn", STRETCH, lag={"before": "turn"}), ["conv_id", "turn"], "left")
+    after = F.when(F.col("before").isNull(), F.array().cast("array<string>")).otherwise(F.array(call_id(F.col("before"))))
     name = F.when(F.col("role") == "user", "ask").otherwise("configure")
     calls = ask.select("conv_id", call_id(F.col("turn")).alias("call_id"), name.alias("name"), args.alias("arguments"), after.alias("after"))
     results = at.where(F.col("role") == "assistant").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))

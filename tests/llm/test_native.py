@@ -63,3 +63,35 @@ def test_tool_calls(shared):
     assert by["1"].valid and by["1"].record == '{"arguments":{"a":"é","b":1},"conversation":"c","id":"1","name":"f","result":"ok"}'
     assert by["2"].errors == ["$.b: missing", "$.a: not string"] and by["2"].n_results == 2
     assert by["3"].errors == ["no schema"] and by["4"].errors == ["arguments are not JSON"] and by["9"].errors == ["result without call"]
+
+
+def test_levels(shared, monkeypatch):
+    """A long chain takes few rounds; chains, forks, joins, cycles and what hangs behind them against plain Python."""
+    after = {("chain", i): {i - 1} if i else set() for i in range(300)}
+    after |= {("mixed", i): {(i * k) // 7 for k in (3, 5, 6)[: i % 4]} - {i} for i in range(60)}
+    after |= {("mixed", i): {i + 1 if i < 102 else 100} | ({5} if i == 101 else set()) for i in range(100, 103)}  # a cycle
+    after |= {("mixed", 103): {102}, ("mixed", 104): {103, 7}, ("mixed", 105): {105}, ("mixed", 106): {4, 999}}
+    want = {}
+    while new := {k: 1 + max((want[k[0], x] for x in a if (k[0], x) in after), default=-1) for k, a in after.items() if k not in want and all((k[0], x) in want for x in a if (k[0], x) in after)}:
+        want |= new
+    rounds, settle = [], chat.settled
+    monkeypatch.setattr(chat, "settled", lambda d: rounds.append(1) or settle(d))
+    calls = shared.createDataFrame([(c, f"{i:04}", [f"{x:04}" for x in a]) for (c, i), a in after.items()], "conv_id string, call_id string, after array<string>")
+    placed = chat.places(chat.levels(calls)).collect()
+    assert {(r.conv_id, int(r.call_id)): r.level for r in placed} == want and ("mixed", 104) not in want
+    for c in ("chain", "mixed"):
+        order = sorted((v, i) for (k, i), v in want.items() if k == c)
+        assert [int(r.call_id) for r in sorted((r for r in placed if r.conv_id == c), key=lambda r: r.place)] == [i for _, i in order]
+        assert sorted(r.place for r in placed if r.conv_id == c) == list(range(len(order)))
+    assert len(rounds) < 40
+
+
+def test_turns_in_order(shared, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 8)
+    turns = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(30)] + [(2, 0, "system", "s"), (2, 1, "user", "u"), (2, 1, "user", "u"), (2, 2, "assistant", "a"), (2, 9, "user", "v"), (None, 0, "user", "x")]
+    calls, results = chat.from_turns(shared.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    schemas = shared.createDataFrame([(k, chat.canonical(v)) for k, v in chat.SCHEMAS.items()], "name string, schema string")
+    got = chat.linked(calls, results, schemas).collect()
+    for conv, want in ((1, list(range(0, 30, 2))), (2, [0, 1, 9])):
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.place)
+        assert [int(r.call_id) for r in mine] == want and [r.place for r in mine] == [r.level for r in mine] == list(range(len(want)))
