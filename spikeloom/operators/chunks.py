@@ -33,7 +33,7 @@ def to_long(chunks: DataFrame, size: int, value: str = "samples") -> DataFrame:
 def to_chunks(sig: DataFrame, size: int) -> DataFrame:
     """Long form with every sample present to chunk form."""
     pieces = F.array_sort(F.collect_list(F.struct("idx", "v")))
-    return sig.groupBy(*CHAN, F.expr(f"idx div {size}").alias("chunk")).agg(F.transform(pieces, lambda x: x["v"]).alias("samples"))
+    return sig.groupBy(*CHAN, F.expr(f"(idx - pmod(idx, {size})) div {size}").alias("chunk")).agg(F.transform(pieces, lambda x: x["v"]).alias("samples"))
 
 
 def halo(chunks: DataFrame, size: int, left: int, right: int) -> DataFrame:

@@ -90,13 +90,13 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_chunks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
-    """Embeddings as chunked channels, the stored form of dense signals."""
-    n = -(-SAMPLES // size)
+    """Embeddings as chunked channels, the stored form of dense signals, as long as each vector is."""
+    n = F.ceil(F.greatest(F.size("embedding"), F.lit(1)) / size).cast("int")
     emb = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select(
         F.lit("embeddings").alias("recording_id"),
         F.col("vec_id").alias("channel"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(emb, i * size + 1, F.lit(size)))).alias(
+        F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(emb, i * size + 1, F.lit(size)))).alias(
             "chunk", "samples"
         ),
     ).withColumn("chunk", F.col("chunk").cast("bigint"))
@@ -117,13 +117,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> Column:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly event counts per type: five dense channels of 720 samples."""
+    """Hourly event counts per type: dense channels of HOURS samples, longer where events lie before or after; the start stays on a whole segment."""
     e = spikes(spark, sf_dir)
-    n = e.groupBy(F.col("probe").alias("channel"), F.expr(f"t div {HOUR_US}").alias("idx")).agg(
+    hour = F.expr(f"(t - pmod(t, {HOUR_US})) div {HOUR_US}")
+    bound = lambda f, least, at: e.agg(least(F.coalesce(f(hour), F.lit(at)), F.lit(at)).cast("bigint")).scalar()
+    first, last = bound(F.min, F.least, 0), bound(F.max, F.greatest, HOURS - 1)
+    first = first - F.pmod(first, F.lit(SEGMENT_US // HOUR_US).cast("bigint"))
+    n = e.groupBy(F.col("probe").alias("channel"), hour.alias("idx")).agg(
         F.count(F.lit(1)).alias("n")
     )
     spine = e.select(F.col("probe").alias("channel")).distinct().select(
-        "channel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HOURS - 1).cast("bigint"))).alias("idx")
+        "channel", F.explode(F.sequence(first, last)).alias("idx")
     )
     return spine.join(n, ["channel", "idx"], "left").select(
         F.lit("events").alias("recording_id"), "channel", "idx", F.coalesce("n", F.lit(0)).cast("double").alias("v")
