@@ -19,6 +19,11 @@ PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d.\-])(?:\d[ -]?){12,18}\d(?![\d]|[.\-]\d)"
+#: Digits of a card by issuer: Visa, Mastercard (twice), American Express, Diners, Discover, JCB, UnionPay, Maestro.
+ISSUERS = "|".join([
+    r"4\d{12}(?:\d{3}){0,2}", r"5[1-5]\d{14}", r"2[2-7]\d{14}", r"3[47]\d{13}", r"3[0689]\d{12}", r"6(?:011|4[4-9]\d|5\d\d)\d{12,15}",
+    r"35(?:2[89]|[3-8]\d)\d{12,15}", r"62\d{14,17}", r"(?:50|5[6-8]|6[0137])\d{11,17}",
+])
 SECRET = r"(?<![A-Za-z0-9])(?=[A-Fa-f0-9]*\d)(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])"
 ANY = "|".join([EMAIL, DATE, ACCOUNT, SOCIAL, PHONE, ADDRESS, SECRET, CARD])
 #: Every match of ANY has a match of this: an e-mail its @, a secret its hexadecimal run, and all others two digits at most one sign apart.
@@ -105,7 +110,7 @@ def _kind(v: Column) -> Column:
         .when(_whole(v, ACCOUNT) & (F.when(_whole(v, ACCOUNT), _mod97(v)) == 1), "account")
         .when(_whole(v, SOCIAL) & ~d.rlike("^(?:000|666|9..|...00)") & ~d.rlike("0000$"), "social")
         .when(_whole(v, SECRET) & ~v.rlike(r"^\d+$"), "secret")
-        .when(_whole(v, CARD) & d.rlike(r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12}|6(?:011|5\d\d)\d{12})$") & (_luhn(d) % 10 == 0), "card")
+        .when(_whole(v, CARD) & d.rlike(f"^(?:{ISSUERS})$") & (_luhn(d) % 10 == 0), "card")
         .when(_whole(v, PHONE) & F.length(d).between(8, 15), "phone")
     )
 
@@ -205,7 +210,7 @@ def pseudonymised(documents: DataFrame, key: str = "demonstration key", text: st
     """``documents`` with personal data in ``text`` replaced, and ``n_replaced``, the values that changed.
 
     E-mail addresses, dates of 1800 to 2199, network addresses, account numbers (modulo 97), social
-    numbers, cards (prefix and Luhn), telephone numbers and hexadecimal secrets are permuted within
+    numbers, cards (13 to 19 digits, Luhn and a prefix of ISSUERS), telephone numbers and hexadecimal secrets are permuted within
     their format; what fails its check stays.  The text is cut at the values found and joined again,
     so all else is untouched.  Null and empty texts stay as they are, with 0.  Other columns pass.
     """

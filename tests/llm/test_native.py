@@ -41,6 +41,19 @@ def test_lone_digits(shared):
     assert [luhn(re.sub(r"\D", "", got[i].text)) for i in (3, 4)] == [True, True] and got[3].text != texts[3]
 
 
+def test_card_issuers(shared):
+    """Every issuer's range is replaced within its first four digits; a number that fails Luhn, or of no issuer, stays."""
+    bodies = ["353011133330000", "620000000000000", "62000000000000000", "644123412341234", "649123412341234", "501812341234123", "675912341234123", "601112341234123", "411112341234123"]
+    cards = [next(b + str(c) for c in range(10) if luhn(b + str(c))) for b in bodies]
+    stay = [cards[0][:-1] + str((int(cards[0][-1]) + 1) % 10), next("999912341234123" + str(c) for c in range(10) if luhn("999912341234123" + str(c)))]
+    df = shared.createDataFrame([(k, f"card {c} end") for k, c in enumerate(cards + stay)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    for k, c in enumerate(cards):
+        new = got[k].text.split()[1]
+        assert got[k].n_replaced == 1 and new != c and len(new) == len(c) and luhn(new) and new.startswith(c[: 1 if c[0] == "4" else 4])
+    assert [got[len(cards) + k].text.split()[1] for k in range(2)] == stay
+
+
 def test_permutation(shared):
     df = shared.range(1000).selectExpr("lpad(cast(id as string), 3, '0') v")
     from pyspark.sql import functions as F
