@@ -210,7 +210,7 @@ def verified_in_blocks(pairs: DataFrame, made: DataFrame, threshold: float) -> D
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, n_links) for every doc_id of ``documents(doc_id, text)``.
+    """(doc_id, class_id, n_verified) for every doc_id of ``documents(doc_id, text)``.
 
     Documents with equal profiles are one representative.  Band collisions are compared with one
     document of their bucket first, that with most company in all its buckets; only members of a
@@ -219,8 +219,9 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
     large group of copies costs one comparison a copy.
     With 24 bands of 4 registers a pair of likeness 0.8 is missed once in 300,000 times.
 
-    ``class_id`` is the least doc_id of the class; ``n_links`` counts verified links to other
-    representatives (copies of a representative share its count).  Rows that share a doc_id are one
+    ``class_id`` is the least doc_id of the class; ``n_verified`` counts the links to other
+    representatives that were verified on the way to the classes, not all links at the threshold:
+    it depends on which documents lead their buckets (copies of a representative share its count).  Rows that share a doc_id are one
     document with several texts.  A text without a word (null, empty, white space) is like no other.
     Rows without a doc_id give none.  Empty table: no rows.
     """
@@ -252,11 +253,11 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
 
     exact = member.where(F.col("doc_id") != F.col("rep")).toDF("u", "v")
     label = components(links.select("u", "v").union(exact))
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    counts = member.join(degree, "rep", "left").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_verified"))
+    counts = member.join(degree, "rep", "left").groupBy("doc_id").agg(F.sum("n_verified").alias("n_verified"))
     ids = docs.select("doc_id").distinct()
     out = ids.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(counts, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and number of links of every document, and whether it stays."""
+    """Class and number of verified links of every document, and whether it stays."""
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.col("class_id") == F.col("doc_id"))
 
