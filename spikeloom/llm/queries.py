@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import chat, fingerprint, minhash, mixing, pieces, pii, quality, suffix, urls, warc
+from spikeloom.llm import chat, fingerprint, minhash, mixing, periods, pieces, pii, pivots, quality, sql, suffix, trie, urls, warc
 from spikeloom.plans.registry import Builder
 
 QUERIES: dict[str, Builder] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_periodic_runs": sql.PERIODIC_RUNS,
+    "op12_prefix_trie": sql.PREFIX_TRIE,
+    "op13_exact_top_k": sql.EXACT_TOP_K,
+}
 
 
 def query(fn: Builder) -> Builder:
@@ -85,6 +89,34 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"), warc.shared_folder(spark, "warc")).drop("url", "body_digest")
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of periodic runs of every document, the greatest of them, digests of all and of what is left."""
+    found = periods.periodic_runs(periods.with_planted_period(table(spark, sf_dir, "documents")))
+    found = found.withColumn("_run", periods.greatest_run(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_run.start", "_run.length", "_run.period",
+        F.expr("(1000 * _run.length) div _run.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with the digest of its end list."""
+    made = trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    out = made.nodes.join(trie.end_digests(made.ends), trie.KEY, "left")
+    return out.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256))).drop(*trie.SUMS)
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of every hundredth vector."""
+    return pivots.top_scores(table(spark, sf_dir, "embeddings")).drop("n_bounded", "n_evaluated")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
