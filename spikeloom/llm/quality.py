@@ -14,8 +14,9 @@ from spikeloom.llm.text import mix, odd, per_text, slices, span_hash, words
 
 BITS = 18
 GRAMS = (3, 4)
-SYMBOLS = b"#[*$%&|<>]"
-MAX_TRAIN = 2000
+SYMBOLS = b"#*$%&|<>"
+MAX_TRAIN = 4000
+SLICE = 1 << 20
 MIN_WORDS, MAX_REPEAT, MIN_GOOD = 50, 50, 0.5
 
 
@@ -28,24 +29,28 @@ class Model:
     shift: float
 
 
-def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(text number, hashed feature) per family: words, word pairs, and byte n-grams of each length."""
+def features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, hashed feature) of one family after the other: words, word pairs, byte n-grams of each length."""
     n_bits = np.uint64(64 - BITS)
     start, end, row = words(data, at)
+    row = row.astype(np.int32)
     h = span_hash(data, start, end) if len(start) else np.zeros(0, np.uint64)
-    pair = h[:-1] * odd(21) + h[1:] * odd(22)
+    yield row, (mix(h + odd(20)) >> n_bits).astype(np.int32)
     same = row[:-1] == row[1:]
-    out = [(row, mix(h + odd(20)) >> n_bits), (row[:-1][same], mix(pair[same]) >> n_bits)]
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    wide = data.astype(np.uint64)
+    h = (h[:-1] * odd(21) + h[1:] * odd(22))[same]
+    yield row[:-1][same], (mix(h) >> n_bits).astype(np.int32)
+    del start, end, row, same, h
+    text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     for g in GRAMS:
         m = max(0, len(data) - g + 1)
         key = np.full(m, g, np.uint64)
         for k in range(g):
-            key = (key << np.uint64(8)) | wide[k : k + m]
+            key <<= np.uint64(8)
+            key |= data[k : k + m]
         fits = text[:m] == text[g - 1 :] if m else np.zeros(0, bool)
-        out.append((text[:m][fits], (key[fits] * odd(23)) >> n_bits))
-    return [(r, f.astype(np.int64)) for r, f in out]
+        key *= odd(23)
+        key >>= n_bits
+        yield text[:m][fits], key.astype(np.int32)[fits]
 
 
 def scores(data: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -131,10 +136,10 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Mod
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of three numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE):
             n = rows.num_rows
-            found = features(data, at)
-            key = np.concatenate([r * (1 << BITS) + f for r, f in found])
+            found = list(features(data, at))
+            key = np.concatenate([r.astype(np.int64) * (1 << BITS) + f for r, f in found])
             share = np.concatenate([1.0 / np.maximum(1, np.bincount(r, minlength=n))[r] for r, _ in found])
             one, back = np.unique(key, return_inverse=True)
             value = np.bincount(back, weights=share, minlength=len(one)).astype(np.float32)
@@ -204,7 +209,7 @@ def judge(documents: DataFrame, model: Model, min_good: float = MIN_GOOD) -> Dat
     cast = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, good double"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE):
             c = base_counts(data, at)
             failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT * c["n_words"])
             good = 1 / (1 + np.exp(-np.clip(model.slope * scores(data, at, model.weight) + model.shift, -30, 30)))
@@ -221,7 +226,7 @@ def keep_good(documents: DataFrame, model: Model, min_good: float = MIN_GOOD) ->
     fields = documents.schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE):
             c = base_counts(data, at)
             failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT * c["n_words"])
             good = 1 / (1 + np.exp(-np.clip(model.slope * scores(data, at, model.weight) + model.shift, -30, 30)))
