@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spikeloom.llm.graph import settled
 from spikeloom.operators.skew import salted_join
-from spikeloom.session import checkpoint
 
 #: The weights, by rank of the source, and the share of all words to be taken.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -125,7 +125,7 @@ def counts(table: DataFrame, seed: int) -> tuple[DataFrame, int]:
     before = Window.partitionBy("kind").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("kind")
     e = e.withColumn("hi", F.sum("part").over(before)).withColumn("sum", F.sum("part").over(every)).withColumn("rest", F.col("z") - F.sum("whole").over(every))
-    e = checkpoint(e.withColumn("last", F.max("hi").over(every)))
+    e = settled(e.withColumn("last", F.max("hi").over(every)))
     grid = 1024
     lo, hi = (F.col("hi") - F.col("part")) / F.col("last"), F.col("hi") / F.col("last")
     steps = F.sequence(F.floor(lo * grid).cast("int"), F.least(F.floor(hi * grid).cast("int"), F.lit(grid - 1)))
@@ -152,10 +152,10 @@ def chosen(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, D
     the number of blocks in the source's pseudorandom order of blocks, so every block is taken once
     before any is taken again, and none more than ``MOST`` times.
     """
-    rows = checkpoint(sized(documents))
-    table = checkpoint(sources(rows))
-    cut = checkpoint(pieces(rows, rows.count()))
-    drawn, _ = counts(table, seed)
+    rows = settled(sized(documents))
+    table = settled(sources(rows))
+    cut = settled(pieces(rows, rows.count()))
+    drawn = settled(counts(table, seed)[0])
     drawn = running(drawn, "sid", ["shard"], F.col("n"), "first", F.floor(F.col("shard") / STRETCH).cast("long"))
     slot = drawn.select("shard", "sid", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     slot = salted_join(slot, table.select("sid", "n_blocks"), ["sid"], F.col("slot")).where(F.col("slot") < F.col("n_blocks") * int(MOST))
@@ -163,8 +163,9 @@ def chosen(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, D
 
     blocks = cut.where("opens").select("sid", "block", F.xxhash64(F.lit(seed), "sid", "block").alias("_at"))
     blocks = running(blocks, "sid", ["_at", "block"], F.lit(1), "place", _bins(F.col("_at"), table.agg(F.sum("n_blocks")).first()[0] or 0))
-    taken = slot.join(blocks.select("sid", "place", "block"), ["sid", "place"]).select("sid", "block", "pass")
-    return rows, table, taken.join(cut, ["sid", "block"]).select("_mix_key", "_mix_copy", "pass", "offset", "words")
+    # Each step is a plan of its own: the driver holds small plans, not one with all their joins.
+    taken = settled(settled(slot).join(settled(blocks.select("sid", "place", "block")), ["sid", "place"]).select("sid", "block", "pass"))
+    return rows, table, settled(taken.join(cut, ["sid", "block"]).select("_mix_key", "_mix_copy", "pass", "offset", "words"))
 
 
 def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
@@ -174,7 +175,7 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     Sources may be null (one source).  Equal rows are rows of their own.  Empty table: no rows.
     """
     rows, table, taken = chosen(documents, seed)
-    per = taken.groupBy("_mix_key", "_mix_copy").agg(F.sum("words").alias("taken"))
+    per = settled(taken.groupBy("_mix_key", "_mix_copy").agg(F.sum("words").alias("taken")))
     out = rows.join(per, ["_mix_key", "_mix_copy"], "left")
     out = salted_join(out, table.select("sid", "source_size", "target"), ["sid"], F.col("_mix_key"))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -190,15 +191,15 @@ def mixed_documents(documents: DataFrame, seed: int = 7) -> DataFrame:
     part = F.struct("offset", "words")
     per = taken.groupBy("_mix_key", "_mix_copy", "pass").agg(F.sort_array(F.collect_list(part)).alias("_mix_parts"), F.sum("words").alias("_mix_n"))
     per = per.join(rows.select("_mix_key", "_mix_copy", "size"), ["_mix_key", "_mix_copy"])
-    per = per.groupBy("_mix_key").agg(F.collect_list(F.struct("_mix_copy", "_mix_parts", (F.col("_mix_n") == F.col("size")).alias("whole"), "pass")).alias("_mix_passes"))
-    docs = keyed(documents).withColumn("_mix_mine", F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key")))
-    out = docs.join(per, "_mix_key").withColumn("_mix_pass", F.explode(F.filter("_mix_passes", lambda p: p["_mix_copy"] == F.col("_mix_mine"))))
+    per = settled(per.select("_mix_key", "_mix_copy", "_mix_parts", (F.col("_mix_n") == F.col("size")).alias("_mix_whole")))
+    docs = keyed(documents).withColumn("_mix_copy", F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key")))
+    out = docs.join(per, ["_mix_key", "_mix_copy"])
     every = F.regexp_extract_all("text", F.lit(f"({PART})"), F.lit(1))
-    lead = F.when(F.col("_mix_pass._mix_parts")[0]["offset"] == 0, F.regexp_extract("text", f"^(?:{GAP})?", 0)).otherwise("")
+    lead = F.when(F.col("_mix_parts")[0]["offset"] == 0, F.regexp_extract("text", f"^(?:{GAP})?", 0)).otherwise("")
     # The words are bound once, outside the loop over the runs.
-    run = lambda words: F.flatten(F.transform("_mix_pass._mix_parts", lambda p: F.slice(words, (p["offset"] + 1).cast("int"), p["words"].cast("int"))))
+    run = lambda words: F.flatten(F.transform("_mix_parts", lambda p: F.slice(words, (p["offset"] + 1).cast("int"), p["words"].cast("int"))))
     taken_ = F.transform(F.array(every), lambda words: F.array_join(run(words), ""))[0]
-    out = out.withColumn("text", F.when(F.col("_mix_pass.whole"), F.col("text")).otherwise(F.concat(lead, taken_)))
+    out = out.withColumn("text", F.when(F.col("_mix_whole"), F.col("text")).otherwise(F.concat(lead, taken_)))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
