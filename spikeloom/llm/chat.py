@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,22 +17,47 @@ from spikeloom.operators.ordered import in_order
 #: Levels, and turns, that are summed up or ordered in one task.
 STRETCH = 1024
 KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+HALF = re.compile("[\ud800-\udfff]")
+
+
+def whole(text: str) -> str:
+    """Text with the halves of letters that stand alone written as escapes."""
+    return HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value) -> str:
-    """JSON with keys in code point order, no white space and unescaped letters."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with keys in code point order, no white space and unescaped letters; a half letter stays an escape."""
+    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def parsed(text: str):
+    """The value of a JSON text; NaN and infinities are no JSON."""
+
+    def refused(name: str):
+        raise ValueError(f"{name} is no JSON")
+
+    return json.loads(text, parse_constant=refused)
+
+
+def is_a(value, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        return isinstance(value, int | float if kind == "number" else int) and not isinstance(value, bool)
+    return isinstance(value, KINDS[kind])
 
 
 def faults(value, schema: dict, at: str = "$") -> list[str]:
-    """What of ``value`` breaks ``schema`` (type, enum, bounds, required, properties, items), by path."""
+    """What of ``value`` breaks ``schema`` (type, enum, bounds, required, properties, items), by path.
+
+    ``type`` is one name or a list of names; a name that JSON has no type for is a fault of the schema.
+    """
+    if not isinstance(schema, dict):
+        return [] if schema is True else [f"{at}: schema allows nothing" if schema is False else f"{at}: schema is no object"]
     kind = schema.get("type")
-    if kind in ("integer", "number"):
-        right = isinstance(value, int | float if kind == "number" else int) and not isinstance(value, bool)
-    else:
-        right = kind is None or isinstance(value, KINDS[kind])
-    if not right:
-        return [f"{at}: not {kind}"]
+    kinds = kind if isinstance(kind, list) else [] if kind is None else [kind]
+    if strange := [k for k in kinds if not isinstance(k, str) or k not in (*KINDS, "integer", "number")]:
+        return [f"{at}: schema has the unknown type {canonical(strange[0])}"]
+    if kinds and not any(is_a(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
     found = []
     if "enum" in schema and value not in schema["enum"]:
         found.append(f"{at}: not in enum")
@@ -52,6 +78,25 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def checked(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
+    """(value, errors) of a call's arguments; the value is null where they can't be read or written again."""
+    try:
+        value = None if arguments is None else parsed(arguments)
+        canonical(value)
+    except RecursionError:
+        return None, ["arguments are nested too deep"]
+    except ValueError:
+        return None, ["arguments are not JSON"]
+    if schema is None:
+        return value, ["no schema"]
+    try:
+        return value, faults(value, parsed(schema))
+    except RecursionError:
+        return None, ["arguments are nested too deep"]
+    except ValueError:
+        return value, ["schema is not JSON"]
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without known predecessors, else one more than the highest of them.
 
@@ -119,8 +164,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     Returns conv_id, call_id, level, place (position in its conversation by level, then identifier;
     both null on or behind a cycle), n_results, valid, errors and record.  A call without result has
     n_results 0 and null content in its record; several results are an array in code point order.
-    Arguments that are null or not JSON, and names without schema, are invalid with an error that
-    says so.  Results without a call give a row with an error and no level.  Repeated calls are one
+    Arguments that are null, not JSON (NaN and infinities, or numbers beyond doubles, are not) or nested deeper
+    than the reader goes, and names without a readable schema, are invalid with an error that says so.  Results without a call give a row with an error and no level.  Repeated calls are one
     row (the least of name and arguments); a null conv_id or call_id gives no row.
     """
     key = ["conv_id", "call_id"]
@@ -139,17 +184,13 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
                 if not r["called"]:
                     wrong.append("result without call")
                 else:
-                    try:
-                        value = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                        wrong += ["no schema"] if r["schema"] is None else faults(value, json.loads(r["schema"]))
-                    except ValueError:
-                        wrong.append("arguments are not JSON")
+                    value, wrong = checked(r["arguments"], r["schema"])
                 content = r["content"] or []
                 record = {"arguments": value, "conversation": r["conv_id"], "id": r["call_id"], "name": r["name"], "result": content[0] if len(content) == 1 else content or None}
                 made.append((len(content), not wrong, wrong, canonical(record)))
             n, valid, errors, record = zip(*made) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("conv_id", "call_id", "level", "place")), pa.array(n, pa.int64()), pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(record, pa.string())],
+                [*(b.column(c) for c in ("conv_id", "call_id", "level", "place")), pa.array(n, pa.int64()), pa.array(valid, pa.bool_()), pa.array([[whole(x) for x in e] for e in errors], pa.list_(pa.string())), pa.array(record, pa.string())],
                 ["conv_id", "call_id", "level", "place", "n_results", "valid", "errors", "record"],
             )
 

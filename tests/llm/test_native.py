@@ -78,6 +78,25 @@ def test_tool_calls(shared):
     assert by["3"].errors == ["no schema"] and by["4"].errors == ["arguments are not JSON"] and by["9"].errors == ["result without call"]
 
 
+def test_odd_arguments(shared):
+    """Deep nesting, half letters, NaN, numbers beyond doubles, lists of types, unknown types, schemas that are none."""
+    deep = "[" * 200_000 + "]" * 200_000
+    given = {
+        "deep": (deep, "{}", "arguments are nested too deep"), "half": ('{"\\ud800":"\\ud800"}', "{}", None), "pair": ('"\\ud83d\\ude00"', "{}", None),
+        "nan": ("[NaN]", "{}", "arguments are not JSON"), "inf": ("-Infinity", "{}", "arguments are not JSON"), "huge": ("1e999", "{}", "arguments are not JSON"),
+        "either": ("null", '{"type":["string","null"]}', None), "neither": ("3", '{"type":["string","null"]}', "$: not string or null"),
+        "unknown": ("3", '{"type":"float"}', '$: schema has the unknown type "float"'), "no": ("3", "false", "$: schema allows nothing"), "any": ("3", "true", None),
+        "list": ("3", "[]", "$: schema is no object"), "broken": ("3", "{", "schema is not JSON"), "deepschema": ("3", deep, "arguments are nested too deep"),
+        "true": ("true", '{"type":"integer"}', "$: not integer"), "whole": ("3", '{"type":["number"]}', None),
+    }
+    calls = shared.createDataFrame([("c", k, k, v[0], None) for k, v in given.items()], "conv_id string, call_id string, name string, arguments string, after array<string>")
+    schemas = shared.createDataFrame([(k, v[1]) for k, v in given.items()], "name string, schema string")
+    got = {r.call_id: r for r in chat.linked(calls, shared.createDataFrame([], "conv_id string, call_id string, content string"), schemas).collect()}
+    assert {k: (r.errors[0] if r.errors else None) for k, r in got.items()} == {k: v[2] for k, v in given.items()}
+    assert got["half"].record == '{"arguments":{"\\ud800":"\\ud800"},"conversation":"c","id":"half","name":"half","result":null}'
+    assert json.loads(got["pair"].record)["arguments"] == "\U0001f600" and all(json.loads(r.record) for r in got.values())
+
+
 def test_levels(shared, monkeypatch):
     """A long chain takes few rounds; chains, forks, joins, cycles and what hangs behind them against plain Python."""
     after = {("chain", i): {i - 1} if i else set() for i in range(300)}
