@@ -14,6 +14,7 @@ from spikeloom.session import checkpoint
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ORDER, PRIOR = 4, 2.0
+TASK_GRAMS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START = "\u0002"
 
@@ -85,7 +86,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: i
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
     good, bad = ((F.col("said") == c) & ~held for c in ("allow", "block"))
     flag = lambda c: F.coalesce(c.cast("long"), F.lit(0))
-    spread = one.select("url", "said", F.explode(grams(F.translate("url", UPPER, LOWER), order)).alias("gram"), flag(good).alias("good"), flag(bad).alias("bad"))
+    # A URL becomes about as many rows as it has letters: the number of tasks follows those, not the few bytes of the URLs.
+    letters = one.agg(F.sum(F.length("url"))).first()[0] or 0
+    spread = one.repartition(max(1, letters // TASK_GRAMS)).select("url", "said", F.explode(grams(F.translate("url", UPPER, LOWER), order)).alias("gram"), flag(good).alias("good"), flag(bad).alias("bad"))
     tally = checkpoint(spread.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("_n")))
     table = checkpoint(ratios(tally.select("gram", "good", "bad"), order))
 

@@ -21,6 +21,7 @@ from spikeloom.session import checkpoint
 MIN_BYTES = 1000
 FILE_BYTES = 32 << 20
 STEP = 1 << 18
+TASKS = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -186,6 +187,11 @@ def written(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(task, "path string, n long")
 
 
+def spread(archives: DataFrame) -> DataFrame:
+    """An archive a task: their rows hold only paths, so their number, not their bytes, must say how many tasks there are."""
+    return archives.repartition(min(max(1, archives.count()), TASKS), "path")
+
+
 def normalised(archives: DataFrame, folder: str) -> DataFrame:
     """Normalise every archive of ``archives(path)``; returns (path, n) of the new ones, each with a sidecar index."""
 
@@ -196,7 +202,7 @@ def normalised(archives: DataFrame, folder: str) -> DataFrame:
             n = [normalise(fs, p.as_py(), t) for p, t in zip(b.column("path"), to)]
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.string()), pa.array(n, pa.int64())], ["path", "n"])
 
-    return archives.repartition("path").mapInArrow(task, "path string, n long")
+    return spread(archives).mapInArrow(task, "path string, n long")
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
@@ -222,7 +228,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                     if made:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types)], names)
 
-    return archives.repartition("path").mapInArrow(task, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, body_digest string")
+    return spread(archives).mapInArrow(task, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, body_digest string")
 
 
 def archived(pages: DataFrame, folder: str) -> DataFrame:

@@ -209,6 +209,12 @@ def test_mixing(shared, frame, docs):
         goal = {(r.source_size, round(r.target, 3)) for r in made}
         assert goal == {(size[s], round(target[s], 3)) for s in names}
         whole = sum(r.taken for r in made)
+        source = dict(((i, len(WORD.findall(t or ""))), s) for i, t, s in have)
+        if df is docs:  # every source near its own target
+            got = Counter()
+            for r in made:
+                got[source[r.doc_id, r.size]] += r.taken
+            assert all(abs(got[s] - target[s]) < 0.03 * target[s] + 2 * mixing.BLOCK for s in names)
         assert abs(whole - total) < 0.03 * total + 256
         assert Counter(map(tuple, mixing.mixed(df).collect())) == Counter(map(tuple, made))
         texts = mixing.mixed_documents(df)
@@ -216,6 +222,13 @@ def test_mixing(shared, frame, docs):
         assert sum(len(WORD.findall(r.text)) for r in texts.collect()) == whole
 
 
+def test_mixing_of_many_equal_rows(shared):
+    """Passes of equal rows are joined by copy, so thousands of them take no quadratic lists."""
+    df = shared.createDataFrame([(1, "one two three " * 9, "a")] * 3000 + [(2, "four five", "b")], "doc_id long, text string, source string")
+    made = mixing.mixed_documents(df)
+    assert sum(len(r.text.split()) for r in made.collect()) == sum(r.taken for r in mixing.mixed(df).collect())
+
+
 def test_urls(shared):
     bad = [(1, None), (2, ""), (3, "no scheme"), (4, "http://Ex.ORG/fr/x?q#z"), (5, "http://a.example.com/de/1"), (6, "http://example.net/en/"), (7, "https://b.net/q"), (8, "http://c.net"), (9, "http://c.net?x"), (9, "http://c.net?x"), (None, "ftp://x.notnet/a")]
     got = urls.judged(shared.createDataFrame([(i, u, 1) for i, u in bad], "page_id long, url string, host int")).collect()
@@ -246,6 +259,16 @@ def test_warc(shared, tmp_path):
     assert all(r.body_digest == r.payload_digest for r in made if r.record_type == "response")
 
 
+def test_archives_are_spread(shared, tmp_path, monkeypatch):
+    """Few bytes of paths, much work behind them: the archives lie in many tasks, not in one."""
+    folder = f"file://{tmp_path}/w"
+    pages = shared.createDataFrame([(i, "u", f"{i} " * 500) for i in range(200)], "page_id long, url string, html string")
+    first = warc.checkpoint(warc.written(warc.decided(pages), folder, file_bytes=4000))
+    assert first.count() > 50
+    assert sum(1 for n in warc.spread(first.select("path")).rdd.glom().map(len).collect() if n) > 20
+    assert warc.read(warc.normalised(first.select("path"), folder).select("path"), folder).count() == 200
+
+
 def test_warc_streams():
     import io
     import zlib
