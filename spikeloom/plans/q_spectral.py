@@ -245,21 +245,69 @@ def _(spark, sf):
     return sc.irasa(blocks, NP, FS, [1.1, 1.2, 1.3, 1.5, 1.6, 1.75, 1.9], (2.0, 16.0)).drop("recording_id")
 
 
-@query("butter_zero_phase")
+def _cascade(name, source, sos, steady):
+    """Second-order sections one after the other, sample by sample; ``steady`` starts them at rest for the first sample."""
+    zi = ch._steady(sos) if steady else np.zeros(2 * len(sos))
+    first, text = source, []
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+        made, z1, z2 = f"{name}{k}", float(zi[2 * k]), float(zi[2 * k + 1])
+        step = lambda v, s1, s2: f"{b0!r} * {v} + {s1} AS v, {b1!r} * {v} - {a1!r} * ({b0!r} * {v} + {s1}) + {s2} AS z1, {b2!r} * {v} - {a2!r} * ({b0!r} * {v} + {s1}) AS z2"  # noqa: B023, E731
+        start = step("x.v", f"{z1!r} * f.v", f"{z2!r} * f.v")
+        text.append(f"""{made} AS (SELECT x.channel, x.idx, {start} FROM {source} x JOIN {first} f ON f.channel = x.channel AND f.idx = 0 WHERE x.idx = 0
+          UNION ALL SELECT x.channel, x.idx, {step("x.v", "s.z1", "s.z2")} FROM {made} s JOIN {source} x ON x.channel = s.channel AND x.idx = s.idx + 1)""")
+        source = made
+    return ", ".join(text), source
+
+
+def _iir_sql(sos, zero):
+    sos = np.asarray(sos, float)
+    if not zero:
+        text, out = _cascade("c", "x0", sos, False)
+        return f"WITH RECURSIVE {S.SIG}, x0 AS (SELECT channel, idx, v FROM sig), {text} SELECT channel, idx, round(v, 6) AS v FROM {out}"
+    pad = design.edge_length(sos)
+    forth, a = _cascade("a", "x0", sos, True)
+    back, b = _cascade("b", "x1", sos, True)
+    last = 63 + 2 * pad
+    return f"""WITH RECURSIVE {S.SIG},
+      x0 AS (SELECT channel, r.i + {pad} AS idx, CASE WHEN r.i < 0 THEN 2 * a.v - b.v WHEN r.i > 63 THEN 2 * z.v - b.v ELSE b.v END AS v
+        FROM range(-{pad}, {64 + pad}) r(i) JOIN sig b ON b.idx = CASE WHEN r.i < 0 THEN -r.i WHEN r.i > 63 THEN 126 - r.i ELSE r.i END
+        JOIN (SELECT channel, v FROM sig WHERE idx = 0) a USING (channel) JOIN (SELECT channel, v FROM sig WHERE idx = 63) z USING (channel)),
+      {forth}, x1 AS (SELECT channel, {last} - idx AS idx, v FROM {a}), {back}
+      SELECT channel, {last} - idx - {pad} AS idx, round(v, 6) AS v FROM {b} WHERE {last} - idx - {pad} BETWEEN 0 AND 63"""
+
+
+@query("butter_zero_phase", _iir_sql(design.butterworth(4, FS, 4.0, 20.0), True))
 def _(spark, sf):
     d = ch.filtered(S.signal_chunks(spark, sf, CH), CH, FS, "butterworth_zero", 4, 4.0, 20.0)
-    return ch.to_long(d, CH).select("channel", "idx", "v")
+    return ch.to_long(d, CH).select("channel", "idx", R("v"))
 
 
-@query("bessel_causal")
+@query("butter_causal", _iir_sql(design.butterworth(4, FS, 4.0, None), False))
+def _(spark, sf):
+    d = ch.filtered(S.signal_chunks(spark, sf, CH), CH, FS, "butterworth", 4, 4.0, None)
+    return ch.to_long(d, CH).select("channel", "idx", R("v"))
+
+
+@query("bessel_causal", _iir_sql(design.bessel(4, FS, None, 20.0), False))
 def _(spark, sf):
     d = ch.filtered(S.signal_chunks(spark, sf, CH), CH, FS, "bessel", 4, None, 20.0)
-    return ch.to_long(d, CH).select("channel", "idx", "v")
+    return ch.to_long(d, CH).select("channel", "idx", R("v"))
+
+
+@query("bessel_zero_phase", _iir_sql(design.bessel(3, FS, None, 12.0), True))
+def _(spark, sf):
+    d = ch.filtered(S.signal_chunks(spark, sf, CH), CH, FS, "bessel_zero", 3, None, 12.0)
+    return ch.to_long(d, CH).select("channel", "idx", R("v"))
+
+
+@query("notch_zero_phase", _iir_sql(design.notch(16.0, 10.0, FS), True))
+def _(spark, sf):
+    return ch.to_long(ch.notched(S.signal_chunks(spark, sf, CH), CH, FS, 16.0, 10.0), CH).select("channel", "idx", R("v"))
 
 
-@query("notch_zero_phase")
+@query("notch_causal", _iir_sql(design.notch(16.0, 10.0, FS), False))
 def _(spark, sf):
-    return ch.to_long(ch.notched(S.signal_chunks(spark, sf, CH), CH, FS, 16.0, 10.0), CH).select("channel", "idx", "v")
+    return ch.to_long(ch.notched(S.signal_chunks(spark, sf, CH), CH, FS, 16.0, 10.0, zero=False), CH).select("channel", "idx", R("v"))
 
 
 FIRW = design.firwin_shape(21, [0.0, 3.0, 4.0, 12.0, 13.0, 32.0], [0.0, 0.0, 1.0, 1.0, 0.0, 0.0], FS, design.window("hann", 21, periodic=False))
