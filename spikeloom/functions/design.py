@@ -255,3 +255,19 @@ def equiripple(taps, bands, gains, fs, density=16, rounds=60):
         pick = np.array(alt)
     half = np.concatenate([best[:0:-1] / 2, [best[0]], best[1:] / 2])
     return half
+
+
+def daubechies(moments):
+    """Lowpass synthesis filter with ``moments`` vanishing moments and extremal phase, by spectral factorisation."""
+    y = np.roots([math.comb(moments - 1 + k, k) for k in range(moments - 1, -1, -1)])
+    # Each root y of the half-band polynomial gives z + 1/z = 2 - 4y; the one inside the circle is kept.
+    z = [min(np.roots([1.0, 4 * v - 2, 1.0]), key=abs) for v in y]
+    h = np.real(np.poly([*z, *[-1.0] * moments]))
+    return h * math.sqrt(2) / h.sum()
+
+
+def quadrature(lowpass):
+    """(analysis low, analysis high, synthesis low, synthesis high) of an orthogonal filter bank."""
+    low = np.asarray(lowpass)
+    high = low[::-1] * (-1.0) ** np.arange(len(low))
+    return low[::-1], high[::-1], low, high

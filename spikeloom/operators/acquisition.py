@@ -95,7 +95,7 @@ def across(chunks: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
 def less(chunks: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Samples minus the reference of their key."""
     d = chunks.join(reference.select(*keys, "chunk", F.col("samples").alias("_r")), [*keys, "chunk"])
-    return d.withColumn("samples", F.zip_with("samples", "_r", lambda x, r: x - r)).drop("_r")
+    return d.withColumn("samples", F.zip_with("samples", F.slice("_r", 1, F.size("samples")), lambda x, r: x - r)).drop("_r")
 
 
 def grids(column: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:

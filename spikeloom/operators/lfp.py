@@ -375,34 +375,6 @@ def discontinuity_index(steps: DataFrame, keys: Sequence[str], tol: float = 0.01
     )
 
 
-def analytic(blocks: DataFrame, keep: Sequence[str], lo: float | None = None, hi: float | None = None, fs: float = 1.0) -> DataFrame:
-    """Analytic signal of bounded blocks, optionally limited to a band."""
-    pair = StructType([StructField("re", ARR), StructField("im", ARR)])
-
-    @F.pandas_udf(pair)
-    def run(samples: pd.Series) -> pd.DataFrame:
-        re, im = [], []
-        for x in samples:
-            n = len(x)
-            z = np.fft.fft(np.asarray(x))
-            h = np.zeros(n)
-            h[0] = 1
-            h[1 : (n + 1) // 2] = 2
-            if n % 2 == 0:
-                h[n // 2] = 1
-            f = np.abs(np.fft.fftfreq(n, 1 / fs))
-            if lo is not None:
-                h[(f < lo) | (f > hi)] = 0
-            y = np.fft.ifft(z * h)
-            re.append(y.real)
-            im.append(y.imag)
-        return pd.DataFrame({"re": re, "im": im})
-
-    return blocks.select(*CHAN, *keep, run("samples").alias("_z")).select(*CHAN, *keep, "_z.re", "_z.im")
-
-
-
-
 def channel_summary(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Number of bursts and mean and deviation of each burst measure per channel."""
     return stats.groupBy(*CHAN).agg(

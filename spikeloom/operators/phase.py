@@ -161,22 +161,3 @@ def triggered_average(spikes: DataFrame, sig: DataFrame, window: int, n: int, on
     return s.groupBy(*UNIT, "offset").agg(F.sum(F.col("m") * F.coalesce("v", F.lit(0.0))).alias("_s")).join(size, UNIT).select(
         *UNIT, "offset", "n_spikes", (F.col("_s") / F.col("n_spikes")).alias("mean_v")
     )
-
-
-def phase_surrogate(blocks: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Signal blocks with the spectrum of the original and random phases."""
-    from spikeloom.operators.chunks import ARR
-
-    @F.pandas_udf(ARR)
-    def run(samples: pd.Series, salt: pd.Series) -> pd.Series:
-        out = []
-        for x, s in zip(samples, salt):
-            z = np.fft.rfft(np.asarray(x))
-            r = np.random.default_rng([seed, int(s) & 0x7FFFFFFF]).uniform(0, 2 * np.pi, len(z))
-            r[0] = 0.0
-            if len(x) % 2 == 0:
-                r[-1] = 0.0
-            out.append(np.fft.irfft(z * np.exp(1j * r), len(x)))
-        return pd.Series(out)
-
-    return blocks.select(*keys, run("samples", F.xxhash64(*keys)).alias("samples"))

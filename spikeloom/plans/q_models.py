@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spikeloom import schema as S
 from spikeloom.operators import chunks as ch
+from spikeloom.operators import lattice as la
 from spikeloom.operators import models as mo
 from spikeloom.operators import pairs as pr
 from spikeloom.operators import spikes as sp
@@ -124,9 +125,34 @@ def _(spark, sf):
 
 @query("mvar_least_squares")
 def _(spark, sf):
+    return mo.autoregression(_hours(spark, sf), ["recording_id"], 3, 5, 240)
+
+
+def _hours(spark, sf):
+    """One vector of all probes' counts an hour, from hour 0 of the table on."""
     h = S.hourly(spark, sf).groupBy("recording_id", "idx").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("x"))
-    v = h.select("recording_id", "idx", F.transform("x", lambda r: r["v"]).alias("x"))
-    return mo.autoregression(v, ["recording_id"], 3, 5, 240)
+    return h.select("recording_id", "idx", F.transform("x", lambda r: r["v"]).alias("x"))
+
+
+# Inverses and Sylvester equations are no SQL: tests run the recursions over the series themselves.
+@query("arfit_order_search")
+def _(spark, sf):
+    return la.order_search(_hours(spark, sf), ["recording_id"], (1, 8), 5, 240)
+
+
+@query("arfit_residual_test")
+def _(spark, sf):
+    return la.residual_test(_hours(spark, sf), ["recording_id"], 3, 20, 5, 240)
+
+
+@query("mvar_nuttall_strand")
+def _(spark, sf):
+    return la.lattice(_hours(spark, sf), ["recording_id"], 3, 5, 240)
+
+
+@query("mvar_vieira_morf")
+def _(spark, sf):
+    return la.lattice(_hours(spark, sf), ["recording_id"], 3, 5, 240, "vieira_morf")
 
 
 @query("seqnmf")

@@ -278,19 +278,6 @@ def _(spark, sf):
     return lfp.discontinuity_index(_steps(spark, sf), ["f"])
 
 
-@query("hilbert_phase")
-def _(spark, sf):
-    b = ch.segments(S.signal_chunks(spark, sf), 16, 64, 64)
-    z = lfp.analytic(b, ["segment"], 4.0, 16.0, 64.0)
-    return z.select("channel", F.posexplode(F.zip_with("im", "re", lambda a, b: F.atan2(a, b))).alias("idx", "phase"))
-
-
-@query("phase_surrogate")
-def _(spark, sf):
-    b = ch.segments(S.signal_chunks(spark, sf), 16, 64, 64)
-    return ph.phase_surrogate(b, ["channel", "segment"], 42)
-
-
 @query(
     "spike_bin_phase_counts",
     f"""WITH {S.SPK}, {PHS} SELECT cluster_id, CAST(floor((phase + pi()) / (2 * pi() / 12)) AS BIGINT) AS bin, count(*) AS n FROM phs GROUP BY 1, 2""",

@@ -260,20 +260,24 @@ def _cascade(name, source, sos, steady):
 
 
 def _iir_sql(sos, zero):
-    sos = np.asarray(sos, float)
+    text, out = _iir_tables("", np.asarray(sos, float), zero)
+    return f"WITH RECURSIVE {S.SIG}, {text} SELECT channel, idx, round(v, 6) AS v FROM {out}"
+
+
+def _iir_tables(name, sos, zero):
+    """Common table expressions of a recursive filter of ``sig`` and the last one's name."""
     if not zero:
-        text, out = _cascade("c", "x0", sos, False)
-        return f"WITH RECURSIVE {S.SIG}, x0 AS (SELECT channel, idx, v FROM sig), {text} SELECT channel, idx, round(v, 6) AS v FROM {out}"
+        text, out = _cascade(f"{name}c", f"{name}x0", sos, False)
+        return f"{name}x0 AS (SELECT channel, idx, v FROM sig), {text}", out
     pad = design.edge_length(sos)
-    forth, a = _cascade("a", "x0", sos, True)
-    back, b = _cascade("b", "x1", sos, True)
+    forth, a = _cascade(f"{name}a", f"{name}x0", sos, True)
+    back, b = _cascade(f"{name}b", f"{name}x1", sos, True)
     last = 63 + 2 * pad
-    return f"""WITH RECURSIVE {S.SIG},
-      x0 AS (SELECT channel, r.i + {pad} AS idx, CASE WHEN r.i < 0 THEN 2 * a.v - b.v WHEN r.i > 63 THEN 2 * z.v - b.v ELSE b.v END AS v
+    return f"""{name}x0 AS (SELECT channel, r.i + {pad} AS idx, CASE WHEN r.i < 0 THEN 2 * a.v - b.v WHEN r.i > 63 THEN 2 * z.v - b.v ELSE b.v END AS v
         FROM range(-{pad}, {64 + pad}) r(i) JOIN sig b ON b.idx = CASE WHEN r.i < 0 THEN -r.i WHEN r.i > 63 THEN 126 - r.i ELSE r.i END
         JOIN (SELECT channel, v FROM sig WHERE idx = 0) a USING (channel) JOIN (SELECT channel, v FROM sig WHERE idx = 63) z USING (channel)),
-      {forth}, x1 AS (SELECT channel, {last} - idx AS idx, v FROM {a}), {back}
-      SELECT channel, {last} - idx - {pad} AS idx, round(v, 6) AS v FROM {b} WHERE {last} - idx - {pad} BETWEEN 0 AND 63"""
+      {forth}, {name}x1 AS (SELECT channel, {last} - idx AS idx, v FROM {a}), {back},
+      {name}y AS (SELECT channel, {last} - idx - {pad} AS idx, v FROM {b} WHERE {last} - idx - {pad} BETWEEN 0 AND 63)""", f"{name}y"
 
 
 @query("butter_zero_phase", _iir_sql(design.butterworth(4, FS, 4.0, 20.0), True))
