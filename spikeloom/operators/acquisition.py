@@ -263,9 +263,11 @@ def acquired(
     rate = fs
     if filtering is not None:
         f = filtering
+        if not f.filter_type.startswith(("fir", "remez")):
+            d = checkpoint(d)  # a recursive filter reads its input several times
         d = ch.filtered(d, size, fs, f.filter_type, f.order, f.highpass, f.lowpass, f.high_width, f.low_width, f.window)
         if f.notch_freq:
-            d = ch.notched(d, size, fs, f.notch_freq, f.notch_q)
+            d = ch.notched(checkpoint(d), size, fs, f.notch_freq, f.notch_q)
         rate = f.sample_rate
     if whiten:
         d = checkpoint(d if "probe" in d.columns else attach(d, names, CHAN, F.col("chunk")))

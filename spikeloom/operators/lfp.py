@@ -129,16 +129,23 @@ def find_bursts(ste: DataFrame, ste_chunks: DataFrame, chunks: DataFrame, size:
     return with_peaks(merge_overlaps(s, length), chunks, size, fs, peaks)
 
 
-def baseline_periods(bursts: DataFrame, size: int, length: int, channels: DataFrame | None = None) -> DataFrame:
-    """Complement of the bursts inside [0, size); of ``channels`` those without bursts are baseline throughout."""
+def baseline_periods(bursts: DataFrame, size: int | None, length: int, channels: DataFrame | None = None) -> DataFrame:
+    """Complement of the bursts inside [0, size); of ``channels`` those without bursts are baseline throughout.
+
+    Without a common ``size``, that of each channel is the column ``size`` of ``channels``.
+    """
     d = in_order(bursts, CHAN, "start", length, lag={"_pe": "end"}, lead={"_ns": "start"})
     gaps = d.select(*CHAN, F.coalesce("_pe", F.lit(0)).alias("start"), F.col("start").alias("end"), F.col("_pe").isNull().alias("edge"))
-    tail = d.where("_ns is null").select(*CHAN, F.col("end").alias("start"), F.lit(size).cast("bigint").alias("end"), F.lit(True).alias("edge"))
+    known = channels if size is None else None if channels is None else channels.withColumn("size", F.lit(size).cast("bigint"))
+    known = None if known is None else known.select(*CHAN, F.col("size").cast("bigint").alias("size")).distinct()
+    last = d.where("_ns is null").select(*CHAN, F.col("end").alias("start"))
+    last = last.join(known, CHAN) if size is None else last.withColumn("size", F.lit(size).cast("bigint"))
+    tail = last.select(*CHAN, "start", F.col("size").alias("end"), F.lit(True).alias("edge"))
     found = gaps.unionByName(tail).where(~(F.col("edge") & (F.col("start") == F.col("end")))).drop("edge")
-    if channels is None:
+    if known is None:
         return found
-    quiet = channels.select(*CHAN).distinct().join(bursts.select(*CHAN).distinct(), CHAN, "left_anti")
-    return found.unionByName(quiet.select(*CHAN, F.lit(0).cast("bigint").alias("start"), F.lit(size).cast("bigint").alias("end")))
+    quiet = known.join(bursts.select(*CHAN).distinct(), CHAN, "left_anti")
+    return found.unionByName(quiet.select(*CHAN, F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end")))
 
 
 def burst_statistics(bursts: DataFrame, chunks: DataFrame, size: int, fs: float, length: int, nperseg: int = 200) -> DataFrame:

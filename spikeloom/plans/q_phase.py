@@ -194,11 +194,14 @@ def _(spark, sf):
 
 @query(
     "baseline_complement_intervals",
-    f"""{ABOVE}, c AS (SELECT channel, coalesce(lag("end") OVER w, 0) AS start, start AS "end" FROM b WINDOW w AS (PARTITION BY channel ORDER BY start)
-      UNION ALL SELECT channel, max("end"), 720 FROM b GROUP BY 1) SELECT channel, start, "end" FROM c WHERE start < "end" """,
+    f"""{ABOVE}, n AS (SELECT channel, max(idx) + 1 AS size FROM hrs GROUP BY 1),
+      c AS (SELECT channel, coalesce(lag("end") OVER w, 0) AS start, start AS "end" FROM b WINDOW w AS (PARTITION BY channel ORDER BY start)
+      UNION ALL SELECT channel, max("end"), any_value(size) FROM b JOIN n USING (channel) GROUP BY 1
+      UNION ALL SELECT channel, 0, size FROM n ANTI JOIN b USING (channel)) SELECT channel, start, "end" FROM c WHERE start < "end" """,
 )
 def _(spark, sf):
-    return lfp.baseline_periods(_spans(spark, sf), 720, 240).drop("recording_id")
+    size = S.hourly(spark, sf).groupBy(*sg.CHAN).agg((F.max("idx") + 1).alias("size"))
+    return lfp.baseline_periods(_spans(spark, sf), None, 240, size).drop("recording_id")
 
 
 @query("lfp_bursts_cleaned")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,18 +94,19 @@ PHASE_BANDS = {"gamma": (30.0, 80.0), "beta": (12.0, 20.0), "theta": (4.0, 10.0)
 
 
 def save_settings(spark: SparkSession, recording: str, name: str, settings, path: str) -> None:
-    """One row per recording and settings group: a map of texts, absent values left out."""
+    """One row per save of a recording's settings group: a map of texts, absent values left out, and when it was saved."""
     vals = {k: repr(v) for k, v in dataclasses.asdict(settings).items() if v is not None}
-    spark.createDataFrame([(recording, name, vals)], "recording_id string, name string, settings map<string,string>").write.mode(
-        "append"
-    ).parquet(path)
+    spark.createDataFrame([(recording, name, vals)], "recording_id string, name string, settings map<string,string>").withColumn(
+        "saved", F.lit(time.time_ns())
+    ).write.mode("append").parquet(path)
 
 
 def load_settings(spark: SparkSession, recording: str, name: str, cls, path: str):
+    """The settings that were saved last."""
     import ast
 
-    row = spark.read.parquet(path).where((F.col("recording_id") == recording) & (F.col("name") == name)).first()
-    if row is None:
+    row = spark.read.parquet(path).where((F.col("recording_id") == recording) & (F.col("name") == name)).agg(F.max_by("settings", "saved").alias("settings")).first()
+    if row["settings"] is None:
         raise KeyError(f"no settings {name} for {recording}")
     return cls(**{k: ast.literal_eval(v) for k, v in row["settings"].items()})
 

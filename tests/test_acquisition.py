@@ -7,6 +7,7 @@ from spikeloom.operators import acquisition as aq
 from spikeloom.operators import chunks as ch
 from spikeloom.plans import load
 from spikeloom.plans.registry import QUERIES
+from spikeloom.session import checkpoint
 from spikeloom.sources import recording
 
 SIZE = 7
@@ -83,8 +84,8 @@ def test_average_and_filter(made):
     same({k: v for k, v in got.items() if k != ("b", 0)}, mean)
     f = recording.FilterSettings("butterworth_zero", 2, 2.0, None, 10.0, None, sample_rate=32.0, notch_freq=8.0, notch_q=5.0)
     d = aq.acquired(chunks, SIZE, channels, probes, 32.0, reference="none", filtering=f)
-    plain = aq.acquired(chunks, SIZE, channels, probes, 32.0, reference="none")
-    by_hand = ch.notched(ch.filtered(plain, SIZE, 32.0, "butterworth_zero", 2, 2.0, 10.0), SIZE, 32.0, 8.0, 5.0)
+    plain = checkpoint(aq.acquired(chunks, SIZE, channels, probes, 32.0, reference="none"))
+    by_hand = ch.notched(checkpoint(ch.filtered(plain, SIZE, 32.0, "butterworth_zero", 2, 2.0, 10.0)), SIZE, 32.0, 8.0, 5.0)
     same(whole(d), whole(by_hand))
 
 
@@ -128,7 +129,9 @@ def test_scan_reads_what_is_asked(spark, made, tmp_path):
     recording.write_signal(chunks, str(tmp_path / "r"))
     stored = spark.read.parquet(str(tmp_path / "r"))
     d = aq.acquired(stored, SIZE, channels, probes, 1.0, only=(2, 6), start=21, end=35, reference="none")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = d._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     for part in ("GreaterThanOrEqual(chunk,3)", "LessThanOrEqual(chunk,4)", "GreaterThanOrEqual(channel,2)", "LessThan(channel,6)"):
         assert part in plan
     same(whole(d), {k: x[21:35] for k, x in scaled.items() if 2 <= k[1] < 6})

@@ -67,6 +67,10 @@ def test_settings_and_maps(spark, tmp_path):
     recording.save_settings(spark, "r", "welch", recording.WelchSettings(), p)
     assert recording.load_settings(spark, "r", "lfp", recording.FilterSettings, p) == recording.LFP_FILTER
     assert recording.load_settings(spark, "r", "welch", recording.WelchSettings, p) == recording.WelchSettings()
+    recording.save_settings(spark, "r", "lfp", recording.SPIKE_FILTER, p)
+    assert recording.load_settings(spark, "r", "lfp", recording.FilterSettings, p) == recording.SPIKE_FILTER
+    with pytest.raises(KeyError):
+        recording.load_settings(spark, "other", "lfp", recording.FilterSettings, p)
     with pytest.raises(ValueError):
         recording.map_frame(spark, [0, 0, 1], "a")
     (tmp_path / "map.csv").write_text("2\n0\n1\n")
