@@ -210,7 +210,35 @@ def verified_in_blocks(pairs: DataFrame, made: DataFrame, threshold: float) -> D
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, n_verified) for every doc_id of ``documents(doc_id, text)``.
+    """(doc_id, class_id, n_verified) for every doc_id of ``documents(doc_id, text)``; see ``classes`` for the method.
+
+    Rows that share a doc_id are one document with several texts: each text is compared on its own, and the
+    classes of all its texts are one.  ``class_id`` is the least doc_id of the class.
+    Rows without a doc_id give none.  Empty table: no rows.
+    """
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text")).where(F.col("doc_id").isNotNull())
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.groupBy("doc_id").agg(F.min(mark).alias("_one"), F.max(mark).alias("_two")).where("_one <> _two")
+    several = settled(several.select("doc_id", "_one"))
+    options = {"width": width, "threshold": threshold, "bands": bands, "rows": rows}
+    if several.isEmpty():
+        return classes(docs, **options)
+    # Further texts of a document go under numbers of their own; its texts meet again by its doc_id.
+    own = F.when(F.col("_one") != mark, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    texts = docs.join(several, "doc_id", "left").select("doc_id", own.alias("node"), "text")
+    found = settled(classes(texts.select(F.col("node").alias("doc_id"), "text"), **options).toDF("node", "class", "n_verified"))
+    held = settled(texts.select("doc_id", "node").distinct().join(found, "node"))
+    meet = held.join(several, "doc_id", "left_semi").select("doc_id", "class")
+    meet = attach(meet, meet.groupBy("doc_id").agg(F.min("class").alias("first")), ["doc_id"], F.col("class"))
+    label = components(meet.select(F.col("first").alias("u"), F.col("class").alias("v"))).toDF("class", "label")
+    held = settled(held.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    least = held.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    per = held.groupBy("doc_id").agg(F.min("label").alias("label"), F.sum("n_verified").alias("n_verified"))
+    return attach(per, least, ["label"], F.col("doc_id")).select("doc_id", "class_id", "n_verified")
+
+
+def classes(docs: DataFrame, width: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, class_id, n_verified) for every doc_id of ``docs(doc_id, text)``, one text a doc_id.
 
     Documents with equal profiles are one representative.  Band collisions are compared with one
     document of their bucket first, that with most company in all its buckets; only members of a
@@ -221,11 +249,8 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
 
     ``class_id`` is the least doc_id of the class; ``n_verified`` counts the links to other
     representatives that were verified on the way to the classes, not all links at the threshold:
-    it depends on which documents lead their buckets (copies of a representative share its count).  Rows that share a doc_id are one
-    document with several texts.  A text without a word (null, empty, white space) is like no other.
-    Rows without a doc_id give none.  Empty table: no rows.
+    it depends on which documents lead their buckets (copies of a representative share its count).  A text without a word (null, empty, white space) is like no other.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     sketch = settled(sketches(docs, width, bands, rows))
     reps = settled(sketch.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     member = attach(sketch.select("doc_id", "d1", "d2"), reps.select("d1", "d2", "rep"), ["d1", "d2"], F.col("doc_id")).select("doc_id", "rep")
@@ -261,6 +286,16 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, threshold: float =
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """Those documents that are the least doc_id of their class, or have no doc_id, with all columns."""
+    """One row of each class, with all columns: that of the least doc_id, and of its rows that of the least text.
+
+    Rows without a doc_id are in no class and stay.
+    """
     gone = near_duplicates(documents, **options).where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    rest = documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    again = documents.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
+    again = settled(again.select("_again"))
+    if again.isEmpty():
+        return rest
+    on = documents["doc_id"] == again["_again"]
+    one = rest.join(again, on, "left_semi").groupBy(documents["doc_id"].alias("_again")).agg(F.min_by(F.struct(*documents.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*documents.columns))).alias("_row"))
+    return rest.join(again, on, "left_anti").unionByName(one.select("_row.*"))

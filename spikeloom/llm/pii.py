@@ -206,13 +206,13 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(documents: DataFrame, key: str = "demonstration key", text: str = "text") -> DataFrame:
-    """``documents`` with personal data in ``text`` replaced, and ``n_replaced``, the values that changed.
+def pseudonymised(documents: DataFrame, key: str = "demonstration key", text: str = "text", count: str | None = "n_replaced") -> DataFrame:
+    """``documents`` with personal data in ``text`` replaced, and ``count``, the number of values that changed, unless it is None.
 
     E-mail addresses, dates of 1800 to 2199, network addresses, account numbers (modulo 97), social
     numbers, cards (13 to 19 digits, Luhn and a prefix of ISSUERS), telephone numbers and hexadecimal secrets are permuted within
     their format; what fails its check stays.  The text is cut at the values found and joined again,
-    so all else is untouched.  Null and empty texts stay as they are, with 0.  Other columns pass.
+    so all else is untouched.  Null and empty texts stay as they are, with 0.  Other columns pass; a column named as ``count`` is replaced.
     """
     has = F.col(text).rlike(MAYBE)
     found = F.when(has, F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1)))
@@ -221,5 +221,6 @@ def pseudonymised(documents: DataFrame, key: str = "demonstration key", text: st
     changed = F.size(F.filter(F.zip_with("_pii_found", "_pii_made", lambda a, b: a != b), lambda x: x))
     gaps = F.split(F.col(text), ANY, -1)
     joined = F.array_join(F.zip_with(gaps, "_pii_made", lambda gap, v: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(v, F.lit("")))), "")
-    out = out.withColumn("n_replaced", F.when(F.col("_pii_made").isNull(), 0).otherwise(changed).cast("long"))
+    if count is not None:
+        out = out.withColumn(count, F.when(F.col("_pii_made").isNull(), 0).otherwise(changed).cast("long"))
     return out.withColumn(text, F.when(F.col("_pii_made").isNull(), F.col(text)).otherwise(joined)).drop("_pii_found", "_pii_made")
