@@ -277,7 +277,7 @@ def narrow_band(correlogram: DataFrame, keys: list[str], bins: int, fs: float) -
                 x[r["bin"]] = r["n"]
             z, f = np.abs(np.fft.rfft(x)), np.fft.rfftfreq(bins, 1 / fs)
             near, wide = z[(f >= 50) & (f <= 70)], z[(f >= 40) & (f <= 300)]
-            out.append(bool(len(near) and near.max() >= wide.max()))
+            out.append(bool(len(near) and near.max() >= wide.max() * (1 - 1e-9)))  # equal peaks count, whatever their rounding
         return pd.Series(out)
 
     return correlogram.groupBy(*keys).agg(F.collect_list(F.struct("bin", "n")).alias("_c")).select(*keys, test("_c").alias("narrow_band"))

@@ -190,7 +190,13 @@ def unit_qc(spark, sf):
     return d.select("cluster_id", "n_spikes", "num_violations", *[F.round(c, 6).alias(c) for c in COLS])
 
 
-@query("correlogram_narrow_band")
+@query(
+    "correlogram_narrow_band",
+    f"""WITH {S.SPK}, x AS (SELECT a.cluster_id, b.t - a.t AS d FROM spk a JOIN spk b ON a.cluster_id = b.cluster_id AND b.t - a.t >= -{24 * H} AND b.t - a.t < {24 * H}),
+      h AS (SELECT cluster_id, (d + {24 * H}) // {H // 2} AS bin, count(*) AS n FROM x WHERE d <> 0 GROUP BY 1, 2),
+      z AS (SELECT cluster_id, k, sqrt(sum(n * cos(2 * pi() * k * bin / 96)) ** 2 + sum(n * sin(2 * pi() * k * bin / 96)) ** 2) AS m FROM h CROSS JOIN range(4, 29) r(k) GROUP BY 1, 2)
+      SELECT cluster_id, max(m) FILTER (k IN (5, 6)) >= max(m) * (1 - 1e-9) AS narrow_band FROM z GROUP BY 1""",
+)
 def _(spark, sf):
     from spikeloom.operators import pairs as pr
 
