@@ -146,15 +146,34 @@ def whiten(sig: DataFrame, matrix: DataFrame, group: Sequence[str] = ()) -> Data
     )
 
 
-def lagged_products(a: DataFrame, b: DataFrame, lags: int, keys: Sequence[str], value: str = "v") -> DataFrame:
-    """Sums over samples of a[idx] * b[idx + lag] for |lag| <= lags, with the sums Pearson needs."""
-    x = a.select(*keys, F.col("idx"), F.col(value).alias("x"))
-    y = b.select(*keys, F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col("idx").alias("at"), F.col(value).alias("y"))
-    y = y.withColumn("idx", F.col("at") - F.col("lag")).drop("at")
-    return x.join(y, [*keys, "idx"]).groupBy(*keys, "lag").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-    )
+def lagged_products(a: DataFrame, b: DataFrame, lags: int, keys: Sequence[str], value: str = "v", length: int = 1024) -> DataFrame:
+    """Sums over samples of a[idx] * b[idx + lag] for |lag| <= lags, with the sums Pearson needs.
+
+    Samples are gathered by stretches of ``length``; b's stretch sees ``lags`` samples beyond its borders.  All lags of
+    a stretch are one correlation of two arrays, so rows grow with stretches, not with samples times lags.
+    Samples that are missing or null on either side do not count.
+    """
+    seg = F.expr(f"(idx - pmod(idx, {length})) div {length}")
+    sample = lambda n: F.collect_list(F.struct((F.col("idx") - F.col("_seg") * length).cast("int").alias("i"), F.col(value).cast("double").alias("v"))).alias(n)
+    x = a.where(F.col(value).isNotNull()).withColumn("_seg", seg).groupBy(*keys, "_seg").agg(sample("_x"))
+    near = F.sequence(F.floor((F.col("idx") - lags) / length), F.floor((F.col("idx") + lags) / length))
+    y = b.where(F.col(value).isNotNull()).withColumn("_seg", F.explode(near)).groupBy(*keys, "_seg").agg(sample("_y"))
+    names = ("n", "sxy", "sx", "sy", "sxx", "syy")
+
+    @F.pandas_udf("array<struct<lag:int,n:bigint,sxy:double,sx:double,sy:double,sxx:double,syy:double>>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for left, right in zip(xs, ys):
+            u, mu, w, mw = np.zeros(length), np.zeros(length), np.zeros(length + 2 * lags), np.zeros(length + 2 * lags)
+            for values, full, at in ((left, (u, mu), 0), (right, (w, mw), lags)):
+                i = np.array([s["i"] for s in values]) + at
+                full[0][i], full[1][i] = [s["v"] for s in values], 1.0
+            sums = [np.correlate(q, p, "valid") for q, p in ((mw, mu), (w, u), (mw, u), (w, mu), (mw, u * u), (w * w, mu))]
+            out.append([{"lag": k - lags, **dict(zip(names, (int(round(r[0])), *r[1:])))} for k, r in enumerate(zip(*sums))])
+        return pd.Series(out)
+
+    each = x.join(y, [*keys, "_seg"]).select(*keys, F.explode(run("_x", "_y")).alias("_z")).select(*keys, "_z.*").where("n > 0")
+    return each.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def pearson_of(p: DataFrame) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from spikeloom import schema as S
+from spikeloom.operators import chunks as ch
 from spikeloom.operators import signals as sg
 from spikeloom.plans.registry import query
 
@@ -209,8 +210,8 @@ def _conv_sql(src, w, shift, value="v", hi=64):
 
 @query("ste_hamming", V + _conv_sql("sig", HAM, 4, "v * v"))
 def _(spark, sf):
-    d = sg.convolve(S.signal(spark, sf), HAM, 4, F.col("v") * F.col("v"), hi=64)
-    return d.select(*OUT, R6("v"))
+    c = S.signal_chunks(spark, sf).withColumn("samples", F.transform("samples", lambda v: v * v))
+    return ch.to_long(ch.fir(c, 16, HAM, 4), 16).select(*OUT, R6("v"))
 
 
 @query(
@@ -226,7 +227,7 @@ FIR = [-0.05, 0.1, 0.25, 0.4, 0.25, 0.1, -0.05]
 
 @query("fir_offset_join", V + _conv_sql("sig", FIR, 3))
 def _(spark, sf):
-    return sg.convolve(S.signal(spark, sf), FIR, 3, hi=64).select(*OUT, R6("v"))
+    return ch.to_long(ch.fir(S.signal_chunks(spark, sf), 16, FIR, 3), 16).select(*OUT, R6("v"))
 
 
 @query("convolve_full", V + _conv_sql("sig", FIR, 0, hi=70))
