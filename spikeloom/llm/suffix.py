@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from spikeloom.llm.text import bisected, mix, odd, slices, span_hash, utf8
 from spikeloom.operators.skew import attach, hot_counts
 
 LENGTH, ANCHOR = 50, 24
-CHUNK_BYTES, BUCKET_BYTES, SLICE, PARTS = 2 << 20, 16 << 20, 1 << 19, 256
+CHUNK_BYTES, BUCKET_BYTES, SLICE = 2 << 20, 16 << 20, 1 << 19
+#: Ranges of leading bytes, and the text whose suffixes a part of a range holds: larger corpora have more parts a range.
+RANGES, PART_BYTES = 256, 32 << 20
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
@@ -209,11 +212,11 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
 
 
 def _units(texts: DataFrame) -> DataFrame:
-    """Suffixes at shared anchors: (anchor bytes, doc_id, rid, first, windows, back, content).
+    """Suffixes at shared anchors: (key, doc_id, rid, first, windows, back, content).
 
-    ``content`` spans the windows of a run, ``back`` is the anchor's place in it.  Of equal units in a
-    slice only the one of least doc_id is sent; the others are covered and come as (rid, first,
-    windows) without content.
+    ``content`` spans the windows of a run, ``back`` is the anchor's place in it and ``key`` the
+    anchor's leading bytes.  Of equal units in a slice only the one of least doc_id is sent.  The others are
+    covered: a text's touching ones are one run, and its runs are packed into ``content`` of one row without windows.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,24 +240,42 @@ def _units(texts: DataFrame) -> DataFrame:
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             covered = np.zeros(len(t), bool)
             covered[order] = doc[order] > least
-            raw, back = data.tobytes(), place - first
-            cut = [None if c else raw[a:b] for c, a, b in zip(covered, first, end)]
-            # Covered rows only pass through: they take the lead of some other unit, so that they spread alike.
-            place[covered] = place[~covered][(mix(rid[covered].astype(np.uint64) + first[covered].astype(np.uint64)) % np.uint64((~covered).sum())).astype(np.int64)]
-            lead = [raw[p : p + ANCHOR] for p in place]
-            key = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[place].astype(np.uint64) >> np.uint64(8)
+            # A place more between texts keeps their runs apart.
+            span = joined((first + t)[covered], (end + t)[covered])
+            whose = np.searchsorted(at + np.arange(len(at)), span[:, 0], "right") - 1
+            text, cut = np.unique(whose, return_index=True)
+            span = (span - (at[whose] + whose)[:, None]).astype(np.int32)
+            packed_ = [span[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(span)])]
+            on = np.flatnonzero(~covered)
+            raw = data.tobytes()
+            key = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[place[on]].astype(np.uint64) >> np.uint64(8)
+            none = np.zeros(len(text), np.int64)
+            ids = [rows.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "rid")]
+            cols = [key.astype(np.int64), doc[on], rid[on], first[on] - at[t[on]], n[on], (place - first)[on]]
+            tail = [none, *ids, none, none, none]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype(np.int64)), pa.array(lead, pa.binary()), pa.array(doc), pa.array(rid), pa.array(first - at[t], pa.int32()), pa.array(n, pa.int32()), pa.array(back, pa.int32()), pa.array(cut, pa.binary())],
-                ["key", "lead", "doc_id", "rid", "first", "n", "back", "content"],
+                [pa.array(np.concatenate(c), k) for c, k in zip(zip(cols, tail), (pa.int64(),) * 3 + (pa.int32(),) * 3)]
+                + [pa.array([raw[x:y] for x, y in zip(first[on], end[on])] + packed_, pa.binary())],
+                ["key", "doc_id", "rid", "first", "n", "back", "content"],
             )
 
-    return texts.mapInArrow(task, "key long, lead binary, doc_id long, rid long, first int, n int, back int, content binary")
+    return texts.mapInArrow(task, "key long, doc_id long, rid long, first int, n int, back int, content binary")
 
 
-def _covered(units: DataFrame, cuts: list[int]) -> DataFrame:
+def joined(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Touching or overlapping spans as one: (begin, end) a row, in order."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, begin[1:] > end[:-1]] if len(begin) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    return np.stack([begin[head], end[np.r_[head[1:], len(begin)] - 1]], axis=1) if len(head) else np.zeros((0, 2), np.int64)
+
+
+def _covered(units: DataFrame, cuts: list[int], split: int) -> DataFrame:
     """(rid, begin, end): removed runs, from suffixes range-partitioned by their leading bytes and sorted.
 
-    ``cuts`` are sampled splitters over the first seven bytes.  A bucket is read in order of its anchors, in
+    ``cuts`` are sampled splitters over the first seven bytes; each range has ``split`` parts, an anchor
+    in one of them, so that parts hold a bounded share of the text.  A bucket is read in order of its anchors, in
     chunks that end between two anchors; what one anchor has open crosses the chunk's boundary.
     Units equal to one of an earlier document are covered whole; the windows of the others are
     sorted by multikey quicksort and each equal to one of an earlier document is covered.
@@ -265,9 +286,8 @@ def _covered(units: DataFrame, cuts: list[int]) -> DataFrame:
         get = lambda c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)
         doc, rid, first, n, back = (get(c).astype(np.int64) for c in ("doc_id", "rid", "first", "n", "back"))
         data, at = utf8(pa.concat_arrays(rows.column("content").chunks))
-        sent = at[1:] > at[:-1]
-        begin, stop, whose = [first[~sent]], [(first + n - 1 + LENGTH)[~sent]], [rid[~sent]]
-        idx = np.flatnonzero(sent)
+        begin, stop, whose = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        idx = np.arange(len(rows))
         if len(idx):
             unit = mix(span_hash(data, at[:-1][idx], at[1:][idx]) + back[idx].astype(np.uint64) * odd(43))
             order = np.lexsort((doc[idx], unit))
@@ -302,10 +322,20 @@ def _covered(units: DataFrame, cuts: list[int]) -> DataFrame:
                     begin.append(first[who] + step[where[head]]), stop.append(first[who] + step[where[tail]] + LENGTH), whose.append(rid[who])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(whose)), pa.array(np.concatenate(begin), pa.int32()), pa.array(np.concatenate(stop), pa.int32())], ["rid", "begin", "end"])
 
+    def known(rows: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.frombuffer(c.as_py(), np.int32).reshape(-1, 2) for c in rows.column("content")]
+        rid = np.repeat(rows.column("rid").to_numpy(zero_copy_only=False), [len(m) for m in made])
+        span = np.concatenate(made)
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(span[:, 0]), pa.array(span[:, 1])], ["rid", "begin", "end"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
+            packed_ = b.filter(pc.equal(b.column("n"), 0))
+            if packed_.num_rows:
+                yield known(packed_)
+                b = b.filter(pc.greater(b.column("n"), 0))
             if not b.num_rows:
                 continue
             held.append(b)
@@ -327,7 +357,13 @@ def _covered(units: DataFrame, cuts: list[int]) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    dealt = units.withColumn("part", bisected(F.col("key"), cuts)).drop("key").repartition("part").sortWithinPartitions("part", "lead", "doc_id")
+    lead = F.substring("content", F.col("back") + 1, F.lit(ANCHOR))
+    # Runs that are covered already only pass through, so they may go anywhere.
+    part = F.when(F.col("n") > 0, bisected(F.col("key"), cuts) * split + F.pmod(F.xxhash64(lead), F.lit(split)))
+    part = F.coalesce(part, F.pmod("rid", F.lit((len(cuts) + 1) * split)))
+    # The anchor is a part of the content: it is cut out again behind the shuffle.
+    dealt = units.withColumn("part", part.cast("int")).drop("key").repartition("part").withColumn("lead", F.when(F.col("n") > 0, lead))
+    dealt = dealt.sortWithinPartitions("part", "lead", "doc_id")
     return dealt.mapInArrow(task, "rid long, begin int, end int")
 
 
@@ -344,12 +380,12 @@ def removed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = copies.where(F.col("doc_id") > F.col("least")).select("rid", F.lit(0).alias("begin"), F.col("n").alias("end"))
     n = F.octet_length("text")
     sample = F.substring(F.encode("text", "UTF-8"), (F.pmod(F.col("rid"), F.greatest(n - ANCHOR, F.lit(1))) + 1).cast("int"), F.lit(7))
-    total = docs.agg(F.sum(n).alias("bytes"), F.percentile_approx(F.when(n >= LENGTH, F.conv(F.rpad(F.hex(sample), 14, "0"), 16, 10).cast("long")), [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("cuts")).first()
+    total = docs.agg(F.sum(n).alias("bytes"), F.percentile_approx(F.when(n >= LENGTH, F.conv(F.rpad(F.hex(sample), 14, "0"), 16, 10).cast("long")), [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("cuts")).first()
     cuts = sorted(set(total["cuts"] or []))
     shared = _shared_anchors(docs.where(F.col("doc_id").isNotNull()).withColumn("tid", F.xxhash64("text")), max(1, (total["bytes"] or 0) // BUCKET_BYTES))
     mine = firsts.select("tid", "rid").join(shared, "tid").select("rid", "anchors")
     units = _units(docs.join(mine, "rid", "left").where(F.col("anchors").isNotNull()).select("doc_id", "rid", "text", "anchors"))
-    return docs, copies.union(_covered(units, cuts))
+    return docs, copies.union(_covered(units, cuts, 1 + (total["bytes"] or 0) // (RANGES * PART_BYTES)))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:

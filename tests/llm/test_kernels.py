@@ -281,3 +281,17 @@ def test_warc_streams():
         assert [x for d in warc.inflated(io.BytesIO(raw)) for x in split.feed(d)] == ones
     with pytest.raises(ValueError):
         list(warc.inflated(io.BytesIO(whole[:-9])))
+
+
+def test_touching_spans_are_one():
+    got = suffix.joined(np.array([30, 0, 5, 60, 10]), np.array([40, 20, 10, 70, 30]))
+    assert got.tolist() == [[0, 40], [60, 70]]
+    assert suffix.joined(np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, 2)
+
+
+def test_suffix_in_parts_of_a_range(shared, docs, monkeypatch):
+    whole = Counter(map(tuple, suffix.deduplicated(docs).collect()))
+    monkeypatch.setattr(suffix, "PART_BYTES", 64)
+    monkeypatch.setattr(suffix, "RANGES", 4)
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 4096)
+    assert Counter(map(tuple, suffix.deduplicated(docs).collect())) == whole
