@@ -106,8 +106,8 @@ def multikey_order(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np
 def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(tid, anchors): of every text the anchors that another text has too.
 
-    A batch of texts sends its anchors packed by bucket of the hash, six bytes and a text's number
-    each.  An anchor of several texts of a batch is settled at once and only one of them sends it, so
+    A batch of texts sends its anchors packed by bucket of the hash and text, six bytes each, with
+    each text and how many are its.  An anchor of several texts of a batch is settled at once and only one of them sends it, so
     a passage in very many documents is an entry a batch.  Buckets hold a bounded share of the text.
     """
 
@@ -139,13 +139,13 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             cut = np.searchsorted(part, np.arange(buckets + 1))
             for x, y in zip(cut[:-1], cut[1:]):
                 if y > x:
-                    ids, index = np.unique(tid[x:y], return_inverse=True)
+                    ids, own = np.unique(tid[x:y], return_counts=True)
                     six = h[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    made.append((part[x], six, index.astype(np.uint32).tobytes(), ids))
+                    made.append((part[x], six, own.astype(np.uint32).tobytes(), ids))
             if made:
-                where, six, index, ids = zip(*made)
+                where, six, own, ids = zip(*made)
                 k = len(made)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(where, np.int32)), pa.array(six, pa.binary()), pa.nulls(k, pa.binary()), pa.array(index, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(where, np.int32)), pa.array(six, pa.binary()), pa.nulls(k, pa.binary()), pa.array(own, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names)
 
     def sent(where: list, six: list, tids: list) -> pa.RecordBatch:
         k = len(where)
@@ -153,7 +153,7 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def settle(rows: list[dict]) -> pa.RecordBatch:
         h = np.concatenate([six_byte(r["six"]) for r in rows])
-        tid = np.concatenate([np.asarray(r["ids"], np.int64)[np.frombuffer(r["index"], np.uint32)] for r in rows])
+        tid = np.concatenate([np.repeat(np.asarray(r["ids"], np.int64), np.frombuffer(r["own"], np.uint32)) for r in rows])
         order = np.lexsort((tid, h))
         h, tid = h[order], tid[order]
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -176,8 +176,8 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(h[order].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(whose), lists], ["tid", "anchors"])
 
-    names = ["bucket", "six", "tids", "index", "ids"]
-    rows = docs.select("tid", "text").mapInArrow(task, "bucket int, six binary, tids binary, index binary, ids array<long>")
+    names = ["bucket", "six", "tids", "own", "ids"]
+    rows = docs.select("tid", "text").mapInArrow(task, "bucket int, six binary, tids binary, own binary, ids array<long>")
     met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "bucket int, six binary, tids binary")
     return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "tid long, anchors array<long>")
 
@@ -212,10 +212,9 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
 
 
 def _units(texts: DataFrame) -> DataFrame:
-    """Suffixes at shared anchors: (key, doc_id, rid, first, windows, back, content).
+    """Suffixes at shared anchors: (doc_id, rid, first, windows, back, content).
 
-    ``content`` spans the windows of a run, ``back`` is the anchor's place in it and ``key`` the
-    anchor's leading bytes.  Of equal units in a slice only the one of least doc_id is sent.  The others are
+    ``content`` spans the windows of a run, ``back`` is the anchor's place in it.  Of equal units in a slice only the one of least doc_id is sent.  The others are
     covered: a text's touching ones are one run, and its runs are packed into ``content`` of one row without windows.
     """
 
@@ -240,26 +239,20 @@ def _units(texts: DataFrame) -> DataFrame:
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             covered = np.zeros(len(t), bool)
             covered[order] = doc[order] > least
-            # A place more between texts keeps their runs apart.
-            span = joined((first + t)[covered], (end + t)[covered])
-            whose = np.searchsorted(at + np.arange(len(at)), span[:, 0], "right") - 1
-            text, cut = np.unique(whose, return_index=True)
-            span = (span - (at[whose] + whose)[:, None]).astype(np.int32)
-            packed_ = [span[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(span)])]
+            text, packed_ = packed_spans(t[covered], (first - at[t])[covered], (end - at[t])[covered])
             on = np.flatnonzero(~covered)
             raw = data.tobytes()
-            key = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[place[on]].astype(np.uint64) >> np.uint64(8)
             none = np.zeros(len(text), np.int64)
             ids = [rows.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "rid")]
-            cols = [key.astype(np.int64), doc[on], rid[on], first[on] - at[t[on]], n[on], (place - first)[on]]
-            tail = [none, *ids, none, none, none]
+            cols = [doc[on], rid[on], first[on] - at[t[on]], n[on], (place - first)[on]]
+            tail = [*ids, none, none, none]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c), k) for c, k in zip(zip(cols, tail), (pa.int64(),) * 3 + (pa.int32(),) * 3)]
+                [pa.array(np.concatenate(c), k) for c, k in zip(zip(cols, tail), (pa.int64(),) * 2 + (pa.int32(),) * 3)]
                 + [pa.array([raw[x:y] for x, y in zip(first[on], end[on])] + packed_, pa.binary())],
-                ["key", "doc_id", "rid", "first", "n", "back", "content"],
+                ["doc_id", "rid", "first", "n", "back", "content"],
             )
 
-    return texts.mapInArrow(task, "key long, doc_id long, rid long, first int, n int, back int, content binary")
+    return texts.mapInArrow(task, "doc_id long, rid long, first int, n int, back int, content binary")
 
 
 def joined(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -271,8 +264,17 @@ def joined(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([begin[head], end[np.r_[head[1:], len(begin)] - 1]], axis=1) if len(head) else np.zeros((0, 2), np.int64)
 
 
+def packed_spans(whose: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A row each of ``whose`` with its touching spans joined: 32-bit (begin, end) pairs in order."""
+    keys, row = np.unique(whose, return_inverse=True)
+    span = joined(begin + (row << 33), end + (row << 33))  # no span of one key touches another's
+    cut = np.searchsorted(span[:, 0] >> 33, np.arange(len(keys) + 1))
+    span = (span & ((1 << 33) - 1)).astype(np.int32)
+    return keys, [span[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+
+
 def _covered(units: DataFrame, cuts: list[int], split: int) -> DataFrame:
-    """(rid, begin, end): removed runs, from suffixes range-partitioned by their leading bytes and sorted.
+    """(rid, spans): removed runs, packed as by ``packed_spans``, from suffixes range-partitioned by their leading bytes and sorted.
 
     ``cuts`` are sampled splitters over the first seven bytes; each range has ``split`` parts, an anchor
     in one of them, so that parts hold a bounded share of the text.  A bucket is read in order of its anchors, in
@@ -320,13 +322,8 @@ def _covered(units: DataFrame, cuts: list[int], split: int) -> DataFrame:
                     tail = np.r_[head[1:], len(where)] - 1
                     who = owner[where[head]]
                     begin.append(first[who] + step[where[head]]), stop.append(first[who] + step[where[tail]] + LENGTH), whose.append(rid[who])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(whose)), pa.array(np.concatenate(begin), pa.int32()), pa.array(np.concatenate(stop), pa.int32())], ["rid", "begin", "end"])
-
-    def known(rows: pa.RecordBatch) -> pa.RecordBatch:
-        made = [np.frombuffer(c.as_py(), np.int32).reshape(-1, 2) for c in rows.column("content")]
-        rid = np.repeat(rows.column("rid").to_numpy(zero_copy_only=False), [len(m) for m in made])
-        span = np.concatenate(made)
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(span[:, 0]), pa.array(span[:, 1])], ["rid", "begin", "end"])
+        keys, spans = packed_spans(*map(np.concatenate, (whose, begin, stop)))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(spans, pa.binary())], ["rid", "spans"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -334,7 +331,7 @@ def _covered(units: DataFrame, cuts: list[int], split: int) -> DataFrame:
         for b in batches:
             packed_ = b.filter(pc.equal(b.column("n"), 0))
             if packed_.num_rows:
-                yield known(packed_)
+                yield packed_.select(["rid", "content"]).rename_columns(["rid", "spans"])
                 b = b.filter(pc.greater(b.column("n"), 0))
             if not b.num_rows:
                 continue
@@ -359,16 +356,15 @@ def _covered(units: DataFrame, cuts: list[int], split: int) -> DataFrame:
 
     lead = F.substring("content", F.col("back") + 1, F.lit(ANCHOR))
     # Runs that are covered already only pass through, so they may go anywhere.
-    part = F.when(F.col("n") > 0, bisected(F.col("key"), cuts) * split + F.pmod(F.xxhash64(lead), F.lit(split)))
+    part = F.when(F.col("n") > 0, bisected(lead, [c.to_bytes(7, "big") for c in cuts]) * split + F.pmod(F.xxhash64(lead), F.lit(split)))
     part = F.coalesce(part, F.pmod("rid", F.lit((len(cuts) + 1) * split)))
-    # The anchor is a part of the content: it is cut out again behind the shuffle.
-    dealt = units.withColumn("part", part.cast("int")).drop("key").repartition("part").withColumn("lead", F.when(F.col("n") > 0, lead))
-    dealt = dealt.sortWithinPartitions("part", "lead", "doc_id")
-    return dealt.mapInArrow(task, "rid long, begin int, end int")
+    # Neither part nor anchor passes the shuffle: the anchor is cut out of the content again, its order is that of the parts.
+    dealt = units.repartition(part.cast("int")).withColumn("lead", F.when(F.col("n") > 0, lead)).sortWithinPartitions("lead", "doc_id")
+    return dealt.mapInArrow(task, "rid long, spans binary")
 
 
 def removed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): documents with a row key ``rid``, and (rid, begin, end) of what to remove."""
+    """(texts, runs): documents with a row key ``rid``, and (rid, spans, whole) of what to remove: packed spans, or all."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     ids = docs.select("doc_id", "rid", F.xxhash64("text").alias("tid"), F.octet_length("text").alias("n"), F.xxhash64(F.lit(1), "text").alias("two"))
@@ -377,7 +373,7 @@ def removed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Copies of an earlier document are covered whole; only the first of equal texts is looked at.
     copied = firsts.where(F.col("_n") > 1)
     copies = attach(ids, copied.select("tid", "two", "least"), ["tid", "two"], F.col("rid"), hot=hot_counts(copied.select("tid", "two", "_n"), ["tid", "two"]))
-    copies = copies.where(F.col("doc_id") > F.col("least")).select("rid", F.lit(0).alias("begin"), F.col("n").alias("end"))
+    copies = copies.where(F.col("doc_id") > F.col("least")).select("rid", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole"))
     n = F.octet_length("text")
     sample = F.substring(F.encode("text", "UTF-8"), (F.pmod(F.col("rid"), F.greatest(n - ANCHOR, F.lit(1))) + 1).cast("int"), F.lit(7))
     total = docs.agg(F.sum(n).alias("bytes"), F.percentile_approx(F.when(n >= LENGTH, F.conv(F.rpad(F.hex(sample), 14, "0"), 16, 10).cast("long")), [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("cuts")).first()
@@ -385,7 +381,7 @@ def removed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = _shared_anchors(docs.where(F.col("doc_id").isNotNull()).withColumn("tid", F.xxhash64("text")), max(1, (total["bytes"] or 0) // BUCKET_BYTES))
     mine = firsts.select("tid", "rid").join(shared, "tid").select("rid", "anchors")
     units = _units(docs.join(mine, "rid", "left").where(F.col("anchors").isNotNull()).select("doc_id", "rid", "text", "anchors"))
-    return docs, copies.union(_covered(units, cuts, 1 + (total["bytes"] or 0) // (RANGES * PART_BYTES)))
+    return docs, copies.union(_covered(units, cuts, 1 + (total["bytes"] or 0) // (RANGES * PART_BYTES)).withColumn("whole", F.lit(False)))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
@@ -401,17 +397,10 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         for b in batches:
             data, at = utf8(b.column("text"))
             raw, made = data.tobytes(), []
-            for i, runs_ in enumerate(b.column("runs")):
+            for i, (spans, whole) in enumerate(zip(b.column("spans").to_pylist(), b.column("whole").to_pylist())):
                 text = raw[at[i] : at[i + 1]]
-                spans = runs_.values
-                merged: list[list[int]] = []
-                if spans is not None and len(spans):
-                    begin, end = (np.asarray(spans.field(k)) for k in (0, 1))
-                    for x, y in sorted(zip(begin.tolist(), end.tolist())):
-                        if merged and x <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], y)
-                        else:
-                            merged.append([x, y])
+                span = np.frombuffer(b"".join(spans or []), np.int32).reshape(-1, 2)
+                merged = [[0, len(text)]] if whole else joined(span[:, 0], span[:, 1]).tolist()
                 sha, at_ = hashlib.sha256(), 0
                 for x, y in merged:
                     sha.update(text[at_:x])
@@ -421,6 +410,6 @@ def deduplicated(documents: DataFrame) -> DataFrame:
             cols = zip(*made) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    per = runs.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    out = docs.join(per, "rid", "left").select("doc_id", "text", "runs")
+    per = runs.groupBy("rid").agg(F.collect_list("spans").alias("spans"), F.max("whole").alias("whole"))
+    out = docs.join(per, "rid", "left").select("doc_id", "text", "spans", "whole")
     return out.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -109,7 +109,7 @@ def counted(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), n.astype(np.int64)
 
 
-def bisected(at: Column, cuts: list[int], low: int = 0) -> Column:
+def bisected(at: Column, cuts: list[int] | list[bytes], low: int = 0) -> Column:
     """Number of cuts, in order, that are not above ``at``: nested comparisons of logarithmic depth."""
     if not cuts:
         return F.lit(low)
