@@ -211,6 +211,46 @@ def lag_histogram(spikes: DataFrame, width: int, bin_width: int, auto: bool = Fa
     )
 
 
+def jittered_histogram(spikes: DataFrame, width: int, bin_width: int, jitter: int) -> DataFrame:
+    """Cross-correlogram counts (c1 < c2) beside what jittered surrogates of the first train expect.
+
+    A surrogate moves every spike of the first train by its own whole offset, uniform in [-jitter, jitter).
+    Its count in a bin is expected to be the sum over pairs of the share of offsets that lead there, so no
+    surrogate is drawn and no spike is copied per draw.  ``variance`` takes the pairs as independent;
+    ``z`` is the excess over its root, NULL where nothing can vary.  Rows: bins that the train or
+    a surrogate can reach; ``bin_width`` divides ``2 * width`` and ``jitter`` is at least 1.
+    """
+    if 2 * width % bin_width or jitter < 1:
+        raise ValueError("bins fill the window and the jitter is at least 1")
+    span, last = width + jitter, 2 * width // bin_width - 1
+    pos = spikes.where(F.col("t").isNotNull()).groupBy(*UNIT, "t").agg(F.count(F.lit(1)).alias("m"))
+    cell = F.floor(F.col("t") / span)
+    a = pos.select("recording_id", F.col("cluster_id").alias("c1"), F.col("t").alias("t1"), F.col("m").alias("m1"), cell.alias("cell"))
+    b = pos.select(
+        "recording_id", F.col("cluster_id").alias("c2"), F.col("t").alias("t2"), F.col("m").alias("m2"),
+        F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"),
+    )
+    # Differences from the window's start; a surrogate's lie in [lo, hi).
+    d, lo, hi = F.col("d"), F.col("d") - jitter + 1, F.col("d") + jitter + 1
+    j = salted_join(a, b, ["recording_id", "cell"], F.struct("c1", "t1")).where("c1 < c2")
+    j = j.select("recording_id", "c1", "c2", (F.col("t2") - F.col("t1") + width).alias("d"), (F.col("m1") * F.col("m2")).alias("m"))
+    j = j.where((hi > 0) & (lo < 2 * width)).groupBy("recording_id", "c1", "c2", "d").agg(F.sum("m").alias("m"))
+    first, end = F.greatest(F.floor(lo / bin_width), F.lit(0)), F.least(F.floor((hi - 1) / bin_width), F.lit(last))
+    j = j.withColumn("bin", F.explode(F.sequence(first, end)))
+    at = F.col("bin") * bin_width
+    share = F.least(hi, at + bin_width) - F.greatest(lo, at)
+    wide = lambda c: c.cast("decimal(19,0)")
+    h = j.groupBy("recording_id", "c1", "c2", "bin").agg(
+        F.sum(F.when((d >= at) & (d < at + bin_width), F.col("m")).otherwise(0)).alias("n"),
+        F.sum(wide(F.col("m") * share)).cast("double").alias("_s"),
+        F.sum(wide(share) * wide(F.col("m") * share)).cast("double").alias("_q"),
+    )
+    every = 2.0 * jitter
+    h = h.withColumn("expected", F.col("_s") / every).withColumn("variance", F.col("_s") / every - F.col("_q") / (every * every))
+    z = F.when(F.col("variance") > 0, (F.col("n") - F.col("expected")) / F.sqrt("variance"))
+    return h.drop("_s", "_q").withColumn("z", z)
+
+
 def differences(spikes: DataFrame, width: int) -> DataFrame:
     """Every difference t2 - t1 in [-width, width) between spikes of two units (c1 < c2)."""
     cols = ["recording_id", "cluster_id", "spike_id", "t"]

@@ -158,6 +158,27 @@ def _(spark, sf):
     return pr.lag_histogram(S.spikes(spark, sf), H, W10).drop("recording_id")
 
 
+J20 = 1_200_000_000
+
+
+@query(
+    "ccg_jittered",
+    f"""WITH {S.SPK}, q AS (SELECT *, t // {H + J20} AS q FROM spk), a AS (SELECT *, unnest([q - 1, q, q + 1]) AS qq FROM q),
+      df AS (SELECT b.cluster_id AS c1, a.cluster_id AS c2, a.t - b.t + {H} AS d FROM a JOIN q b ON a.qq = b.q AND b.cluster_id < a.cluster_id),
+      e AS (SELECT c1, c2, d, k, least(d + {J20} + 1, (k + 1) * {W10}) - greatest(d - {J20} + 1, k * {W10}) AS o
+        FROM df CROSS JOIN range({2 * H // W10}) r(k)),
+      s AS (SELECT c1, c2, k AS bin, count(*) FILTER (WHERE d >= k * {W10} AND d < (k + 1) * {W10}) AS n,
+        CAST(sum(o) AS DOUBLE) AS s, CAST(sum(CAST(o AS HUGEINT) * o) AS DOUBLE) AS q FROM e WHERE o > 0 GROUP BY 1, 2, 3),
+      v AS (SELECT c1, c2, bin, n, CAST(s AS BIGINT) AS hits, s / {2 * J20}e0 AS expected, s / {2 * J20}e0 - q / ({2 * J20}e0 * {2 * J20}e0) AS variance FROM s)
+      SELECT c1, c2, bin, n, hits, round(CASE WHEN variance > 0 THEN (n - expected) / sqrt(variance) END, 6) AS z FROM v""",
+)
+def _(spark, sf):
+    h = pr.jittered_histogram(S.spikes(spark, sf), H, W10, J20)
+    # The expected count times the number of offsets is whole, so it is compared to the last digit.
+    hits = F.round(F.col("expected") * (2 * J20)).cast("bigint")
+    return h.select("c1", "c2", "bin", "n", hits.alias("hits"), F.round("z", 6).alias("z"))
+
+
 @query(
     "autocorrelogram",
     f"""WITH {S.SPK}, x AS (SELECT a.cluster_id, b.t - a.t AS d FROM spk a JOIN spk b ON a.cluster_id = b.cluster_id
