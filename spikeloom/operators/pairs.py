@@ -234,21 +234,19 @@ def jittered_histogram(spikes: DataFrame, width: int, bin_width: int, jitter: in
     d, lo, hi = F.col("d"), F.col("d") - jitter + 1, F.col("d") + jitter + 1
     j = salted_join(a, b, ["recording_id", "cell"], F.struct("c1", "t1")).where("c1 < c2")
     j = j.select("recording_id", "c1", "c2", (F.col("t2") - F.col("t1") + width).alias("d"), (F.col("m1") * F.col("m2")).alias("m"))
-    j = j.where((hi > 0) & (lo < 2 * width)).groupBy("recording_id", "c1", "c2", "d").agg(F.sum("m").alias("m"))
+    j = j.where((hi > 0) & (lo < 2 * width))
     first, end = F.greatest(F.floor(lo / bin_width), F.lit(0)), F.least(F.floor((hi - 1) / bin_width), F.lit(last))
     j = j.withColumn("bin", F.explode(F.sequence(first, end)))
     at = F.col("bin") * bin_width
     share = F.least(hi, at + bin_width) - F.greatest(lo, at)
-    wide = lambda c: c.cast("decimal(19,0)")
+    every, share = 2.0 * jitter, share.cast("double")
     h = j.groupBy("recording_id", "c1", "c2", "bin").agg(
         F.sum(F.when((d >= at) & (d < at + bin_width), F.col("m")).otherwise(0)).alias("n"),
-        F.sum(wide(F.col("m") * share)).cast("double").alias("_s"),
-        F.sum(wide(share) * wide(F.col("m") * share)).cast("double").alias("_q"),
+        (F.sum(F.col("m") * share) / every).alias("expected"),
+        (F.sum(F.col("m") * share * (every - share)) / (every * every)).alias("variance"),
     )
-    every = 2.0 * jitter
-    h = h.withColumn("expected", F.col("_s") / every).withColumn("variance", F.col("_s") / every - F.col("_q") / (every * every))
     z = F.when(F.col("variance") > 0, (F.col("n") - F.col("expected")) / F.sqrt("variance"))
-    return h.drop("_s", "_q").withColumn("z", z)
+    return h.withColumn("z", z)
 
 
 def differences(spikes: DataFrame, width: int) -> DataFrame:

@@ -168,8 +168,8 @@ J20 = 1_200_000_000
       e AS (SELECT c1, c2, d, k, least(d + {J20} + 1, (k + 1) * {W10}) - greatest(d - {J20} + 1, k * {W10}) AS o
         FROM df CROSS JOIN range({2 * H // W10}) r(k)),
       s AS (SELECT c1, c2, k AS bin, count(*) FILTER (WHERE d >= k * {W10} AND d < (k + 1) * {W10}) AS n,
-        CAST(sum(o) AS DOUBLE) AS s, CAST(sum(CAST(o AS HUGEINT) * o) AS DOUBLE) AS q FROM e WHERE o > 0 GROUP BY 1, 2, 3),
-      v AS (SELECT c1, c2, bin, n, CAST(s AS BIGINT) AS hits, s / {2 * J20}e0 AS expected, s / {2 * J20}e0 - q / ({2 * J20}e0 * {2 * J20}e0) AS variance FROM s)
+        CAST(sum(o) AS DOUBLE) AS s, CAST(sum(CAST(o AS HUGEINT) * ({2 * J20} - o)) AS DOUBLE) AS q FROM e WHERE o > 0 GROUP BY 1, 2, 3),
+      v AS (SELECT c1, c2, bin, n, CAST(s AS BIGINT) AS hits, s / {2 * J20}e0 AS expected, q / ({2 * J20}e0 * {2 * J20}e0) AS variance FROM s)
       SELECT c1, c2, bin, n, hits, round(CASE WHEN variance > 0 THEN (n - expected) / sqrt(variance) END, 6) AS z FROM v""",
 )
 def _(spark, sf):
