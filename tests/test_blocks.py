@@ -44,3 +44,24 @@ def test_matches_are_no_rows_of_a_shuffle(spark):
     at = written(spark)
     assert pairs.sttc(df, 50, 0, 100, 100).where("n1_dt_2 >= 0").count() == 2 * 60 * 59 // 2
     assert written(spark) - at < 3 * 120 * 10
+
+
+def test_several_windows_are_those_of_each(spark, small_blocks):
+    df, _ = trains(spark, 14, 5, 120)
+    both = {(r.cluster1_id, r.cluster2_id): r for r in pairs.sttc_windows(df, [4, 15], 0, 120, 50).collect()}
+    for d, dt in enumerate((4, 15)):
+        one = pairs.sttc(df, dt, 0, 120, 50).collect()
+        assert len(one) == len(both)
+        assert all(both[r.cluster1_id, r.cluster2_id][f"sttc_{d}"] == r.sttc for r in one)
+
+
+def test_replicates_are_those_of_each(spark, small_blocks):
+    from pyspark.sql import functions as F
+
+    df, _ = trains(spark, 10, 5, 120)
+    more = df.withColumn("replicate", F.lit(0)).unionByName(df.where("cluster_id > 2").withColumn("t", 119 - F.col("t")).withColumn("replicate", F.lit(1)))
+    got = {(r.cluster1_id, r.cluster2_id): r for r in pairs.replicate_sttc(more, 2, 4, 0, 120, 50).collect()}
+    for k in (0, 1):
+        one = {(r.cluster1_id, r.cluster2_id): r.sttc for r in pairs.sttc(more.where(F.col("replicate") == k), 4, 0, 120, 50).collect()}
+        assert {p for p, r in got.items() if r[f"has_{k}"]} == set(one)
+        assert all(got[p][f"sttc_{k}"] == v for p, v in one.items())
