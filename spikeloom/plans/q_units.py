@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spikeloom import schema as S
 from spikeloom.operators import spikes as sp
 from spikeloom.operators import units as un
-from spikeloom.plans.registry import query
+from spikeloom.plans.registry import query, rounded
 
 H = S.HOUR_US
 THR = 2 * H
@@ -38,13 +38,13 @@ def _(spark, sf):
     f"WITH {S.SPK} SELECT cluster_id, count(*) AS n_spikes, round(count(*) * 3.6e9 / nullif(max(t) - min(t), 0), 9) AS fr FROM spk GROUP BY 1",
 )
 def _(spark, sf):
-    return un.firing_rate(S.spikes(spark, sf)).select("cluster_id", "n_spikes", F.round(F.col("fr") * 3.6e9, 9).alias("fr"))
+    return un.firing_rate(S.spikes(spark, sf)).select("cluster_id", "n_spikes", rounded(F.col("fr") * 3.6e9, 9).alias("fr"))
 
 
 @query("fr_iei", WITH + "SELECT cluster_id, round(avg(isi) / 1e6, 6) AS iei, round(3.6e9 / avg(isi), 9) AS fr_iei FROM iv GROUP BY 1")
 def _(spark, sf):
     d = _iv(spark, sf).groupBy("cluster_id").agg(F.avg("isi").alias("m"))
-    return d.select("cluster_id", F.round(F.col("m") / 1e6, 6).alias("iei"), F.round(3.6e9 / F.col("m"), 9).alias("fr_iei"))
+    return d.select("cluster_id", rounded(F.col("m") / 1e6, 6).alias("iei"), rounded(3.6e9 / F.col("m"), 9).alias("fr_iei"))
 
 
 FANO = f"""cnt AS (SELECT cluster_id, t // {BIN} AS bin, count(DISTINCT t) AS n FROM spk GROUP BY 1, 2),
@@ -57,7 +57,7 @@ FANO = f"""cnt AS (SELECT cluster_id, t // {BIN} AS bin, count(DISTINCT t) AS n
 @query("fano_cv", f"WITH {S.SPK}, {FANO} SELECT cluster_id, round(fano_factor, 6) AS fano_factor, round(cv, 6) AS cv FROM fano")
 def _(spark, sf):
     d = un.fano_cv(S.spikes(spark, sf), BIN, NB)
-    return d.select("cluster_id", F.round("fano_factor", 6).alias("fano_factor"), F.round("cv", 6).alias("cv"))
+    return d.select("cluster_id", rounded("fano_factor", 6).alias("fano_factor"), rounded("cv", 6).alias("cv"))
 
 
 LV = "3 * (isi_prev - isi) * (isi_prev - isi) / nullif(CAST(isi_prev + isi AS DOUBLE) * (isi_prev + isi), 0)"
@@ -75,7 +75,7 @@ def _sfa(name):
     @query(name, f"{WITH}, {SFA} SELECT cluster_id, round({name}, 6) AS {name} FROM sfa")
     def _(spark, sf):
         d = un.adaptation(_iv(spark, sf), ["cluster_id"], REF)
-        return d.select("cluster_id", F.round(name, 6).alias(name))
+        return d.select("cluster_id", rounded(name, 6).alias(name))
 
 
 for _name in ("local_sfa", "rlocal_sfa", "divisor_sfa", "abi_sfa"):
@@ -97,7 +97,7 @@ VIOL = viol_sql(MIN_ISI)
 @query("isi_violations", f"WITH {S.SPK}, {VIOL} SELECT cluster_id, num_violations, round(fp_rate, 6) AS fp_rate FROM viol")
 def _(spark, sf):
     d = un.isi_violations(S.spikes(spark, sf), SEG, THR, MIN_ISI, T)
-    return d.select("cluster_id", "num_violations", F.round("fp_rate", 6).alias("fp_rate"))
+    return d.select("cluster_id", "num_violations", rounded("fp_rate", 6).alias("fp_rate"))
 
 
 RB = f"""rbp AS (SELECT a.cluster_id, count(b.t) AS rp_pairs, count(DISTINCT a.spike_id) AS n
@@ -109,7 +109,7 @@ RBSEL = "CASE WHEN q >= 0 THEN 1 - sqrt(greatest(q, 0)) ELSE 1.0 END"
 @query("rb_violations", f"WITH {S.SPK}, {RB} SELECT cluster_id, rp_pairs, round({RBSEL}, 6) AS rp_contam FROM rb")
 def _(spark, sf):
     d = un.rb_violations(S.spikes(spark, sf), SEG, THR, 0, T)
-    return d.select("cluster_id", "rp_pairs", F.round("rp_contam", 6).alias("rp_contam"))
+    return d.select("cluster_id", "rp_pairs", rounded("rp_contam", 6).alias("rp_contam"))
 
 
 PRES = f"""pn AS (SELECT cluster_id, CAST(ceil(count(*) * 0.05) AS BIGINT) AS edges FROM spk GROUP BY 1),
@@ -129,7 +129,7 @@ PRES = f"""pn AS (SELECT cluster_id, CAST(ceil(count(*) * 0.05) AS BIGINT) AS ed
 def _(spark, sf):
     d = un.presence(S.spikes(spark, sf), 0, T)
     return d.select(
-        "cluster_id", F.round("presence_ratio", 6).alias("presence_ratio"), F.round("presence_slope", 6).alias("presence_slope")
+        "cluster_id", rounded("presence_ratio", 6).alias("presence_ratio"), rounded("presence_slope", 6).alias("presence_slope")
     )
 
 
@@ -163,7 +163,7 @@ CUT = f"""gw(m, w) AS (VALUES {', '.join(f'({i}, CAST({w!r} AS DOUBLE))' for i,
 @query("amplitude_cutoff", f"WITH {S.SPK}, {HIST}, {CUT} SELECT cluster_id, round(amp_cutoff, 6) AS amp_cutoff FROM cut")
 def _(spark, sf):
     d = un.amplitude_cutoff(S.spikes(spark, sf))
-    return d.select("cluster_id", F.round("amp_cutoff", 6).alias("amp_cutoff"))
+    return d.select("cluster_id", rounded("amp_cutoff", 6).alias("amp_cutoff"))
 
 
 COLS = [
@@ -187,7 +187,7 @@ def unit_qc(spark, sf):
     d = un.unit_table(
         S.spikes(spark, sf), length=SEG, stop=T, nperseg=BIN, threshold=THR, refractory=REF, per_second=1e6
     )
-    return d.select("cluster_id", "n_spikes", "num_violations", *[F.round(c, 6).alias(c) for c in COLS])
+    return d.select("cluster_id", "n_spikes", "num_violations", *[rounded(c, 6).alias(c) for c in COLS])
 
 
 @query(
