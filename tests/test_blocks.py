@@ -65,3 +65,15 @@ def test_replicates_are_those_of_each(spark, small_blocks):
         one = {(r.cluster1_id, r.cluster2_id): r.sttc for r in pairs.sttc(more.where(F.col("replicate") == k), 4, 0, 120, 50).collect()}
         assert {p for p, r in got.items() if r[f"has_{k}"]} == set(one)
         assert all(got[p][f"sttc_{k}"] == v for p, v in one.items())
+
+
+def test_shared_periods_are_counted_across_blocks(spark, small_blocks, monkeypatch):
+    from spikeloom.operators import population
+
+    members = [(u, p) for u in range(12) for p in range(6) if (u * 7 + p * 5) % 3]
+    df = spark.createDataFrame([("r", p, u) for u, p in members], "recording_id string, period long, cluster_id long")
+    monkeypatch.setattr(population, "period_members", lambda periods, rates: df)
+    got = {(r.c1, r.c2): r.connectivity for r in population.co_participation(None, None).collect()}
+    have = {u: {p for v, p in members if v == u} for u in range(12)}
+    want = {(u, v): len(have[u] & have[v]) for u in range(12) for v in range(u + 1, 12)}
+    assert got == {k: n for k, n in want.items() if n}
