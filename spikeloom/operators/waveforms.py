@@ -14,6 +14,10 @@ from spikeloom.operators.lfp import cut
 from spikeloom.operators.skew import attach
 
 
+#: Spikes of one task that cuts windows out of a signal it leaves as it is.
+PART = 4096
+
+
 def best_channel(templates: DataFrame, keys: Sequence[str], center: int | None = None) -> DataFrame:
     """Channel of largest summed magnitude, or of lowest value around the centre; its trough too."""
     w = F.col("waveform")
@@ -235,11 +239,14 @@ def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame,
     )
     mine = spikes.select("recording_id", "spike_id", "template_id", "t", F.expr(f"t div {size}").alias("chunk"))
     mine = attach(mine, shape, ["template_id"], F.col("spike_id"))
-    mine = mine.groupBy("recording_id", "chunk").agg(F.collect_list(F.struct("peak", "spike_id", "t", "best", "shape")).alias("spikes"))
-    block = halo(chunks, size, length, length).groupBy("recording_id", "chunk").agg(
-        F.collect_list(F.struct("channel", "lead", "samples")).alias("rows")
+    # Spikes that leave the signal as it is go to parts of a chunk, a task each, that read the same samples.
+    where = mine.groupBy("recording_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.lit(1) if subtract else where.agg(F.greatest(F.ceil(F.max("n") / PART), F.lit(1)).cast("int")).scalar()
+    mine = mine.select("recording_id", "chunk", "spike_id", "t", "peak", "best", "shape", F.pmod(F.xxhash64("spike_id"), parts).cast("int").alias("_part"))
+    block = halo(chunks, size, length, length).select("recording_id", "chunk", "channel", "lead", "samples").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
-    out = ArrayType(StructType([StructField("spike_id", LongType()), StructField("channel", LongType()), StructField("waveform", ArrayType(DoubleType()))]))
+    out = "recording_id string, spike_id long, channel long, waveform array<double>"
 
     # A template is divided by its peak over the sample at the spike, each with 1e-10 added.
     def windows(rows, spikes, begin):
@@ -260,10 +267,12 @@ def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame,
                 gain = q["peak"] / (signal[line_of[q["best"]], at] + 1e-10) + 1e-10
                 signal[lines, span] -= np.array([x["waveform"] for x in q["shape"]]) / gain
 
-    @F.pandas_udf(out)
-    def run(rows: pd.Series, spikes: pd.Series, chunk: pd.Series) -> pd.Series:
-        return pd.Series([list(windows(r, sorted(s, key=lambda q: (q["peak"], q["spike_id"])), int(c) * size)) for r, s, c in zip(rows, spikes, chunk)])
+    def run(key: tuple, spikes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rec, chunk, _ = key
+        if not len(spikes) or not len(rows):
+            return pd.DataFrame(columns=["recording_id", "spike_id", "channel", "waveform"])
+        made = list(windows(rows.to_dict("records"), spikes.sort_values(["peak", "spike_id"]).to_dict("records"), int(chunk) * size))
+        return pd.DataFrame(made, columns=["spike_id", "channel", "waveform"]).assign(recording_id=rec)
 
-    return block.join(mine, ["recording_id", "chunk"]).select("recording_id", F.explode(run("rows", "spikes", "chunk")).alias("_w")).select(
-        "recording_id", "_w.*"
-    )
+    on = ["recording_id", "chunk", "_part"]
+    return mine.groupBy(*on).cogroup(block.groupBy(*on)).applyInPandas(run, out)
