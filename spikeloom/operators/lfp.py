@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from spikeloom.functions import design
 from spikeloom.operators.chunks import ARR, CHAN
 from spikeloom.operators.ordered import in_order, run_number
-from spikeloom.operators.skew import attach
+from spikeloom.operators.skew import attach, spread_out
 
 
 def above_baseline(ste: DataFrame, level: Column, gap: int, length: int) -> DataFrame:
@@ -257,7 +257,7 @@ def density(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
             rows.append((np.linspace(a, b, bins), y, bw))
         return pd.DataFrame(rows, columns=["x", "y", "bw"])
 
-    g = counts.groupBy(*keys, "n", "lo", "hi").agg(F.collect_list(F.struct("i", "w")).alias("_c"))
+    g = spread_out(counts, keys).groupBy(*keys, "n", "lo", "hi").agg(F.collect_list(F.struct("i", "w")).alias("_c"))
     return g.select(*keys, run("_c", "lo", "hi", "n").alias("_d")).select(*keys, "_d.*")
 
 
