@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spikeloom.operators.ordered import in_order
+from spikeloom.operators.ordered import in_order, stretch
 from spikeloom.operators.signals import bin_by
 from spikeloom.operators.spikes import UNIT
 
@@ -152,12 +152,17 @@ def phase_synchrony(a: Column, b: Column) -> Column:
 def triggered_average(spikes: DataFrame, sig: DataFrame, window: int, n: int, on: Sequence[str]) -> DataFrame:
     """Mean signal per unit at -window..window samples around its spikes; beyond the ends it counts as zero.
 
-    Spikes are counted per sample first, so the expansion grows with occupied samples.
+    Spikes are counted per sample first, and each occupied sample's window is cut once, as an array.  Counts are then
+    dealt by unit and stretch of ``n`` samples before they are spread over the offsets, so a task sums its own units alone.
     """
-    at = spikes.groupBy(*UNIT, *[c for c in on if c not in UNIT], "idx").agg(F.count(F.lit(1)).alias("m"))
-    d = at.withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("idx", F.col("idx") + F.col("offset"))
-    size = at.groupBy(*UNIT).agg(F.sum("m").alias("n_spikes"))
-    s = d.join(sig.select(*on, "idx", "v"), [*on, "idx"], "left")
-    return s.groupBy(*UNIT, "offset").agg(F.sum(F.col("m") * F.coalesce("v", F.lit(0.0))).alias("_s")).join(size, UNIT).select(
-        *UNIT, "offset", "n_spikes", (F.col("_s") / F.col("n_spikes")).alias("mean_v")
+    at = spikes.dropna(subset=UNIT).groupBy(*UNIT, *[c for c in on if c not in UNIT], "idx").agg(F.count(F.lit(1)).alias("m"))
+    near = at.select(*on, "idx").distinct().withColumn("offset", F.explode(F.sequence(F.lit(-window), F.lit(window))))
+    near = near.withColumn("_at", F.col("idx") + F.col("offset")).join(sig.select(*on, F.col("idx").alias("_at"), "v"), [*on, "_at"], "left")
+    near = near.groupBy(*on, "idx", "offset").agg(F.sum(F.coalesce("v", F.lit(0.0))).alias("v"))
+    near = near.groupBy(*on, "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", "v"))), lambda x: x["v"]).alias("_w"))
+    d = at.join(near, [*on, "idx"], "left").select(
+        *UNIT, stretch("idx", n).alias("_part"), "m", F.coalesce("_w", F.array_repeat(F.lit(0.0), 2 * window + 1)).alias("_w")
     )
+    d = d.repartition(*UNIT, "_part").select(*UNIT, "m", F.posexplode("_w").alias("_i", "v"))
+    s = d.groupBy(*UNIT, (F.col("_i") - window).alias("offset")).agg(F.sum("m").alias("n_spikes"), F.sum(F.col("m") * F.col("v")).alias("_s"))
+    return s.select(*UNIT, "offset", "n_spikes", (F.col("_s") / F.col("n_spikes")).alias("mean_v"))
