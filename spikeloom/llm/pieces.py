@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from array import array
@@ -178,35 +179,57 @@ def encoded_relational(documents: DataFrame, model: str = MODEL, chunk_bytes: in
     return rows.groupBy("_chunk").cogroup(book.groupBy("_book")).applyInArrow(task, schema)
 
 
-def best_path(unit: str, table: dict[str, tuple[float, int] | None], least: float, known: dict[int, int]) -> array:
+def trie(edges: list[tuple[str, int, float]]) -> dict:
+    """Pieces by their signs: a sign leads to [score, id, signs that follow], without a score where no piece ends."""
+    root: dict = {}
+    for piece, i, score in edges:
+        at = root
+        for sign in piece[:-1]:
+            at = at.setdefault(sign, [None, -1, {}])[2]
+        at.setdefault(piece[-1], [None, -1, {}])[:2] = score, i
+    return root
+
+
+def best_path(unit: str, root: dict, least: float, known: dict[int, int]) -> array:
     """Piece ids of the best segmentation of a unit: the lattice and the fold of ``viterbi`` in one task.
 
-    ``table`` has every piece, and None for every other beginning of one, where a search may go on.
+    From each place the lattice's edges are read off the trie of pieces, sign by sign, and the best edge to every
+    place is kept; the path is read backwards.
     """
     n = len(unit)
-    score, back = [None] * (n + 1), [(0, -1)] * (n + 1)
+    score, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
     score[0] = 0.0
-    get = table.get
-    for start in range(n):
+    for start, sign in enumerate(unit):
         so_far, stop = score[start], start + 1
-        hit = get(unit[start:stop], 0)
-        if not hit:
+        hit = root.get(sign)
+        if hit is None or hit[0] is None:
             way = so_far + least - UNKNOWN_PENALTY
-            if score[stop] is None or way > score[stop]:
-                score[stop], back[stop] = way, (start, -1)
-        while hit != 0:
-            if hit:
-                way = so_far + hit[0]
-                if score[stop] is None or way > score[stop]:
-                    score[stop], back[stop] = way, (start, hit[1])
-            stop += 1
-            if stop > n:
+            if way > score[stop]:
+                score[stop], back[stop], ids[stop] = way, start, -1
+        if hit is None:
+            continue
+        value, i, after = hit
+        if value is not None:
+            way = so_far + value
+            if way > score[stop]:
+                score[stop], back[stop], ids[stop] = way, start, i
+        while after and stop < n:
+            hit = after.get(unit[stop])
+            if hit is None:
                 break
-            hit = get(unit[start:stop], 0)
+            stop += 1
+            value, i, after = hit
+            if value is not None:
+                way = so_far + value
+                if way > score[stop]:
+                    score[stop], back[stop], ids[stop] = way, start, i
     path, at = [], n
     while at:
-        start, i = back[at]
-        path += (i,) if i >= 0 else [known.get(b, 0) for b in reversed(unit[start:at].encode())] if known else (0,)
+        start, i = back[at], ids[at]
+        if i >= 0:
+            path.append(i)
+        else:
+            path += [known.get(b, 0) for b in reversed(unit[start:at].encode())] if known else (0,)
         at = start
     path.reverse()
     return array("i", path)
@@ -226,7 +249,7 @@ def encoded(documents: DataFrame, model: str = MODEL) -> DataFrame:
     documents = documents.drop("ids", "n_tokens", "decoded_ok")
     names = documents.columns
     schema = T.StructType([*documents.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_ok", T.BooleanType())])
-    table = {p[:k]: None for p, _, _ in v.edges for k in range(1, len(p))} | {p: (s, i) for p, i, s in v.edges}
+    root = trie(v.edges)
     least, known, raw, prefix = v.least, v.bytes, v.raw, v.prefix
     lone = "".join(f"\\x{ord(c):02x}" for c in v.lone)
     pattern = "(?s:.+)" if v.inner else f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else "")
@@ -244,7 +267,7 @@ def encoded(documents: DataFrame, model: str = MODEL) -> DataFrame:
                         if ids is None:
                             if len(memory) >= MEMORY:
                                 memory.clear()
-                            ids = memory[unit] = best_path(unit, table, least, known)
+                            ids = memory[unit] = best_path(unit, root, least, known)
                         whole.extend(ids)
                 ends.append(len(whole))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(whole, np.int32) if whole else np.zeros(0, np.int32)))
