@@ -23,7 +23,7 @@ from spikeloom.llm.text import slices
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-CHUNK_BYTES, MEMORY = 8 << 20, 250_000
+CHUNK_BYTES, MEMORY = 16 << 20, 250_000
 #: Fixed values of the model format: kinds of pieces, and the penalty of an unknown sign below the least score.
 NORMAL, USER, BYTE, UNKNOWN_PENALTY = 1, 4, 6, 10.0
 
@@ -71,35 +71,34 @@ def units(text: Column, vocabulary: Vocabulary) -> Column:
     return F.when(F.length(text) > 0, F.filter(whole, lambda u: u != "")).otherwise(F.array().cast("array<string>"))
 
 
-def viterbi(edges: Column, n: Column) -> Column:
-    """Edges (stop, start, score, id) of the best path over ``edges``, sorted, every place being some edge's stop.
+def viterbi(edges: Column, n: Column, most: int) -> Column:
+    """Edges (score, start, id) of the best path over ``edges`` (stop, start, score, id), sorted, at most ``most`` to a stop.
 
-    A fold over the edges holds the best edge to every place passed and to the present one, with the
-    score of the path there; ties go to the edge that starts first.  A second fold reads the path off
-    backwards.
+    A fold over the places, each some edge's stop, keeps the best edge to each with the score of the
+    path there; ties go to the edge that starts first.  A second fold reads the path off backwards.
     """
-    kind = "struct<stop:int,start:int,score:double,id:int>"
-    origin = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("start"), F.lit(0.0).alias("score"), F.lit(-1).alias("id"))
-    state = F.struct(F.array().cast(f"array<{kind}>").alias("best"), origin.alias("now"))
-
-    def step(s: Column, e: Column) -> Column:
-        before = F.when(e["start"] == s["now"]["stop"], s["now"]["score"]).otherwise(s["best"][e["start"]]["score"])
-        way = F.struct(e["stop"].alias("stop"), e["start"].alias("start"), (before + e["score"]).alias("score"), e["id"].alias("id"))
-        on = e["stop"] != s["now"]["stop"]
-        return (
-            F.when(on, F.struct(F.concat(s["best"], F.array(s["now"])).alias("best"), way.alias("now")))
-            .when(before + e["score"] > s["now"]["score"], F.struct(s["best"].alias("best"), way.alias("now")))
-            .otherwise(s)
-        )
-
-    best = F.aggregate(edges, state, step, lambda s: F.concat(s["best"], F.array(s["now"])))
-    back = F.aggregate(
+    kind = "struct<score:double,start:int,id:int>"
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")).cast(kind))
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def step(edges: Column, s: Column, i: Column) -> Column:
+        def onward(here: Column) -> Column:
+            ways = F.transform(here, lambda e: F.struct((s["best"][e["start"]]["score"] + e["score"]).alias("score"), (-e["start"]).alias("start"), e["id"].alias("id")))
+            best = F.transform(F.array(F.array_max(ways)), lambda w: F.struct(w["score"].alias("score"), (-w["start"]).alias("start"), w["id"].alias("id")))
+            return F.struct(F.concat(s["best"], best).alias("best"), (s["next"] + F.size(here)).alias("next"))
+
+        return let(F.filter(F.slice(edges, s["next"], F.lit(most)), lambda e: e["stop"] == i), onward)
+
+    start = F.struct(origin.alias("best"), F.lit(1).alias("next"))
+    # Bound once: Spark would put the whole expression of the edges into the fold and sort them again for each place.
+    best = let(edges, lambda edges: F.aggregate(F.sequence(F.lit(1), n), start, lambda s, i: step(edges, s, i), lambda s: s["best"]))
+    read = lambda best: F.aggregate(
         F.sequence(n, F.lit(1), F.lit(-1)),
-        F.struct(n.alias("at"), F.array().cast(f"array<{kind}>").alias("path"), best.alias("best")),
-        lambda s, i: F.when(s["at"] == i, F.struct(s["best"][i]["start"].alias("at"), F.concat(s["path"], F.array(s["best"][i])).alias("path"), s["best"].alias("best"))).otherwise(s),
+        F.struct(n.alias("at"), F.array().cast(f"array<{kind}>").alias("path")),
+        lambda s, i: F.when(s["at"] == i, F.struct(best[i]["start"].alias("at"), F.concat(s["path"], F.array(best[i])).alias("path"))).otherwise(s),
         lambda s: s["path"],
     )
-    return F.reverse(back)
+    return F.reverse(let(best, read))
 
 
 def lattice(words: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFrame:
@@ -108,16 +107,21 @@ def lattice(words: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFr
     The piece table is broadcast: its size is that of the vocabulary file.  A sign that is no piece
     is an edge of its own: its UTF-8 bytes as byte pieces, or the unknown piece without these.
     """
-    spark = words.sparkSession
-    n = F.length("unit")
-    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - i)), lambda k: F.struct(i.alias("start"), k.alias("k"))))
-    cut = words.select(*keys, "unit", F.explode(F.flatten(starts)).alias("c")).select(*keys, "unit", F.col("c.start").alias("start"), F.col("c.k").alias("k"))
-    cut = cut.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("k")))
-    hit = cut.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
+    # Outer: a filter on the arrays, which Spark would infer and push below the exchange of the units, keeps that from being shared.
+    cut = words.select(*keys, "unit", F.explode_outer(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    longest = F.least(F.lit(vocabulary.longest), F.length("unit") - F.col("start"))
+    cut = cut.select(*keys, "unit", "start", F.explode_outer(F.sequence(F.lit(1), longest)).alias("k"))
+    cut = cut.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("k"))).withColumn("_key", F.xxhash64("piece"))
+    # Joined by a hash, a long being quicker to look up than a string; the pieces are compared behind it.
+    table = vocabulary.table(words.sparkSession).select(F.xxhash64("piece").alias("_key"), F.col("piece").alias("_piece"), "id", "score")
+    same = F.col("piece") == F.col("_piece")
+    hit = cut.join(F.broadcast(table), "_key", "left").select(*keys, "unit", "start", "k", F.when(same, F.col("id")).alias("id"), F.when(same, F.col("score")).alias("score"))
+    hit = hit.where(F.col("id").isNotNull() | (F.col("k") == 1))
     # A sign without a piece is edge -1 here and spelled out once the best path is known.
     score = F.coalesce("score", F.lit(vocabulary.least - UNKNOWN_PENALTY))
     edge = F.struct((F.col("start") + F.col("k")).alias("stop"), "start", score.alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    path = hit.groupBy(*keys, "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select(*keys, "unit", viterbi(F.col("edges"), F.length("unit")).alias("path"))
+    edges = hit.groupBy(*keys, "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    path = edges.select(*keys, "unit", viterbi(F.col("edges"), F.length("unit"), vocabulary.longest).alias("path"))
     known = F.array(*[F.lit(vocabulary.bytes.get(b, 0)) for b in range(256)])
 
     def spelled(e: Column) -> Column:
@@ -141,9 +145,9 @@ def decoded(ids: pa.ListArray, raw: list[bytes], prefix: bool) -> pa.Array:
 def encoded_relational(documents: DataFrame, model: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """As ``encoded``, on the lattice as a relation.
 
-    Rows are dealt to chunks of about ``chunk_bytes`` of text by a hash.  The distinct units of a
-    chunk, runs that no piece can cross, are encoded on the lattice once; since everything stays
-    partitioned by chunk, the text is shuffled once and nothing else is.  Chunks bound what a task
+    Rows are dealt to chunks of about ``chunk_bytes`` of text by a hash.  The distinct units of all
+    chunks, runs that no piece can cross, go to one task each, are encoded on the lattice once and
+    return to every chunk they occur in; the text itself is shuffled once.  Chunks bound what a task
     holds; a single longer text is a chunk of its own size.
     """
     vocabulary = Vocabulary(model)
@@ -157,8 +161,13 @@ def encoded_relational(documents: DataFrame, model: str = MODEL, chunk_bytes: in
     # Naming every column here, without effect, lets both branches read the one exchange of the text.
     nothing = F.substring(F.xxhash64(*[c for c, t in documents.dtypes if not t.startswith("map")]).cast("string"), 1, 0)
     cut = docs.select(F.col("_chunk").alias("_book"), units(F.concat("text", nothing), vocabulary).alias("units"))
-    words = cut.select("_book", F.explode_outer("units").alias("unit")).where(F.col("unit").isNotNull()).distinct()
-    book = lattice(words, ["_book"], vocabulary)
+    # A unit goes to one task, with the chunks it occurs in, and its lattice is searched once, however many they are.
+    parts = max(2 * chunks, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = cut.select("_book", F.explode_outer("units").alias("unit")).where(F.col("unit").isNotNull()).distinct()
+    found = found.repartition(parts, "unit").withColumn("_hash", F.xxhash64("unit"))
+    # The least chunk is there to let both sides of the join read the one exchange of the units.
+    words = found.groupBy("_hash", "unit").agg(F.min("_book").alias("_least"))
+    book = found.join(lattice(words, ["_hash", "_least"], vocabulary), ["_hash", "unit"]).where("coalesce(_least <= _book, true)").select("_book", "unit", "ids")
     rows = docs.withColumn("_units", units(F.col("text"), vocabulary))
     raw, prefix = vocabulary.raw, vocabulary.prefix
     schema = T.StructType([*documents.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_ok", T.BooleanType())])
