@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -249,12 +251,7 @@ def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame,
     out = "recording_id string, spike_id long, channel long, waveform array<double>"
 
     # A template is divided by its peak over the sample at the spike, each with 1e-10 added.
-    def windows(rows, spikes, begin):
-        lead = max(x["lead"] for x in rows)
-        signal = np.full((len(rows), max(lead - x["lead"] + len(x["samples"]) for x in rows)), np.nan)
-        for line, x in zip(signal, rows):
-            line[lead - x["lead"] : lead - x["lead"] + len(x["samples"])] = x["samples"]
-        line_of = {x["channel"]: i for i, x in enumerate(rows)}
+    def windows(signal, lead, line_of, spikes, begin):
         for q in spikes:
             lines = [line_of[x["channel"]] for x in q["shape"]]
             at = q["t"] - begin + lead
@@ -265,14 +262,35 @@ def extract_channels(spikes: DataFrame, chunks: DataFrame, templates: DataFrame,
                 yield {"spike_id": q["spike_id"], "channel": x["channel"], "waveform": waveform}
             if subtract and whole:
                 gain = q["peak"] / (signal[line_of[q["best"]], at] + 1e-10) + 1e-10
-                signal[lines, span] -= np.array([x["waveform"] for x in q["shape"]]) / gain
-
-    def run(key: tuple, spikes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        rec, chunk, _ = key
-        if not len(spikes) or not len(rows):
-            return pd.DataFrame(columns=["recording_id", "spike_id", "channel", "waveform"])
-        made = list(windows(rows.to_dict("records"), spikes.sort_values(["peak", "spike_id"]).to_dict("records"), int(chunk) * size))
-        return pd.DataFrame(made, columns=["spike_id", "channel", "waveform"]).assign(recording_id=rec)
+                signal[lines, span] -= np.array([x["waveform"] for x in q["shape"]], float) / gain
 
+    def laid(rows):
+        """The samples of a chunk, a line per channel, the most that a line holds before it, and the line of each channel."""
+        lead = max(x["lead"] for x in rows)
+        signal = np.full((len(rows), max(lead - x["lead"] + len(x["samples"]) for x in rows)), np.nan)
+        for line, x in zip(signal, rows):
+            line[lead - x["lead"] : lead - x["lead"] + len(x["samples"])] = np.array(x["samples"], float)
+        return signal, lead, {x["channel"]: i for i, x in enumerate(rows)}
+
+    kinds = pa.schema([("recording_id", pa.string()), ("spike_id", pa.int64()), ("channel", pa.int64()), ("waveform", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, chunk = None, [], None
+        for batch in batches:
+            made = []
+            for (*at, spike), some in groupby(batch.to_pylist(), lambda x: (x["recording_id"], x["chunk"], x["_part"], x["_spike"])):
+                if at != key:
+                    key, rows, chunk = at, [], None
+                if not spike:
+                    rows += some
+                elif rows:
+                    chunk = chunk or laid(rows)
+                    made += [{"recording_id": key[0], **x} for x in windows(*chunk, some, key[1] * size)]
+            if made:
+                yield pa.RecordBatch.from_pylist(made, kinds)
+
+    # The samples of a chunk, then its spikes in their order, stream through a task: it holds one chunk's samples and one batch.
     on = ["recording_id", "chunk", "_part"]
-    return mine.groupBy(*on).cogroup(block.groupBy(*on)).applyInPandas(run, out)
+    mine = mine.withColumns({"peak": F.coalesce("peak", F.lit(float("nan"))), "_spike": F.lit(True)})
+    rows = block.withColumn("_spike", F.lit(False)).unionByName(mine, allowMissingColumns=True).repartition(*on)
+    return rows.sortWithinPartitions(*on, "_spike", "peak", F.asc_nulls_last("spike_id"), "t").mapInArrow(run, out)
